@@ -67,8 +67,8 @@ class Pieces:
         self.specials = {t.content: value([i]) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.letters = _byte_letters()
-        self.units = _Table(self._unit)
-        self.parts = _Table(self._part)
+        self.units = Table(self._unit)
+        self.parts = Table(self._part)
 
     def _part(self, piece: str) -> Any:
         """A pre-token that holds only plain characters."""
@@ -92,7 +92,9 @@ class Pieces:
                 x.clear()
 
 
-class _Table(dict):
+class Table(dict):
+    """A dictionary that makes what it lacks; long keys are made each time and not kept."""
+
     def __init__(self, make: Callable[[str], Any]):
         self.make = make
 

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import decontam, licenses, quality, sharding, simhash, tokencount, tokenfile, warc
+from corpusflow.llm import decontam, licenses, lm, quality, sharding, simhash, spm, tokencount, tokenfile, warc
 from corpusflow.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -41,10 +42,19 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.report(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
+
+
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_files(tokenfile.write_files(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER)))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.scores(docs, lm.fit(docs))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -54,7 +64,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_warc, op3_quality_rules, op4_token_counts, op5_simhash, op7_token_file, op9_license_scan, op10_decontamination)
+    f.__name__: f for f in (op1_sharding, op2_warc, op3_quality_rules, op4_token_counts, op5_simhash, op6_sentencepiece, op7_token_file, op8_lm_scores, op9_license_scan, op10_decontamination)
 }
 
 ORACLES = {

@@ -142,7 +142,7 @@ def representatives(docs: DataFrame, words: int = WORDS) -> DataFrame:
     marks = near_duplicates(docs, words)
     kept = marks.where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("kept_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("mark")).distinct()
     named = kept.where("kept_id is not null").select("kept_id")
-    rows = docs.withColumn("cf_tie", F.xxhash64(*docs.columns))
+    rows = docs.withColumn("cf_tie", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
     out = rows.join(named, rows["doc_id"] == named["kept_id"], "left_semi")
     out = out.withColumn("cf_place", F.row_number().over(Window.partitionBy("doc_id").orderBy("cf_tie"))).where("cf_place = 1")
     nameless = rows.where("doc_id is null").withColumn("cf_place", F.lit(1))
