@@ -85,7 +85,7 @@ class Writer:
         self.path = f"{folder}/{uuid.uuid4().hex}.ids"
         system, path = filesystem(self.path)
         system.create_dir(path.rpartition("/")[0], recursive=True)
-        self.out = system.open_output_stream(path)
+        self.out = system.open_output_stream(path, compression=None)
         self.out.write(MAGIC)
         self.at, self.starts, self.held, self.n_held, self.n = len(MAGIC), [], [], 0, 0
         self.docs: list[tuple[int | None, int, int]] = []

@@ -80,11 +80,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def dictionary_of(samples: list[bytes]) -> bytes:
-    """A dictionary for these records, or nothing where they are too few to train one."""
+    """A dictionary for these records; where they are too few to train one, the records themselves are it."""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+        return zstandard.train_dictionary(max(1024, min(DICTIONARY_BYTES, sum(map(len, samples)) // 10)), samples).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(samples)[:DICTIONARY_BYTES]
 
 
 class Archive:
@@ -94,7 +94,7 @@ class Archive:
         self.path = f"{folder}/{uuid.uuid4().hex}.warc.zst"
         system, path = filesystem(self.path)
         system.create_dir(path.rpartition("/")[0], recursive=True)
-        self.out, self.size, self.records = system.open_output_stream(path), 0, 0
+        self.out, self.size, self.records = system.open_output_stream(path, compression=None), 0, 0
         content = dictionary_of(samples)
         self.compressor = zstandard.ZstdCompressor(level=3, write_checksum=True, dict_data=zstandard.ZstdCompressionDict(content) if content else None)
         if content:
@@ -231,7 +231,7 @@ def read_archives(files: DataFrame, payload: bool = True) -> DataFrame:
             for path in part.column(0).to_pylist():
                 system, inner = filesystem(path)
                 rows, size = [], 0
-                with system.open_input_stream(inner) as stream:
+                with system.open_input_stream(inner, compression=None) as stream:
                     for data in frames(stream):
                         rows.append(parse(data)[: len(names)])
                         size += len(data)
