@@ -127,7 +127,7 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _html(spark, sf_dir).select(F.col("path").alias("page_id"), F.posexplode("links").alias("place", "l")).select("page_id", "place", "l.*")
 
 
-@query(r"""SELECT page_id, 1::BIGINT AS level, regexp_extract(html, '<h1>([^<]*)</h1>', 1).replace('&amp;', '&').replace('&lt;', '<').replace('&gt;', '>').replace('&quot;', '"').replace('&#x27;', '''') AS text
+@query(r"""SELECT page_id, 1::BIGINT AS level, regexp_extract(html, '<h1>\s*([^<]*[^<\s])\s*</h1>', 1).replace('&amp;', '&').replace('&lt;', '<').replace('&gt;', '>').replace('&quot;', '"').replace('&#x27;', '''') AS text
     FROM pages WHERE regexp_matches(html, '<h1>[^<]*\S[^<]*</h1>')""")
 def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _html(spark, sf_dir).select(F.col("path").alias("page_id"), F.explode("headings").alias("h"))

@@ -24,7 +24,10 @@ def register(name: str, extractor: Callable[[DataFrame], DataFrame]) -> None:
 
 
 def read(spark: SparkSession, path: str, most: int = DEFAULTS.max_file_bytes) -> tuple[DataFrame, DataFrame]:
-    """(files, rejects): the size is tested on the listing, before any content is read."""
+    """(files, rejects): the size is tested on the listing, before any content is read.
+
+    Spark's reader leaves files without a single byte out by itself.
+    """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     good = listed.where((F.col("length") <= most) & (F.col("length") > 0))
     bad = listed.where((F.col("length") > most) | (F.col("length") == 0)).select("path", "length", formats.size_status("length", most).alias("status"))
