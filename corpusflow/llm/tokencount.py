@@ -1,9 +1,10 @@
 """Operator 4: token counts without token ids.
 
 The tokens of each distinct pre-token are counted once; a document's count is the sum, over its
-pre-tokens, of frequency times count. The table of counts is joined to the documents inside each
-Arrow batch, so nothing is shuffled and no list of ids exists. (A shuffled join of all pairs of
-document and pre-token is a row for each distinct word of each document; the README has figures.)
+pre-tokens (taken together up to the next space), of frequency times count. The table of counts is
+joined to the documents' frequencies inside each Arrow batch, so nothing is shuffled, and lists of
+ids exist for distinct pre-tokens only. (A shuffled join of all pairs of document and pre-token has a
+row for each distinct word of each document; the README has figures.)
 
 Edge cases: null and empty texts have no tokens; repeated rows give repeated results; an empty table
 gives an empty result; other columns are ignored.
@@ -33,11 +34,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: st
         def count(text: str) -> int:
             if table.special is not None and table.special.search(text):
                 return table.of(text)
-            # a short text's frequencies are mostly 1; counting them first pays for long ones only
-            if len(text) < 4096:
-                return sum(map(table.units.__getitem__, cut(text)))
-            seen = Counter(cut(text))
-            return sum(n * table.units[piece] for piece, n in seen.items())
+            return sum(n * table.units[piece] for piece, n in Counter(cut(text)).items())
 
         def run(ids: list, texts: list, sizes: list) -> list[list]:
             out = []
