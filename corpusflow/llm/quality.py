@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, seed: int = 0)
     near = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
     quality = {r.doc_id: r.quality for r in chosen.collect()}
     found = measured(near).where(f"n_words >= {MIN_WORDS} and 100 * n_repeat_words <= {MAX_REPEATED} * n_words")
-    found = found.select("doc_id", "features").dropDuplicates(["doc_id"]).toPandas() if quality else None
+    found = found.groupBy("doc_id").agg(F.min("features").alias("features")).toPandas() if quality else None
     if found is None or not len(found):
         return None
     found = found.sort_values("doc_id")

@@ -18,6 +18,7 @@ gives an empty result; other columns are kept by ``representatives`` and ignored
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -134,22 +135,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, segments: int = SEGMENT
 
 
 def representatives(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The document with the smallest id of each group, with all its columns.
+    """The document with the smallest id of each group, with all its columns."""
+    return kept_rows(docs, lambda named: near_duplicates(named, words))
 
-    Rows that share an id are one document, of which the row with the smallest hash stays; a group
-    whose ids are all null keeps one row in the same way. The text is shuffled once, by the id.
+
+def kept_rows(docs: DataFrame, marked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One row of ``docs`` for each component that ``marked`` finds.
+
+    Rows that share an id are one document, of which the row with the smallest hash stays. Rows without
+    an id get one from their hash, beyond all ids below 2 to the power of 62, so a document with an id
+    stays before one without. The text is shuffled once, by the id.
     """
-    marks = near_duplicates(docs, words)
-    kept = marks.where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("kept_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("mark")).distinct()
-    named = kept.where("kept_id is not null").select("kept_id")
-    rows = docs.withColumn("cf_tie", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    out = rows.join(named, rows["doc_id"] == named["kept_id"], "left_semi")
-    out = out.withColumn("cf_place", F.row_number().over(Window.partitionBy("doc_id").orderBy("cf_tie"))).where("cf_place = 1")
-    nameless = rows.where("doc_id is null").withColumn("cf_place", F.lit(1))
-    if not nameless.isEmpty():
-        alone = marks.where("component_id is null").select("fingerprint").distinct()
-        own = fingerprints(nameless.select(F.col("cf_tie").alias("doc_id"), "text"), words).select(F.col("doc_id").alias("cf_tie"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
-        least = own.join(alone, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("cf_tie").alias("cf_tie")).select("cf_tie")
-        some = nameless.join(least, "cf_tie", "left_semi").select(*out.columns)
-        out = out.unionByName(some.withColumn("cf_place", F.row_number().over(Window.partitionBy("cf_tie").orderBy("cf_place"))).where("cf_place = 1"))
-    return out.select(*docs.columns)
+    tie = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    own = F.col("cf_tie").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    rows = docs.withColumn("cf_tie", tie).withColumn("cf_id", F.coalesce(F.col("doc_id").cast("long"), own))
+    marks = marked(rows.select(F.col("cf_id").alias("doc_id"), "text"))
+    kept = marks.where("doc_id = component_id").select(F.col("doc_id").alias("cf_id")).distinct()
+    first = Window.partitionBy("cf_id").orderBy("cf_tie")
+    out = rows.join(kept, "cf_id", "left_semi").withColumn("cf_place", F.row_number().over(first)).where("cf_place = 1")
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

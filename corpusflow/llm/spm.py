@@ -78,6 +78,14 @@ class Model:
             return self.packed(self.whole.encode(text))
         return b"".join(map(self.words.__getitem__, text.split(" ")))
 
+    def body(self, text: str) -> list[int]:
+        """The ids of a stretch that begins with a space and ends before one, word by word."""
+        if MARK + MARK in text:
+            return self.raw.encode(text)
+        if len(self.words) > TABLE_ENTRIES:
+            self.words.clear()
+        return np.frombuffer(b"".join(map(self.words.__getitem__, text.split(MARK)[1:])), "<u4").tolist()
+
     def is_piece(self, text: str) -> bool:
         return len(text) == 1 or text in self.pieces
 
@@ -107,8 +115,20 @@ class Chunk:
         self.model, self.text, self.left, self.right, self.first = model, text, left, right, first
         self.ins = [(-1, left)] if first else states(model, text, left)  # nothing is before the first
         self.outs = states(model, text, right)
-        breaks = [i for i in range(max(left, 1), right) if text[i] == MARK and text[i - 1] != MARK]
-        self.breaks = (breaks[0], breaks[-1]) if breaks else None
+        self.breaks = self._breaks()
+
+    def _breaks(self) -> tuple[int, int] | None:
+        """The first and the last space in the chunk that follows another character."""
+        text, begin = self.text, max(self.left, 1)
+        low = text.find(MARK, begin, self.right)
+        while low >= 0 and text[low - 1] == MARK:
+            low = text.find(MARK, low + 1, self.right)
+        if low < 0:
+            return None
+        high = text.rfind(MARK, begin, self.right)
+        while text[high - 1] == MARK:
+            high -= 1
+        return low, high
 
     def _walk(self, begin: list[tuple[int, int]], stop: int) -> tuple[list[dict[int, int]], int]:
         """For each place up to the halo behind ``stop``, the last pieces' starts and which beginnings lead there, as bits."""
@@ -185,7 +205,7 @@ class Chunk:
         else:
             low, high = self.breaks
             ids = [x for p in self._path(begin, low) for x in model.ids(p)]
-            ids += model.raw.encode(self.text[low:high])
+            ids += model.body(self.text[low:high]) if low < high else []
             ids += [x for p in self._path((-1, high), goal) for x in model.ids(p)]
         return ids, self.text[begin[1] : goal[1]]
 

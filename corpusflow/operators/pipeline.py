@@ -40,7 +40,7 @@ def retrieved(queries: DataFrame, chunks: DataFrame, k: int = DEFAULTS.retrieve,
     """
     vectors = queries.withColumn("query_vector", embedded(F.col("query"), provider))
     hits = retrieval.search_all(chunks, vectors, k, id_col="chunk_id")
-    found = hits.join(chunks.select("chunk_id", "doc_id", "text").dropDuplicates(["chunk_id"]), "chunk_id")
+    found = chunks.select("chunk_id", "doc_id", "text").join(hits, "chunk_id").dropDuplicates(["query_id", "rank"])
     return found.join(queries, "query_id").withColumnRenamed("rank", "retrieval_rank")
 
 
@@ -58,7 +58,7 @@ def answered(
     hits = retrieved(asked.where("query_type = 'rag'").select("query_id", "query"), chunks, k, embedder)
     best = rerank.rerank(hits, n, reranker)
     source = F.struct(F.col("rerank_rank").alias("rank"), "doc_id", excerpt("text").alias("content"), "score")
-    packed = rerank.context(best).join(best.groupBy("query_id").agg(F.sort_array(F.collect_list(source)).alias("sources")), "query_id")
+    packed = best.groupBy("query_id").agg(rerank.joined_texts("rerank_rank").alias("context"), F.sort_array(F.collect_list(source)).alias("sources"))
     rows = asked.join(packed, "query_id", "left")
     past = None
     if messages is not None and now is not None:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.operators.providers import scorer
@@ -73,7 +73,12 @@ def rerank_diverse(candidates: DataFrame, n: int = DEFAULTS.rerank, lam: float =
     return lists.join(matrix, "query_id", "left").mapInPandas(pick, f"query_id {kind}, retrieval_rank int, rerank_score double, mmr_rank int")
 
 
-def context(ranked: DataFrame, rank: str = "rerank_rank") -> DataFrame:
-    """(query_id, context): the texts of each query in their order, with a blank line between them."""
+def joined_texts(rank: str) -> Column:
+    """An aggregate: the texts of a group in their order, with a blank line between them."""
     texts = F.sort_array(F.collect_list(F.struct(F.col(rank).alias("r"), "text")))
-    return ranked.groupBy("query_id").agg(F.array_join(F.transform(texts, lambda x: x["text"]), "\n\n").alias("context"))
+    return F.array_join(F.transform(texts, lambda x: x["text"]), "\n\n")
+
+
+def context(ranked: DataFrame, rank: str = "rerank_rank") -> DataFrame:
+    """(query_id, context) of the few candidates that are left for each query."""
+    return ranked.groupBy("query_id").agg(joined_texts(rank).alias("context"))

@@ -12,7 +12,7 @@ import pytest
 tokenizers = pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from corpusflow.llm import decontam, licenses, lm, quality, sharding, simhash, spm, tokencount, tokenfile, warc
+from corpusflow.llm import decontam, licenses, lm, neardup, quality, sharding, simhash, spm, tokencount, tokenfile, warc
 from corpusflow.llm.queries import PIECES, TOKENIZER, tokenizer_path
 
 WORDS = "the a of to stone river light house winter cloud paper green under seven morning letter glass field carries över größe niño".split()
@@ -247,6 +247,46 @@ def test_representatives(docs, none):
     assert simhash.representatives(none).count() == 0
 
 
+def plain_groups(rows, distance):
+    """Components of (id, wide fingerprint) by comparing all pairs."""
+    prints = {i: int.from_bytes(b"".join(x.to_bytes(8, "little") for x in neardup.wide_fingerprint((t or "").encode())), "little") for i, t in rows}
+    least = {i: i for i in prints}
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for a in prints:
+        for b in prints:
+            if (prints[a] ^ prints[b]).bit_count() <= distance:
+                x, y = sorted((root(a), root(b)))
+                least[y] = x
+    return {i: root(i) for i in prints}
+
+
+def varied(text, share, seed):
+    r = random.Random(seed)
+    return " ".join(f"new{r.randrange(10**6)}" if r.random() < share else w for w in text.split())
+
+
+def test_wide_simhash(spark, docs, none):
+    rows = []
+    for k in range(12):
+        base = " ".join(f"w{random.Random(k).randrange(10**6) + j}" for j in range(250))
+        rows += [(100 * k, base), (100 * k + 1, base)] + [(100 * k + 2 + j, varied(base, 0.01, 10 * k + j)) for j in range(6)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_groups(rows, neardup.DISTANCE)
+    missed = sum(got[i] != want[i] for i in want)
+    assert missed <= 2 and all(got[i] // 100 == i // 100 for i in got)  # groups of different texts never meet
+    shingles = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    close = [(a, b) for a in shingles for b in shingles if a < b and len(shingles[a] & shingles[b]) >= 0.85 * len(shingles[a] | shingles[b])]
+    assert sum(got[a] == got[b] for a, b in close) >= 0.97 * len(close) and len(close) > 50
+    kept = neardup.representatives(docs).collect()
+    assert len(kept) == len({r.component_id for r in neardup.near_duplicates(docs.where("doc_id is not null")).collect()}) + 1
+    assert set(kept[0].asDict()) == set(docs.columns) and neardup.representatives(none).count() == 0
+
+
 @pytest.mark.parametrize("size", [40, 150, 16_384])
 def test_sentencepiece(docs, none, size):
     import sentencepiece
