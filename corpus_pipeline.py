@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import decontam, neardup, quality, spm
+from corpusflow.llm import alike, decontam, quality, spm
 from corpusflow.llm.common import saved, table
 from corpusflow.llm.queries import PIECES, tokenizer_path
 
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, a similarity of about 0.8) the document with the smallest id stays."""
-    return neardup.representatives(docs)
+    """Of each group of near-duplicates (five words, a Jaccard similarity of 0.8, verified) the document with the smallest id stays."""
+    return alike.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,202 @@
+"""Operator 5 at a similarity of 0.8: groups of texts whose five-word shingles are alike, without a miss.
+
+Two texts link when the exact Jaccard similarity of their sets of shingles is at least 4/5. Candidates
+come from a prefix filter: all sets are sorted by one order of the shingles, and only the first
+``n - ceil(4n/5) + 1`` of a set's n shingles are indexed. Two sets at 4/5 share at least ``ceil(4n/5)``
+shingles, so their prefixes share one, whatever the order is: no pair is missed. The order puts
+shingles that many texts hold last, so that few texts meet at one; that changes the cost only.
+
+Candidates are thinned by bounds that hold for every pair at 4/5 (``_possible``), and each that is left is
+verified on the complete sets before it becomes a link. Equal sets are one node, however many
+texts have them.
+
+The pipeline takes this operator. ``neardup`` is its approximation by fingerprints of 128 bits.
+
+Edge cases are those of ``simhash``: null and empty texts are copies of each other, repeated rows are
+copies, an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from corpusflow.llm.common import saved, utf8
+from corpusflow.llm.components import components
+from corpusflow.llm.simhash import SEED, WORDS, _CHUNK, kept_rows
+
+#: Shingles that the order puts last: those that most texts of a part of the corpus hold.
+COMMON = 200_000
+#: Up to so many wanted texts their ids (24 bytes each) are sent to where the texts lie; beyond, texts are shuffled.
+FEW = 500_000
+
+
+def _hashes(text: bytes, words: int = WORDS) -> np.ndarray:
+    """A hash for each shingle, repeats included."""
+    import xxhash
+
+    w = text.lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    k = min(words, len(w))
+    n, out = len(w) - k + 1, []
+    for start in range(0, n, _CHUNK):
+        stop = min(n, start + _CHUNK)
+        parts = zip(*(w[i + start : i + stop] for i in range(k)), strict=True)
+        out.append(np.fromiter((xxhash.xxh64_intdigest(b" ".join(p), SEED) for p in parts), np.uint64, stop - start))
+    return np.concatenate(out)
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)])
+    flat = np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
+def common_shingles(docs: DataFrame, words: int = WORDS, number: int = COMMON) -> np.ndarray:
+    """Shingles that come often, for the order only: those repeated within batches of one text in eight, sorted."""
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            sets = [np.unique(_hashes(t or b"", words)) for t in part.column(0).to_pylist()]
+            found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["key", "n"])
+
+    some = docs.select(utf8("text").alias("text")).where("pmod(xxhash64(text), 8) = 0")
+    sums = some.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 3")
+    found = sums.orderBy(F.desc("n"), "key").limit(number).select("key").toArrow()["key"].to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
+def _prefix(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The shingles of a sorted set under which it is indexed, in their order."""
+    n = len(shingles)
+    place = np.minimum(np.searchsorted(common, shingles), max(len(common) - 1, 0))
+    late = common[place] == shingles if len(common) else np.zeros(n, bool)
+    return np.concatenate([shingles[~late], shingles[late]])[: n - (4 * n + 4) // 5 + 1] if n else shingles
+
+
+def indexed(docs: DataFrame, words: int = WORDS, common: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, copy, node, n, prefix): the node stands for the set of n shingles, ``copy`` for the very text."""
+    last = np.zeros(0, np.uint64) if common is None else common
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for part in parts:
+            nodes, sizes, heads = [], [], []
+            for text in part.column(2).to_pylist():
+                own = np.unique(_hashes(text or b"", words))
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                sizes.append(len(own))
+                heads.append(_prefix(own, last))
+            columns = [part.column(0), part.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), _lists(heads)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "node", "n", "prefix"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, copy long, node long, n int, prefix array<long>")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), utf8("text").alias("text"))
+
+
+def _possible(first: Column, second: Column, shared: Column) -> Column:
+    """Whether sets that share ``shared`` shingles up to one of both may reach 4/5; each side has ``n`` and that one's place."""
+    rest = F.least(first["n"] - first["place"], second["n"] - second["place"])
+    return (5 * first["n"] >= 4 * second["n"]) & (5 * second["n"] >= 4 * first["n"]) & (9 * (shared + rest) >= 4 * (first["n"] + second["n"]))
+
+
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """(key, node, n, place): the indexed shingles, without those of one node only."""
+    rows = nodes.select("node", "n", F.posexplode("prefix").alias("place", "key")).withColumn("place", F.col("place") + 1)
+    often = rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
+    return rows.join(often, "key", "left_semi").select("key", "node", "n", "place")
+
+
+def stars(rows: DataFrame) -> DataFrame:
+    """Candidates (u, v): each node with the least and the largest one, and the one with the most keys, that share a key.
+
+    This ties most of a large group of near copies together by links in proportion to its size.
+    """
+    one = F.struct("node", "n", "place")
+    known = rows.join(rows.groupBy("node").agg(F.count("*").alias("keys")), "node")
+    ends = known.groupBy("key").agg(F.min(one).alias("low"), F.max(one).alias("high"), F.max_by(one, F.struct("keys", "node")).alias("rich"))
+    hubs = ends.select("key", F.explode(F.array_distinct(F.array("low", "high", "rich"))).alias("b"))
+    met = rows.select("key", one.alias("a")).join(hubs, "key").where(F.col("a.node") != F.col("b.node"))
+    met = met.where(_possible(F.col("a"), F.col("b"), F.least("a.place", "b.place")))
+    return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+
+
+def pairs(rows: DataFrame) -> DataFrame:
+    """Candidates (u, v) in different groups of column ``part``: all that may reach 4/5.
+
+    The shared keys of a pair are counted, so the bound at the last of them is close. A row that is left
+    out before the count belongs to a pair that can't reach 4/5.
+    """
+    a, b = (rows.select("key", "part", F.struct("node", "n", "place").alias(x)).withColumnRenamed("part", f"p{x}") for x in "ab")
+    met = a.join(b, (a["key"] == b["key"]) & (F.col("pa") != F.col("pb")) & (F.col("a.node") < F.col("b.node")) & _possible(F.col("a"), F.col("b"), F.least("a.place", "b.place")))
+    last = [F.struct(F.max(f"{x}.n").alias("n"), F.max(f"{x}.place").alias("place")).alias(x) for x in "ab"]
+    counted = met.groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v")).agg(*last, F.count("*").alias("c"))
+    return counted.where(_possible(F.col("a"), F.col("b"), F.col("c"))).select("u", "v")
+
+
+def _thinned(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The candidates (u, v) that may reach 4/5 by all shingles that their prefixes share."""
+    found = candidates.select("u", "v").distinct()
+    needed = found.select("u").union(found.select("v")).distinct().withColumnRenamed("u", "node")
+    heads = nodes.join(needed, "node", "left_semi").select("node", F.struct("n", F.size("prefix").alias("place")).alias("s"), "prefix")
+    both = found.join(heads.toDF("u", "a", "x"), "u").join(heads.toDF("v", "b", "y"), "v").withColumn("same", F.array_intersect("x", "y"))
+    last = F.element_at("same", -1)
+    at = lambda s, x: F.struct(F.col(s)["n"].alias("n"), F.array_position(x, last).cast("int").alias("place"))
+    placed = both.where(F.size("same") > 0).select("u", "v", at("a", "x").alias("a"), at("b", "y").alias("b"), F.size("same").alias("c"))
+    return placed.where(_possible(F.col("a"), F.col("b"), F.col("c"))).select("u", "v")
+
+
+def links(candidates: DataFrame, docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
+    """The candidates (u, v) whose sets of shingles have a Jaccard similarity of 4/5 at least."""
+    found = saved(_thinned(candidates, nodes), "alike-candidates")
+    needed = found.select("u").union(found.select("v")).distinct().withColumnRenamed("u", "node")
+    wanted = nodes.join(needed, "node", "left_semi").select("node", F.col("one.copy").alias("c"), F.col("one.doc_id").alias("i"))
+    wanted = saved(wanted, "alike-wanted")
+    few = wanted.count() <= FEW
+    texts = _texts(docs)
+    texts = texts.join(F.broadcast(wanted) if few else wanted, (texts["copy"] == wanted["c"]) & texts["doc_id"].eqNullSafe(wanted["i"])).select("node", "text")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            sets = [np.unique(_hashes(t or b"", words)) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(sets)], names=["node", "shingles"])
+
+    sets = saved(texts.mapInArrow(run, "node long, shingles array<long>"), "alike-sets")
+    if not sets.groupBy("node").count().where("count > 1").isEmpty():  # repeated rows
+        sets = sets.dropDuplicates(["node"])
+    x, y = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return found.join(x, "u").join(y, "v").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("u", "v")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, component_id): the component is the smallest id that can be reached."""
+    rows = saved(indexed(docs, words, common_shingles(docs, words)), "alike-rows")
+    kept = [F.min("doc_id").alias("least"), F.min(F.struct("copy", "doc_id")).alias("one"), F.first("n").alias("n"), F.first("prefix").alias("prefix")]
+    nodes = saved(rows.groupBy("node").agg(*kept), "alike-nodes")
+    keys = saved(shared_keys(nodes), "alike-keys")
+    first = components(links(stars(keys), docs, nodes, words))
+    parts = saved(nodes.join(first, "node", "left").select("node", "least", F.coalesce("root", "node").alias("part")), "alike-parts")
+    grouped = keys.join(parts.select("node", "part"), "node")
+    ends = parts.select("node", "part")
+    across = links(pairs(grouped), docs, nodes, words).join(ends.toDF("u", "pu"), "u").join(ends.toDF("v", "pv"), "v")
+    second = components(across.select(F.col("pu").alias("u"), F.col("pv").alias("v"))).withColumnRenamed("node", "part")
+    named = parts.join(second, "part", "left").select("node", "least", F.coalesce("root", "part").alias("root"))
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = named.join(ids, "root").select("node", "component_id")
+    return rows.join(known, "node").select("doc_id", "component_id")
+
+
+def representatives(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The document with the smallest id of each group, with all its columns; see ``simhash.kept_rows``."""
+    return kept_rows(docs, lambda named: near_duplicates(named, words))

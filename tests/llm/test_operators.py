@@ -12,7 +12,7 @@ import pytest
 tokenizers = pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from corpusflow.llm import decontam, licenses, lm, neardup, quality, sharding, simhash, spm, tokencount, tokenfile, warc
+from corpusflow.llm import alike, decontam, licenses, lm, neardup, quality, sharding, simhash, spm, tokencount, tokenfile, warc
 from corpusflow.llm.queries import PIECES, TOKENIZER, tokenizer_path
 
 WORDS = "the a of to stone river light house winter cloud paper green under seven morning letter glass field carries över größe niño".split()
@@ -287,6 +287,30 @@ def test_wide_simhash(spark, docs, none):
     assert set(kept[0].asDict()) == set(docs.columns) and neardup.representatives(none).count() == 0
 
 
+def test_near_duplicates_are_exact(spark):
+    """Groups are those of brute-force Jaccard at 0.8, with planted pairs just above and just below."""
+    rows = []
+    for k in range(40):
+        r = random.Random(1000 + k)
+        base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        for j in range(1 + k % 5):  # each word changed within the text costs five shingles of 196
+            base_j = base[:]
+            for p in r.sample(range(5, 195, 10), j + 1):
+                base_j[p] = f"new{r.randrange(10**6)}"
+            rows.append((100 * k + j + 1, " ".join(base_j)))
+        rows.append((100 * k, " ".join(base)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(196)} for i, t in rows}
+    near = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and a // 100 == b // 100}
+    assert sum(0.8 <= x < 0.86 for x in near.values()) > 10 and sum(0.7 <= x < 0.8 for x in near.values()) > 10
+    least = {i: i for i in sets}
+    for _ in sets:
+        for (a, b), x in near.items():
+            if x >= 0.8:
+                least[a] = least[b] = min(least[a], least[b])
+    got = {r.doc_id: r.component_id for r in alike.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == least
+
+
 @pytest.mark.parametrize("size", [40, 150, 16_384])
 def test_sentencepiece(docs, none, size):
     import sentencepiece
