@@ -131,7 +131,7 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM pages WHERE regexp_matches(html, '<h1>[^<]*\S[^<]*</h1>')""")
 def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _html(spark, sf_dir).select(F.col("path").alias("page_id"), F.explode("headings").alias("h"))
-    return rows.where("h.level = 1").select("page_id", F.col("h.level").cast("long").alias("level"), "h.text")
+    return rows.select("page_id", F.col("h.level").cast("long").alias("level"), "h.text")
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,6 +156,12 @@ def markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.extracted(plain).select(F.col("path").alias("doc_id"), F.col("line_count").cast("long").alias("line_count"), "content_type")
 
 
+@query()
+def markdown_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a Markdown file, with all fields of the extractor; SQL can't express it, the tests have a plain version."""
+    return markdown.extracted(_files(spark, sf_dir)).withColumnRenamed("path", "doc_id")
+
+
 @query("""
     WITH d AS (SELECT doc_id, length(text) AS n, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS w, doc_id % 3 * 400 AS width, 300 + doc_id % 2 * 300 AS height, doc_id % 2 = 0 AS is_text FROM documents),
     b AS (SELECT *, CASE WHEN width * height > 0 THEN least(1, n / (width * height * CASE WHEN is_text THEN 0.01::DOUBLE ELSE 0.005::DOUBLE END)) ELSE 0.5 END AS base FROM d)

@@ -1,6 +1,7 @@
 """Formats, extractors, JSON corpora, pages and exports on small files made here."""
 
 import io
+import re
 import struct
 import zipfile
 import zlib
@@ -8,6 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from corpusflow.plans import source_queries
 from corpusflow.sources import docx, files, formats, html, image, jsons, markdown, pdf, plaintext, sinks, web
 
 
@@ -66,6 +68,17 @@ def test_markdown(spark):
     assert r.text == body.decode() and r.line_count == body.count(b"\n") + 1 and r.quality == "high"
 
 
+def test_markup_queries_read_all(spark, tmp_path):
+    texts = ["# Title\n\n- a\n- b\n", "| a | b |\n|---|---|\n| 1 | 2 |\n", "```python\nx\n```\n", "[l](u) text\n", "plain words"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "<h1>A</h1><h2>B</h2><h6>C</h6>")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.doc_id: r for r in source_queries.markdown_extract(spark, str(tmp_path)).collect()}
+    assert [got[i].text for i in range(5)] == texts and got[0].headers.h1 == 1
+    for field, pattern in {"num_unordered": r"(?m)(?:^- .*\n)+", "num_tables": r"(?m)^\|---", "num_code_blocks": r"(?m)^```\w", "num_links": r"\]\("}.items():
+        assert [got[i][field] for i in range(5)] == [len(re.findall(pattern, t)) for t in texts]
+    assert [(r.level, r.text) for r in source_queries.html_headings(spark, str(tmp_path)).collect()] == [(1, "A"), (2, "B"), (6, "C")]
+
+
 def word_file():
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     p = lambda t, s="": f"<w:p>{f'<w:pPr><w:pStyle w:val={chr(34)}{s}{chr(34)}/></w:pPr>' if s else ''}<w:r><w:t>{t}</w:t></w:r></w:p>"
