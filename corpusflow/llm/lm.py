@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import map_columns, saved, utf8
-from corpusflow.llm.pretokens import TABLE_ENTRIES, Table
+from corpusflow.llm.pretokens import Table
 
 #: Class 0 is the text's edge; then frequent words; then shapes.
 CLASSES = 128
@@ -55,8 +55,6 @@ class Classes:
 
     def of(self, text: bytes) -> np.ndarray:
         """The classes of a text's words, with an edge before and after."""
-        if len(self.table) > TABLE_ENTRIES:
-            self.table.clear()
         words = text.lower().split()
         out = np.zeros(len(words) + 2, np.int64)
         out[1:-1] = np.fromiter(map(self.table.__getitem__, words), np.int64, len(words))

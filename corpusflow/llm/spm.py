@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import map_columns, saved
-from corpusflow.llm.pretokens import TABLE_ENTRIES, Table
+from corpusflow.llm.pretokens import Table
 
 #: A document with more characters is cut into chunks of this size.
 CHUNK = 16_384
@@ -70,8 +70,6 @@ class Model:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text that is not giant, packed."""
-        if len(self.words) > TABLE_ENTRIES:
-            self.words.clear()
         if not text:
             return b""
         if "  " in text or text[0] == " " or MARK in text:
@@ -82,8 +80,6 @@ class Model:
         """The ids of a stretch that begins with a space and ends before one, word by word."""
         if MARK + MARK in text:
             return self.raw.encode(text)
-        if len(self.words) > TABLE_ENTRIES:
-            self.words.clear()
         return np.frombuffer(b"".join(map(self.words.__getitem__, text.split(MARK)[1:])), "<u4").tolist()
 
     def is_piece(self, text: str) -> bool:

@@ -1,81 +1,121 @@
 """Operator 4: token counts without token ids.
 
-The tokens of each distinct pre-token are counted once; a document's count is the sum, over its
-pre-tokens (taken together up to the next space), of frequency times count. The table of counts is
-joined to the documents' frequencies inside each Arrow batch, so nothing is shuffled, and lists of
-ids exist for distinct pre-tokens only. (A shuffled join of all pairs of document and pre-token has a
-row for each distinct word of each document; the README has figures.)
-
-Edge cases: null and empty texts have no tokens; repeated rows give repeated results; an empty table
-gives an empty result; other columns are ignored.
+A text is cut into pre-tokens (taken together up to the next space, so that their tokens don't depend
+on each other). Three steps:
+
+1. ``vocabulary``: the distinct pre-tokens of the whole corpus with their frequencies, each of which is
+   tokenised once and keeps only its number of tokens.
+2. ``frequencies``: how often each pre-token stands in each document. The ``HEAD`` most frequent ones of
+   the corpus, which make up most places, are sent to the tasks with their counts (at most ``HEAD``
+   entries of at most ``KEPT_CHARS`` characters, so the size is bounded) and summed there; a document's
+   other pre-tokens leave as rows.
+3. These rows are joined to the vocabulary by the pre-token and summed for each document. A pre-token
+   beyond the head isn't hot: at most one place in ``HEAD`` holds it.
+
+Lists of ids exist for one distinct pre-token at a time only.
+
+Edge cases: null and empty texts have no tokens; special strings inside texts are one token each, as
+the library has it by default; repeated rows give repeated results; an empty table gives an empty
+result; other columns are ignored; ids may have any type.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import map_columns
-from corpusflow.llm.pretokens import counts_of, cut
+from corpusflow.llm.common import map_columns, saved
+from corpusflow.llm.pretokens import KEPT_CHARS, Pieces, Units, counts_of, groups
 
 #: A text longer than this many tokens is over the limit.
 LIMIT = 512
+#: Pre-tokens whose counts are sent to the tasks.
+HEAD = 100_000
 
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit) of every document; ``tokenizer`` is a file the workers can read."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def make():
-        table = counts_of(tokenizer)
-
-        def count(text: str) -> int:
-            if table.special is not None and table.special.search(text):
-                return table.of(text)
-            return sum(n * table.units[piece] for piece, n in Counter(cut(text)).items())
-
-        def run(ids: list, texts: list, sizes: list) -> list[list]:
-            out = []
-            for text in texts:
-                out.append(count(text) if text else 0)
-                table.trim()
-            return [ids, sizes, out]
-
-        return run
-
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
-    out = map_columns(rows, make, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+def _stretches(table: Pieces, texts: list[str]) -> tuple[list[str], list[int], np.ndarray]:
+    """The texts without special strings, each stretch's text number, and the special strings in each text."""
+    out, owner, special = [], [], np.zeros(len(texts), np.int64)
+    for k, text in enumerate(texts):
+        own, found = table.stretches(text)
+        out += own
+        owner += [k] * len(own)
+        special[k] = len(found)
+    return out, owner, special
 
 
 def vocabulary(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
-    """(piece, documents, occurrences, n_tokens): the distinct pieces of the whole corpus, each counted once.
+    """(piece, occurrences, n_tokens): the distinct pre-tokens of the whole corpus, each counted once.
 
-    Every batch sends a row for each of its distinct pieces; the sums meet in one shuffle.
+    Every group of texts sends a row for each of its distinct pre-tokens; the sums meet in one shuffle.
     """
 
     def split():
+        table = counts_of(tokenizer)
+
         def run(texts: list) -> list[list]:
-            seen, places = Counter(), Counter()
-            for text in texts:
-                own = Counter(cut(text or ""))
-                places.update(own)
-                seen.update(own.keys())
-            return [list(seen), [seen[x] for x in seen], [places[x] for x in seen]]
+            pieces, places = [], []
+            for _, group in groups(texts):
+                units = Units(_stretches(table, group)[0])
+                pieces += units.distinct
+                places += np.bincount(units.codes, minlength=len(units.distinct)).tolist()
+            return [pieces, places]
 
         return run
 
     def count():
         table = counts_of(tokenizer)
 
-        def run(pieces: list, documents: list, occurrences: list) -> list[list]:
-            table.trim()
-            return [pieces, documents, occurrences, [table.of(x) for x in pieces]]
+        def run(pieces: list, occurrences: list) -> list[list]:
+            return [pieces, occurrences, [table.unit(x) for x in pieces]]
 
         return run
 
-    parts = map_columns(docs.select(F.col(text_col).alias("text")), split, "piece string, documents long, occurrences long")
-    whole = parts.groupBy("piece").agg(F.sum("documents").alias("documents"), F.sum("occurrences").alias("occurrences"))
-    return map_columns(whole, count, "piece string, documents long, occurrences long, n_tokens long")
+    parts = map_columns(docs.select(F.col(text_col).alias("text")), split, "piece string, occurrences long")
+    whole = parts.groupBy("piece").agg(F.sum("occurrences").alias("occurrences"))
+    return map_columns(whole, count, "piece string, occurrences long, n_tokens long")
+
+
+def frequencies(docs: DataFrame, tokenizer: str, head: dict[str, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, known, pieces, times): the tokens of the head's pre-tokens, and the frequencies of all others."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(head)
+
+    def make():
+        table, counts = counts_of(tokenizer), sent.value
+
+        def run(ids: list, texts: list, sizes: list) -> list[list]:
+            known, pieces, times = [], [], []
+            for _, group in groups(texts):
+                stretches, owner, special = _stretches(table, group)
+                units = Units(stretches)
+                value = np.fromiter((counts.get(u, -1) for u in units.distinct), np.int64, len(units.distinct))
+                text_of = np.repeat(np.array(owner, np.int64), np.diff(units.ends))
+                kept = value[units.codes] >= 0
+                known += (special + np.bincount(text_of[kept], weights=value[units.codes][kept], minlength=len(group)).astype(np.int64)).tolist()
+                pairs, n = np.unique(text_of[~kept] * max(1, len(units.distinct)) + units.codes[~kept], return_counts=True)
+                rows, codes = np.divmod(pairs, max(1, len(units.distinct)))
+                ends = np.searchsorted(rows, np.arange(len(group) + 1)).tolist()
+                names, n = [units.distinct[c] for c in codes.tolist()], n.tolist()
+                pieces += [names[a:b] for a, b in zip(ends, ends[1:])]
+                times += [n[a:b] for a, b in zip(ends, ends[1:])]
+            return [ids, sizes, known, pieces, times]
+
+        return run
+
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
+    return map_columns(rows, make, f"`{id_col}` {kind}, n_bytes long, known long, pieces array<string>, times array<long>")
+
+
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, n_tokens, over_limit) of every document; ``tokenizer`` is a file the workers can read."""
+    known = saved(vocabulary(docs, tokenizer, text_col), "pieces")
+    top = known.where(F.length("piece") <= KEPT_CHARS).orderBy(F.desc("occurrences"), "piece").limit(head).collect()
+    rows = frequencies(docs, tokenizer, {r.piece: r.n_tokens for r in top}, id_col, text_col)
+    rows = saved(rows.withColumn("cf_row", F.monotonically_increasing_id()), "frequencies")  # written, so a row keeps its number
+    pairs = rows.select("cf_row", F.explode(F.arrays_zip("pieces", "times")).alias("p")).select("cf_row", F.col("p.pieces").alias("piece"), F.col("p.times").alias("times"))
+    found = pairs.join(known.select("piece", "n_tokens"), "piece").select("cf_row", (F.col("times") * F.col("n_tokens")).alias("known"))
+    sums = rows.select("cf_row", "known", F.struct(f"`{id_col}`", "n_bytes").alias("one")).unionByName(found, allowMissingColumns=True)
+    whole = sums.groupBy("cf_row").agg(F.sum("known").alias("n_tokens"), F.first("one", ignorenulls=True).alias("one"))
+    return whole.select(f"one.`{id_col}`", "one.n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

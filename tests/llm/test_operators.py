@@ -162,6 +162,8 @@ def test_token_counts(docs, none, library):
     expect = Counter((i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in TEXTS)
     assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in rows) == expect
     assert all(r.over_limit == (r.n_tokens > 512) for r in rows)
+    joined = tokencount.token_counts(docs, tokenizer_path(TOKENIZER), head=3).collect()  # nearly all pieces go through the join
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in joined) == expect
     assert tokencount.token_counts(none, tokenizer_path(TOKENIZER)).count() == 0
     words = tokencount.vocabulary(docs.where("doc_id = 1"), tokenizer_path(TOKENIZER)).collect()
     assert sum(r.occurrences * r.n_tokens for r in words) == len(library.encode(TEXTS[0][1], add_special_tokens=False).ids)
@@ -169,14 +171,27 @@ def test_token_counts(docs, none, library):
 
 def test_pieces_are_the_librarys(library):
     """Random strings of troublesome characters: every cut must leave the ids unchanged."""
-    from corpusflow.llm.pretokens import ids_of
+    from corpusflow.llm.pretokens import encoded, ids_of
 
     r, table = random.Random(5), ids_of(tokenizer_path(TOKENIZER))
     signs = ["a", "B", "é", "ß", "1", "²", "ª", "_", "'", "'s", "'ll", " ", " ", "  ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", " ", " ", "中", "ـ", "!", "-", "<|endoftext|>", "the", " The", "́", "😀"]
-    for _ in range(4000):
-        text = "".join(r.choice(signs) for _ in range(r.randint(1, 14)))
-        data = table.of(text)
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 14))) for _ in range(4000)]
+    for text, data in zip(texts, encoded(table, [*texts, None]), strict=False):
+        assert data == table.of(text)
         assert list(struct.unpack(f"<{len(data) // 4}I", data)) == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert list(encoded(table, [])) == [] and list(encoded(table, [None, ""])) == [b"", b""]
+
+
+def test_full_table_forgets_and_still_answers(monkeypatch):
+    from corpusflow.llm import pretokens
+
+    monkeypatch.setattr(pretokens, "TABLE_ENTRIES", 10)
+    table = pretokens.Table(len)
+    r = random.Random(3)
+    for _ in range(2000):
+        key = "x" * r.randint(0, 90)
+        assert table[key] == len(key)
+        assert len(table) + len(table.older) <= 10 and max(map(len, table), default=0) <= pretokens.KEPT_CHARS
 
 
 def plain_fingerprint(text, words):
