@@ -26,19 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import map_columns, saved
-from corpusflow.llm.pretokens import KEPT_CHARS, Pieces, Units, counts_of, groups
+from corpusflow.llm.pretokens import KEPT_CHARS, Encoder, Units, encoder_of, groups
 
 #: A text longer than this many tokens is over the limit.
 LIMIT = 512
-#: Pre-tokens whose counts are sent to the tasks.
-HEAD = 100_000
+#: At most so many pre-tokens' counts are sent to the tasks.
+HEAD = 300_000
 
 
-def _stretches(table: Pieces, texts: list[str]) -> tuple[list[str], list[int], np.ndarray]:
+def _stretches(encoder: Encoder, texts: list[str]) -> tuple[list[str], list[int], np.ndarray]:
     """The texts without special strings, each stretch's text number, and the special strings in each text."""
     out, owner, special = [], [], np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
-        own, found = table.stretches(text)
+        own, found = encoder.stretches(text)
         out += own
         owner += [k] * len(own)
         special[k] = len(found)
@@ -52,12 +52,12 @@ def vocabulary(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataF
     """
 
     def split():
-        table = counts_of(tokenizer)
+        encoder = encoder_of(tokenizer)
 
         def run(texts: list) -> list[list]:
             pieces, places = [], []
             for _, group in groups(texts):
-                units = Units(_stretches(table, group)[0])
+                units = Units(_stretches(encoder, group)[0])
                 pieces += units.distinct
                 places += np.bincount(units.codes, minlength=len(units.distinct)).tolist()
             return [pieces, places]
@@ -65,10 +65,10 @@ def vocabulary(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataF
         return run
 
     def count():
-        table = counts_of(tokenizer)
+        encoder = encoder_of(tokenizer)
 
         def run(pieces: list, occurrences: list) -> list[list]:
-            return [pieces, occurrences, [table.unit(x) for x in pieces]]
+            return [pieces, occurrences, [encoder.count(x) for x in pieces]]
 
         return run
 
@@ -77,18 +77,37 @@ def vocabulary(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataF
     return map_columns(whole, count, "piece string, occurrences long, n_tokens long")
 
 
+def frequent(known: DataFrame, head: int = HEAD) -> dict[str, int]:
+    """The most frequent pre-tokens with their counts: all that occur often enough for at most ``head`` to do so.
+
+    The frequency that this takes is read off a histogram (16 steps for each doubling), so no more than
+    these rows come to the driver, whatever the number of partitions.
+    """
+    short = known.where(F.length("piece") <= KEPT_CHARS).withColumn("step", F.floor(16 * F.log2("occurrences")))
+    least, held = None, 0
+    for step, n in sorted(short.groupBy("step").count().collect(), reverse=True):
+        held += n
+        if held > head:
+            break
+        least = step
+    if least is None:
+        return {}
+    found = short.where(F.col("step") >= least).select("piece", "n_tokens").toArrow()
+    return dict(zip(found["piece"].to_pylist(), found["n_tokens"].to_pylist(), strict=True))
+
+
 def frequencies(docs: DataFrame, tokenizer: str, head: dict[str, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, known, pieces, times): the tokens of the head's pre-tokens, and the frequencies of all others."""
     kind = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(head)
 
     def make():
-        table, counts = counts_of(tokenizer), sent.value
+        encoder, counts = encoder_of(tokenizer), sent.value
 
         def run(ids: list, texts: list, sizes: list) -> list[list]:
             known, pieces, times = [], [], []
             for _, group in groups(texts):
-                stretches, owner, special = _stretches(table, group)
+                stretches, owner, special = _stretches(encoder, group)
                 units = Units(stretches)
                 value = np.fromiter((counts.get(u, -1) for u in units.distinct), np.int64, len(units.distinct))
                 text_of = np.repeat(np.array(owner, np.int64), np.diff(units.ends))
@@ -111,8 +130,7 @@ def frequencies(docs: DataFrame, tokenizer: str, head: dict[str, int], id_col: s
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every document; ``tokenizer`` is a file the workers can read."""
     known = saved(vocabulary(docs, tokenizer, text_col), "pieces")
-    top = known.where(F.length("piece") <= KEPT_CHARS).orderBy(F.desc("occurrences"), "piece").limit(head).collect()
-    rows = frequencies(docs, tokenizer, {r.piece: r.n_tokens for r in top}, id_col, text_col)
+    rows = frequencies(docs, tokenizer, frequent(known, head), id_col, text_col)
     rows = saved(rows.withColumn("cf_row", F.monotonically_increasing_id()), "frequencies")  # written, so a row keeps its number
     pairs = rows.select("cf_row", F.explode(F.arrays_zip("pieces", "times")).alias("p")).select("cf_row", F.col("p.pieces").alias("piece"), F.col("p.times").alias("times"))
     found = pairs.join(known.select("piece", "n_tokens"), "piece").select("cf_row", (F.col("times") * F.col("n_tokens")).alias("known"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import saved, shared_path
-from corpusflow.llm.pretokens import encoded, ids_of
+from corpusflow.llm.pretokens import encoder_of
 from corpusflow.llm.warc import filesystem
 
 BLOCK = 8192
@@ -173,12 +173,12 @@ def write_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        table, writer, end = ids_of(tokenizer), None, struct.pack("<I", END_ID)
+        encoder, writer, end = encoder_of(tokenizer), None, struct.pack("<I", END_ID)
         for part in parts:
             if part.num_rows and writer is None:
                 writer = Writer(folder)
-            for doc_id, ids in zip(part.column(0).to_pylist(), encoded(table, part.column(1).to_pylist()), strict=True):
-                writer.add(doc_id, ids + end)
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                writer.add(doc_id, encoder.ids(text) + end)
         done = [] if writer is None else [writer.close() | {"part": TaskContext.get().partitionId()}]
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("path", pa.string()), ("part", pa.int32()), ("ids", pa.int64()), ("docs", pa.int64())]))
 

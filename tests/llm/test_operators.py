@@ -12,7 +12,7 @@ import pytest
 tokenizers = pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from corpusflow.llm import alike, decontam, licenses, lm, neardup, quality, sharding, simhash, spm, tokencount, tokenfile, warc
+from corpusflow.llm import alike, decontam, licenses, lm, neardup, pretokens, quality, sharding, simhash, spm, tokencount, tokenfile, warc
 from corpusflow.llm.queries import PIECES, TOKENIZER, tokenizer_path
 
 WORDS = "the a of to stone river light house winter cloud paper green under seven morning letter glass field carries över größe niño".split()
@@ -162,7 +162,7 @@ def test_token_counts(docs, none, library):
     expect = Counter((i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in TEXTS)
     assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in rows) == expect
     assert all(r.over_limit == (r.n_tokens > 512) for r in rows)
-    joined = tokencount.token_counts(docs, tokenizer_path(TOKENIZER), head=3).collect()  # nearly all pieces go through the join
+    joined = tokencount.token_counts(docs, tokenizer_path(TOKENIZER), head=9).collect()  # nearly all pieces go through the join
     assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in joined) == expect
     assert tokencount.token_counts(none, tokenizer_path(TOKENIZER)).count() == 0
     words = tokencount.vocabulary(docs.where("doc_id = 1"), tokenizer_path(TOKENIZER)).collect()
@@ -171,20 +171,56 @@ def test_token_counts(docs, none, library):
 
 def test_pieces_are_the_librarys(library):
     """Random strings of troublesome characters: every cut must leave the ids unchanged."""
-    from corpusflow.llm.pretokens import encoded, ids_of
+    from corpusflow.llm.pretokens import Units, encoder_of
 
-    r, table = random.Random(5), ids_of(tokenizer_path(TOKENIZER))
-    signs = ["a", "B", "é", "ß", "1", "²", "ª", "_", "'", "'s", "'ll", " ", " ", "  ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", " ", " ", "中", "ـ", "!", "-", "<|endoftext|>", "the", " The", "́", "😀"]
+    r, encoder = random.Random(5), encoder_of(tokenizer_path(TOKENIZER))
+    assert encoder.core is not None
+    signs = ["a", "B", "é", "ß", "1", "²", "ª", "_", "'", "'s", "'ll", " ", " ", "  ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", " ", " ", "中", "ـ", "!", "-", "<|endoftext|>", "the", " The", "́", "😀"]
     texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 14))) for _ in range(4000)]
-    for text, data in zip(texts, encoded(table, [*texts, None]), strict=False):
-        assert data == table.of(text)
-        assert list(struct.unpack(f"<{len(data) // 4}I", data)) == library.encode(text, add_special_tokens=False).ids, repr(text)
-    assert list(encoded(table, [])) == [] and list(encoded(table, [None, ""])) == [b"", b""]
+    for text in texts:
+        ids = list(encoder.tokenizer.encode(text, add_special_tokens=False).ids)
+        data = encoder.ids(text)
+        assert list(struct.unpack(f"<{len(data) // 4}I", data)) == ids, repr(text)
+        stretches, special = encoder.stretches(text)
+        assert len(special) + sum(encoder.count(piece) for s in stretches for piece in Units([s]).distinct for _ in range(Units([s]).codes.tolist().count(Units([s]).distinct.index(piece)))) == len(ids)
+    units = Units(texts)
+    assert [[units.distinct[c] for c in units.codes[a:b]] for a, b in zip(units.ends, units.ends[1:])] == [pretokens.cut(t) for t in texts]
+    assert len(set(units.distinct)) == len(units.distinct)
+
+
+def test_merge_loop_is_the_librarys(library):
+    """Every token of the vocabulary next to every kind of neighbour, and random bytes of letters."""
+    from corpusflow.llm.pretokens import encoder_of
+
+    r, encoder = random.Random(6), encoder_of(tokenizer_path(TOKENIZER))
+    tokens = [library.decode([i]) for i in range(0, 50_000, 7)]
+    for _ in range(300):
+        text = "".join(r.choice(tokens) for _ in range(60))
+        data = encoder.ids(text)
+        assert list(struct.unpack(f"<{len(data) // 4}I", data)) == library.encode(text, add_special_tokens=False).ids
+    for alphabet in ("etaoin", "ab ", "0123456789-", "éèüß e"):
+        text = "".join(r.choice(alphabet) for _ in range(50_000))
+        data = encoder.ids(text)
+        assert list(struct.unpack(f"<{len(data) // 4}I", data)) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_other_files_are_left_to_the_library(tmp_path, library):
+    """A file whose ids don't follow its merges has no merge loop, and the same results."""
+    import json
+
+    from corpusflow.llm.pretokens import Encoder
+
+    file = json.loads(library.to_str())
+    file["model"]["merges"] = file["model"]["merges"][:300][::-1]
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(file))
+    own, encoder = tokenizers.Tokenizer.from_file(str(path)), Encoder(str(path))
+    assert encoder.core is None
+    data = encoder.ids(TEXTS[0][1])
+    assert list(struct.unpack(f"<{len(data) // 4}I", data)) == own.encode(TEXTS[0][1], add_special_tokens=False).ids
 
 
 def test_full_table_forgets_and_still_answers(monkeypatch):
-    from corpusflow.llm import pretokens
-
     monkeypatch.setattr(pretokens, "TABLE_ENTRIES", 10)
     table = pretokens.Table(len)
     r = random.Random(3)
