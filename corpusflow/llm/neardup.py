@@ -1,124 +1,272 @@
-"""Operator 5 at a similarity of 0.8: SimHash of two words, searched by the same multi-index hashing.
+"""Operator 5 at a similarity of 0.8: SimHash and multi-index hashing, verified on the shingles.
 
-At a distance of 4 bits of 64 only very close copies link. Documents whose five-word shingles have a
-Jaccard similarity of 0.8 differ in about 15 bits of 100, so this module takes 128 bits, which
-estimate the similarity twice as well, and links at ``DISTANCE`` or fewer differing bits.
+At a distance of 4 bits of 64 only very close copies link. Texts whose sets of five-word shingles have
+a Jaccard similarity of 0.8 differ in about 15 bits of 100, so this module takes 126 bits in two words,
+cut into ``SEGMENTS`` segments of ``BITS`` bits, and three steps:
 
-Each 64-bit word has ``SEGMENTS`` segments. Both the index and the search enumerate the Hamming ball of
-radius 1 around each segment's value, so two values that differ in at most 2 bits meet; the complete
-distance is verified in the join. A pair within 8 bits in either word is found for certain. Of pairs
-at a similarity of 0.8 a segment meets one in three, and at least one of the six segments over nine
-in ten; the README has measured figures.
+1. Index and search enumerate a small Hamming ball around each segment's value: all values that differ
+   in at most ``RADIUS`` of the ``UNSURE`` bits whose majority is narrowest. Those are the bits in
+   which near copies differ, so two balls meet, at a similarity of 0.8, in two segments of three, and
+   in some of the six segments for 998 pairs in 1000 (``corpusflow.llm.recall`` measures it).
+2. Of the pairs that meet, the complete distance is verified: ``DISTANCE`` bits at most, which is 3.5
+   standard deviations above the mean at 0.8.
+3. What is left is verified on the complete sets of shingles: a pair links if the exact Jaccard
+   similarity is 4/5 or more, so no other document is lost.
 
-Edge cases are those of ``simhash``: null and empty texts have the fingerprint zero and are copies of
-each other, repeated rows are copies, an empty table gives an empty result.
+Texts with equal sets are one node, however many they are; a node's number is the smallest id of its
+texts, so components carry the smallest id that can be reached. Nodes are first tied to few others that
+share a segment's value, and only pairs of different groups are formed after that; values that one
+group alone holds are dropped before the join.
+
+With more than ``2 ** BITS`` nodes more of them share a segment's value by chance; ``BITS`` can then be
+raised, at the cost of more segments. Members of a group that aren't linked directly may be less alike.
+
+Edge cases are those of ``simhash``: null and empty texts are copies of each other, repeated rows are
+copies, rows without an id have no component unless they hang together with others, an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import map_columns, saved, utf8
+from corpusflow.llm.common import saved, utf8
 from corpusflow.llm.components import components
-from corpusflow.llm.simhash import SEED, SEGMENTS, WORDS, _CHUNK, _key, _segments, kept_rows
+from corpusflow.llm.simhash import NO_ID, SEED, WORDS, kept_rows
+
+BITS = 21
+SEGMENTS = 6
+UNSURE = 6
+RADIUS = 2
+DISTANCE = 34
+#: Of the 31 bits that a row of the index carries, so many may differ at most; about 3.5 deviations above the mean, too.
+NEAR_31 = 12
+#: Shingles, and words, that are worked on at once.
+_CHUNK = 1 << 16
+_GROUP = 1 << 21
+#: Up to so many wanted texts their ids (24 bytes each) are sent to where the texts lie; beyond, texts are shuffled.
+FEW = 500_000
+
 
-DISTANCE = 24
-_PRINTS = ("fp", "fp2")
+def _mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of the splitmix generator."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _second(h: np.ndarray) -> np.ndarray:
-    """Another 64 bits from a hash: the finaliser of the splitmix generator."""
-    z = h + np.uint64(0x9E3779B97F4A7C15)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+def _fold(values: list[np.ndarray]) -> np.ndarray:
+    """One hash for each row of the word hashes, in order."""
+    out = _mix(values[0] + np.uint64(len(values)))
+    for v in values[1:]:
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + v)
+    return out
 
 
-def wide_fingerprint(text: bytes, words: int = WORDS) -> tuple[int, int]:
-    """Two words: the fingerprint of ``simhash``, and the same over the second hash of each shingle."""
+def shingle_sets(texts: list[bytes | None], words: int = WORDS) -> Iterator[np.ndarray]:
+    """For each text the sorted hashes of its distinct shingles (of the whole sequence, if it is shorter).
+
+    Words are split at white space, A-Z in lower case; each distinct word of a group of texts is hashed
+    once, and numpy puts the hashes of neighbours together.
+    """
     import xxhash
 
-    w = text.lower().split()
-    if not w:
-        return 0, 0
-    k = min(words, len(w))
-    n, total = len(w) - k + 1, np.zeros(128, np.int64)
-    for start in range(0, n, _CHUNK):
-        stop = min(n, start + _CHUNK)
-        parts = zip(*(w[i + start : i + stop] for i in range(k)), strict=True)
-        h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(p), SEED) for p in parts), np.uint64, stop - start)
-        both = np.stack([h, _second(h)], axis=1).astype("<u8").view(np.uint8)
+    held: list[list[bytes]] = []
+
+    def flush() -> Iterator[np.ndarray]:
+        coded = pa.array([w for own in held for w in own], pa.binary()).dictionary_encode()
+        table = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+        flat = table[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.uint64)
+        n = len(flat) - words + 1
+        whole = _fold([flat[k : k + n] for k in range(words)]) if n > 0 else np.zeros(0, np.uint64)
+        at = 0
+        for own in held:
+            k = len(own)
+            yield np.unique(whole[at : at + k - words + 1]) if k >= words else _fold([flat[at + j : at + j + 1] for j in range(k)]) if k else np.zeros(0, np.uint64)
+            at += k
+
+    size = 0
+    for text in texts:
+        held.append((text or b"").lower().split())
+        size += len(held[-1])
+        if size > _GROUP:
+            yield from flush()
+            held, size = [], 0
+    yield from flush()
+
+
+def bit_majorities(shingles: np.ndarray) -> np.ndarray:
+    """For each of the 126 bits: how many hashes have it more than lack it."""
+    total = np.zeros(128, np.int64)
+    for at in range(0, len(shingles), _CHUNK):
+        part = shingles[at : at + _CHUNK]
+        both = np.stack([part, _mix(part + np.uint64(0x9E3779B97F4A7C15))], axis=1).view(np.uint8)
         total += np.unpackbits(both, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    a, b = np.packbits(2 * total > n, bitorder="little").view("<u8")
-    return int(a), int(b)
+    return np.concatenate([total[: 3 * BITS], total[64 : 64 + 3 * BITS]]) * 2 - len(shingles)
+
+
+def segments(majorities: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The value of each segment, and its least certain bits: [text, segment] and [text, segment, UNSURE]."""
+    cut = majorities.reshape(-1, SEGMENTS, BITS)
+    values = ((cut > 0) << np.arange(BITS)).sum(axis=2)
+    return values, np.argsort(np.abs(cut), axis=2, kind="stable")[:, :, :UNSURE].astype(np.uint8)
+
+
+def ball(values: np.ndarray, unsure: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """All keys of each text: [text, key]; a key is a value near the segment's with the segment's number above it."""
+    one = np.int64(1) << unsure.astype(np.int64)
+    masks = [np.bitwise_or.reduce(one[:, :, list(c)], axis=2) if c else np.zeros(values.shape, np.int64) for k in range(radius + 1) for c in combinations(range(UNSURE), k)]
+    named = values | (np.arange(SEGMENTS, dtype=np.int64) << BITS)
+    return (named[:, :, None] ^ np.stack(masks, axis=2)).reshape(len(values), -1)
+
+
+def prints(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, copy, same, n, fp, fp2, unsure): ``same`` stands for the set of n shingles, ``copy`` for the very text."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
+        for part in parts:
+            same, sizes, found = [], [], []
+            for own in shingle_sets(part.column(2).to_pylist(), words):
+                same.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                sizes.append(len(own))
+                found.append(bit_majorities(own))
+            values, unsure = segments(np.array(found, np.int64).reshape(-1, SEGMENTS * BITS))
+            low, high = ((values[:, h : h + 3] << (BITS * np.arange(3))).sum(axis=1) for h in (0, 3))
+            near = [row.tobytes() for row in unsure.reshape(len(unsure), -1)]
+            columns = [part.column(0), part.column(1), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(low), pa.array(high), pa.array(near, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "same", "n", "fp", "fp2", "unsure"])
 
-def wide_fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, fp2, node): the node stands for the fingerprint in the graph."""
+    return _texts(docs).mapInArrow(run, "doc_id long, copy long, same long, n int, fp long, fp2 long, unsure binary")
 
-    def make():
-        def run(ids: list, texts: list) -> list[list]:
-            found = np.array([wide_fingerprint(t or b"", words) for t in texts], np.uint64).reshape(-1, 2).view(np.int64)
-            return [ids, found[:, 0], found[:, 1]]
 
-        return run
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), utf8("text").alias("text"))
 
-    rows = map_columns(docs.select(id_col, utf8(text_col)), make, "doc_id long, fp long, fp2 long")
-    return rows.withColumn("node", F.xxhash64(*_PRINTS))
 
+def indexed(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(key, node, part, low): each node under every value in the balls around its segments; ``low`` is 31 of its bits."""
 
-def _keys(radius: int, segments: int = SEGMENTS) -> Column:
-    """All values within the radius (0 or 1) around each segment of both words."""
-    out = []
-    for p, name in enumerate(_PRINTS):
-        for i, (a, n) in enumerate(_segments(segments)):
-            key = _key(F.col(name), p * segments + i, a, n)
-            out += [key] + [key.bitwiseXOR(F.lit(1 << b)) for b in range(n) if radius]
-    return F.array(*out)
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for at in range(0, part.num_rows, 4096):
+                some = part.slice(at, 4096)
+                node, group, fp, fp2 = (c.to_numpy() for c in some.columns[:4])
+                values = np.stack([(w >> (BITS * k)) & ((1 << BITS) - 1) for w in (fp, fp2) for k in range(3)], axis=1)
+                unsure = np.frombuffer(b"".join(some.column(4).to_pylist()), np.uint8).reshape(len(node), SEGMENTS, UNSURE)
+                keys = ball(values, unsure, radius)
+                each = keys.shape[1]
+                low = (fp2 & 0x7FFFFFFF).astype(np.int32)
+                columns = [pa.array(keys.reshape(-1).astype(np.int32)), *(pa.array(np.repeat(x, each)) for x in (node, group, low))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "part", "low"])
 
+    return nodes.select("node", "part", "fp", "fp2", "unsure").mapInArrow(run, "key int, node long, part long, low int")
 
-def _near(distance: int) -> Column:
-    bits = [F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in _PRINTS]
-    return bits[0] + bits[1] <= distance
 
+def _close() -> Column:
+    return F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) + F.bit_count(F.col("a.fp2").bitwiseXOR(F.col("b.fp2"))) <= DISTANCE
 
-def stars(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(u, v): each node with the least and the largest one that share a segment's value, where they are near.
+
+def _sizes_fit() -> Column:
+    """Sets at 4/5 have sizes at 4/5."""
+    return (5 * F.col("a.n") >= 4 * F.col("b.n")) & (5 * F.col("b.n") >= 4 * F.col("a.n"))
+
+
+def stars(nodes: DataFrame) -> DataFrame:
+    """Candidates (u, v): each node with the least, the largest and the longest one that share a segment's value.
 
     This ties most of a large group of near copies together by links in proportion to its size.
     """
-    rows = nodes.select("node", *_PRINTS, F.explode(_keys(0)).alias("key"))
-    one = F.struct("node", *_PRINTS)
-    ends = rows.groupBy("key").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low.node <> high.node")
-    hubs = ends.select("key", F.explode(F.array("low", "high")).alias("h")).select("key", "h.*")
-    met = rows.alias("a").join(hubs.alias("b"), F.col("a.key") == F.col("b.key")).where((F.col("a.node") != F.col("b.node")) & _near(distance))
-    return met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    one = F.struct("node", "n", "fp", "fp2")
+    rows = indexed(nodes.withColumn("part", F.col("node")), radius=0).select("key", "node").join(nodes.select("node", one.alias("a")), "node").select("key", "a")
+    ends = rows.groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high"), F.max_by("a", F.struct("a.n", "a.node")).alias("rich"))
+    hubs = ends.where("low.node <> high.node").select("key", F.explode(F.array_distinct(F.array("low", "high", "rich"))).alias("b"))
+    met = rows.join(hubs, "key").where((F.col("a.node") != F.col("b.node")) & _close() & _sizes_fit())
+    return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+
+
+def pairs(nodes: DataFrame) -> DataFrame:
+    """Candidates (u, v) in different groups of column ``part``, within the complete distance."""
+    held = Window.partitionBy("key")
+    rows = indexed(nodes).withColumn("one", F.min("part").over(held)).withColumn("other", F.max("part").over(held)).where("one <> other").drop("one", "other")
+    fits = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.part") != F.col("b.part"))
+    fits = fits & (F.bit_count(F.col("a.low").bitwiseXOR(F.col("b.low"))) <= NEAR_31)
+    met = rows.alias("a").join(rows.alias("b"), fits).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    one = F.struct("n", "fp", "fp2")
+    both = met.join(nodes.select(F.col("node").alias("u"), one.alias("a")), "u").join(nodes.select(F.col("node").alias("v"), one.alias("b")), "v")
+    return both.where(_close() & _sizes_fit()).select("u", "v")
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)])
+    flat = np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
+def verified(candidates: DataFrame, docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
+    """The candidates (u, v) whose sets of shingles have a Jaccard similarity of 4/5 at least."""
+    found = saved(candidates, "near-candidates")
+    needed = found.select("u").union(found.select("v")).distinct().withColumnRenamed("u", "node")
+    wanted = saved(nodes.join(needed, "node", "left_semi").select("node", F.col("one.copy").alias("c"), F.col("one.doc_id").alias("i")), "near-wanted")
+    few = wanted.count() <= FEW
+    texts = _texts(docs)
+    texts = texts.join(F.broadcast(wanted) if few else wanted, (texts["copy"] == wanted["c"]) & texts["doc_id"].eqNullSafe(wanted["i"])).select("node", "text")
 
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(list(shingle_sets(part.column(1).to_pylist(), words)))], names=["node", "shingles"])
 
-def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(u, v): links between the groups of column ``part``; pairs inside a group don't leave the join."""
-    rows = nodes.select("node", "part", *_PRINTS, F.explode(_keys(1)).alias("key"))
-    fits = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.part") != F.col("b.part")) & _near(distance)
-    met = rows.alias("a").join(rows.alias("b"), fits)
-    return met.select(F.least("a.part", "b.part").alias("u"), F.greatest("a.part", "b.part").alias("v")).distinct()
+    sets = saved(texts.mapInArrow(run, "node long, shingles array<long>"), "near-sets")
+    if not sets.groupBy("node").count().where("count > 1").isEmpty():  # repeated rows
+        sets = sets.dropDuplicates(["node"])
+    x, y = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return found.join(x, "u").join(y, "v").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fingerprint, component_id): the component is the smallest id that can be reached."""
-    rows = saved(wide_fingerprints(docs, words), "wide-fingerprints")
-    nodes = saved(rows.groupBy("node", *_PRINTS).agg(F.min("doc_id").alias("least")), "wide-nodes")
-    first = components(stars(nodes, distance))
-    parts = saved(nodes.join(first, "node", "left").select("node", *_PRINTS, "least", F.coalesce("root", "node").alias("part")), "wide-parts")
-    second = components(links(parts, distance)).withColumnRenamed("node", "part")
-    named = parts.join(second, "part", "left").select("node", "least", F.coalesce("root", "part").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = named.join(ids, "root").select("node", "component_id")
-    print_ = F.concat(*(F.lower(F.lpad(F.hex(p), 16, "0")) for p in _PRINTS))
-    return rows.join(known, "node").select("doc_id", print_.alias("fingerprint"), "component_id")
-
-
-def representatives(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    rows = saved(prints(docs, words), "near-prints")
+    alike = [F.first(c).alias(c) for c in ("n", "fp", "fp2", "unsure")]
+    whole = rows.groupBy("same").agg(F.coalesce(F.min("doc_id"), F.col("same").bitwiseOR(F.lit(NO_ID)).bitwiseAND(F.lit((1 << 63) - 1))).alias("node"), F.min(F.struct("copy", "doc_id")).alias("one"), *alike)
+    nodes = saved(whole, "near-nodes")
+    if not nodes.groupBy("node").count().where("count > 1").isEmpty():  # an id that several texts share: one node
+        return _with_shared_ids(rows, nodes, docs, words)
+    return _named(rows, nodes.select("same", "node"), _roots(nodes, docs, words))
+
+
+def _roots(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(node, root) of every node."""
+    first = components(verified(stars(nodes), docs, nodes, words))
+    parts = saved(nodes.join(first, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"), "near-parts")
+    across = verified(pairs(parts), docs, nodes, words)
+    ends = parts.select("node", "part")
+    linked = across.join(ends.toDF("u", "pu"), "u").join(ends.toDF("v", "pv"), "v").select(F.col("pu").alias("u"), F.col("pv").alias("v"))
+    second = components(linked).withColumnRenamed("node", "part")
+    return ends.join(second, "part", "left").select("node", F.coalesce("root", "part").alias("root"))
+
+
+def _named(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    known = nodes.join(roots, "node").select("same", F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id"))
+    print_ = F.concat(*(F.lower(F.lpad(F.hex(p), 16, "0")) for p in ("fp", "fp2")))
+    return rows.join(known, "same").select("doc_id", print_.alias("fingerprint"), "component_id")
+
+
+def _with_shared_ids(rows: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """As ``near_duplicates``, where different texts have one id: nodes get numbers of their own, named by ids at the end."""
+    own = saved(nodes.select("same", F.col("node").alias("least"), F.col("same").alias("node"), "one", "n", "fp", "fp2", "unsure"), "near-own")
+    roots = saved(_roots(own, docs, words), "near-roots")
+    named = saved(own.join(roots, "node").groupBy("root").agg(F.min("least").alias("name")), "near-names")
+    return _named(rows, own.select("same", "node"), roots.join(named, "root").select("node", F.col("name").alias("root")))
+
+
+def representatives(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The document with the smallest id of each group, with all its columns; see ``simhash.kept_rows``."""
-    return kept_rows(docs, lambda named: near_duplicates(named, words, distance))
+    return kept_rows(docs, lambda named: near_duplicates(named, words))

@@ -32,6 +32,8 @@ WORDS = 5
 SEED = 42
 DISTANCE = 4
 SEGMENTS = 3
+#: A node without an id has a number from here on.
+NO_ID = 1 << 62
 _CHUNK = 1 << 17
 
 
@@ -100,37 +102,43 @@ def near(a: str, b: str, distance: int = DISTANCE) -> Column:
 def links(fps: DataFrame, segments: int = SEGMENTS, distance: int = DISTANCE) -> DataFrame:
     """(u, v) with u < v: links between the groups of column ``part``, one row for each pair of groups.
 
-    ``fps`` has (fp, part); pairs inside a group are known to hang together and don't leave the join.
+    ``fps`` has (fp, part); pairs inside a group are known to hang together and don't leave the join. A
+    search that would meet its own group only is dropped before it.
     """
     probe = balls(fps, segments, distance).select("key", F.col("fp").alias("a"), F.col("part").alias("pa"))
     held = index(fps, segments).select("key", F.col("fp").alias("b"), F.col("part").alias("pb"))
+    ends = held.groupBy("key").agg(F.min("pb").alias("low"), F.max("pb").alias("high"))
+    probe = probe.join(ends, "key").where((F.col("low") != F.col("pa")) | (F.col("high") != F.col("pa"))).select("key", "a", "pa")
     found = probe.join(held, (probe["key"] == held["key"]) & (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & near("a", "b", distance))
     return found.select(F.least("pa", "pb").alias("u"), F.greatest("pa", "pb").alias("v")).distinct()
 
 
 def stars(fps: DataFrame, segments: int = SEGMENTS, distance: int = DISTANCE) -> DataFrame:
-    """(u, v): each fingerprint with the least one that shares a segment's value, where they are near."""
-    rows = index(fps.select("fp"), segments)
-    least = rows.groupBy("key").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
-    return rows.join(least, "key").where((F.col("fp") != F.col("v")) & near("fp", "v", distance)).select(F.col("fp").alias("u"), "v").distinct()
+    """(u, v): each node with the one of the least fingerprint that shares a segment's value, where they are near."""
+    rows = index(fps.select("fp", "node"), segments)
+    least = rows.groupBy("key").agg(F.min(F.struct("fp", "node")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", F.col("hub.fp").alias("b"), F.col("hub.node").alias("v"))
+    return rows.join(least, "key").where((F.col("fp") != F.col("b")) & near("fp", "b", distance)).select(F.col("node").alias("u"), "v").distinct()
 
 
-def groups(fps: DataFrame, segments: int = SEGMENTS, distance: int = DISTANCE) -> DataFrame:
-    """(fp, root) of distinct fingerprints: equal roots for all that can reach each other."""
+def roots(fps: DataFrame, segments: int = SEGMENTS, distance: int = DISTANCE) -> DataFrame:
+    """(fp, root) of distinct fingerprints (fp, node): the root is the least node that can be reached."""
     first = components(stars(fps, segments, distance))
-    parts = saved(fps.select("fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("part")), "parts")
+    parts = saved(fps.join(first, "node", "left").select("fp", F.coalesce("root", "node").alias("part")), "parts")
     second = components(links(parts, segments, distance))
-    joined = parts.join(second.withColumnRenamed("node", "part"), "part", "left")
-    return joined.select("fp", F.coalesce("root", "part").alias("root"))
+    return parts.join(second.withColumnRenamed("node", "part"), "part", "left").select("fp", F.coalesce("root", "part").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, segments: int = SEGMENTS, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fingerprint, component_id): the component is the smallest id that can be reached."""
+    """(doc_id, fingerprint, component_id): the component is the smallest id that can be reached.
+
+    A node of the graph is a fingerprint. Its number is the smallest id of its documents, so the roots of
+    the components are the result. Where several fingerprints share their smallest id (repeated ids), links
+    of that number to itself join them, as the same id is the same document.
+    """
     rows = saved(fingerprints(docs, words), "fingerprints")
-    fps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = saved(groups(fps, segments, distance), "groups")
-    named = roots.join(fps, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    known = roots.join(named, "root").select("fp", "component_id")
+    own = F.col("fp").bitwiseOR(F.lit(NO_ID)).bitwiseAND(F.lit((1 << 63) - 1))
+    fps = saved(rows.groupBy("fp").agg(F.coalesce(F.min("doc_id"), own).alias("node")), "nodes")
+    known = roots(fps, segments, distance).select("fp", F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id"))
     return rows.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -143,11 +151,11 @@ def kept_rows(docs: DataFrame, marked: Callable[[DataFrame], DataFrame]) -> Data
     """One row of ``docs`` for each component that ``marked`` finds.
 
     Rows that share an id are one document, of which the row with the smallest hash stays. Rows without
-    an id get one from their hash, beyond all ids below 2 to the power of 62, so a document with an id
+    an id get one from their hash, beyond all ids below 2 to the power of 61, so a document with an id
     stays before one without. The text is shuffled once, by the id.
     """
     tie = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    own = F.col("cf_tie").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    own = F.col("cf_tie").bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(1 << 61))
     rows = docs.withColumn("cf_tie", tie).withColumn("cf_id", F.coalesce(F.col("doc_id").cast("long"), own))
     marks = marked(rows.select(F.col("cf_id").alias("doc_id"), "text"))
     kept = marks.where("doc_id = component_id").select(F.col("doc_id").alias("cf_id")).distinct()

@@ -341,10 +341,11 @@ def encoded(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
     return _short(docs.where(~giant), model_path).unionByName(_long(docs.where(giant), model_path, chunk))
 
 
-def report(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
-    """A row for each document: how many pieces, the CRC of its ids, and whether decoding gives the text again."""
+def report(docs: DataFrame, model_path: str, chunk: int = CHUNK, with_ids: bool = False) -> DataFrame:
+    """A row for each document: how many pieces, the CRC of its ids, whether decoding gives the text again, and the ids if they are wanted."""
     rows = encoded(docs, model_path, chunk)
-    return rows.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "decoded_chars", "round_trip", "n_chunks")
+    found = ["doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "decoded_chars", "round_trip", "n_chunks"]
+    return rows.select(*found, *["ids"] * with_ids)
 
 
 def decoded(rows: DataFrame, model_path: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 tokenizers = pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from corpusflow.llm import alike, decontam, licenses, lm, neardup, pretokens, quality, sharding, simhash, spm, tokencount, tokenfile, warc
+from corpusflow.llm import decontam, licenses, lm, neardup, pretokens, quality, sharding, simhash, spm, tokencount, tokenfile, warc
 from corpusflow.llm.queries import PIECES, TOKENIZER, tokenizer_path
 
 WORDS = "the a of to stone river light house winter cloud paper green under seven morning letter glass field carries över größe niño".split()
@@ -279,9 +279,9 @@ def test_links_of_random_fingerprints(spark):
             for _ in range(r.randint(1, 4)):
                 f ^= 1 << r.randrange(64)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    table = spark.createDataFrame([(f,) for f in signed], "fp long")
+    table = spark.createDataFrame([(f, n) for n, f in enumerate(signed)], "fp long, node long")
     got = {}
-    for row in simhash.groups(table).collect():
+    for row in simhash.roots(table).collect():
         got.setdefault(row.root, set()).add(row.fp % (1 << 64))
     want = {}
     for (i, f), c in plain_components(list(enumerate(sorted(fps)))).items():
@@ -298,49 +298,32 @@ def test_representatives(docs, none):
     assert simhash.representatives(none).count() == 0
 
 
-def plain_groups(rows, distance):
-    """Components of (id, wide fingerprint) by comparing all pairs."""
-    prints = {i: int.from_bytes(b"".join(x.to_bytes(8, "little") for x in neardup.wide_fingerprint((t or "").encode())), "little") for i, t in rows}
-    least = {i: i for i in prints}
+def word_sets(rows):
+    """The five-word shingles of each (id, text), or the whole sequence where it is shorter."""
+    out = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        out[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    return out
 
-    def root(i):
-        while least[i] != i:
-            i = least[i]
-        return i
 
-    for a in prints:
-        for b in prints:
-            if (prints[a] ^ prints[b]).bit_count() <= distance:
-                x, y = sorted((root(a), root(b)))
-                least[y] = x
-    return {i: root(i) for i in prints}
-
-
-def varied(text, share, seed):
-    r = random.Random(seed)
-    return " ".join(f"new{r.randrange(10**6)}" if r.random() < share else w for w in text.split())
-
-
-def test_wide_simhash(spark, docs, none):
-    rows = []
-    for k in range(12):
-        base = " ".join(f"w{random.Random(k).randrange(10**6) + j}" for j in range(250))
-        rows += [(100 * k, base), (100 * k + 1, base)] + [(100 * k + 2 + j, varied(base, 0.01, 10 * k + j)) for j in range(6)]
-    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    want = plain_groups(rows, neardup.DISTANCE)
-    missed = sum(got[i] != want[i] for i in want)
-    assert missed <= 2 and all(got[i] // 100 == i // 100 for i in got)  # groups of different texts never meet
-    shingles = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
-    close = [(a, b) for a in shingles for b in shingles if a < b and len(shingles[a] & shingles[b]) >= 0.85 * len(shingles[a] | shingles[b])]
-    assert sum(got[a] == got[b] for a, b in close) >= 0.97 * len(close) and len(close) > 50
-    kept = neardup.representatives(docs).collect()
-    assert len(kept) == len({r.component_id for r in neardup.near_duplicates(docs.where("doc_id is not null")).collect()}) + 1
-    assert set(kept[0].asDict()) == set(docs.columns) and neardup.representatives(none).count() == 0
+def plain_groups(rows):
+    """The smallest id that each (id, text) reaches over links of a Jaccard similarity of 0.8, by comparing all pairs."""
+    sets = word_sets(rows)
+    least = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in sets:
+        before = dict(least)
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+        if before == least:
+            break
+    return least
 
 
-def test_near_duplicates_are_exact(spark):
-    """Groups are those of brute-force Jaccard at 0.8, with planted pairs just above and just below."""
-    rows = []
+def test_near_duplicates_are_those_of_brute_force(spark, docs, none):
+    """Planted pairs just above and just below 0.8, chains, copies, short and empty texts."""
+    rows = [(90_000, ""), (90_001, None), (90_002, "one two"), (90_003, "One two"), (90_004, "two one")]
     for k in range(40):
         r = random.Random(1000 + k)
         base = [f"w{r.randrange(10**6)}" for _ in range(200)]
@@ -349,17 +332,52 @@ def test_near_duplicates_are_exact(spark):
             for p in r.sample(range(5, 195, 10), j + 1):
                 base_j[p] = f"new{r.randrange(10**6)}"
             rows.append((100 * k + j + 1, " ".join(base_j)))
-        rows.append((100 * k, " ".join(base)))
-    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(196)} for i, t in rows}
-    near = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and a // 100 == b // 100}
-    assert sum(0.8 <= x < 0.86 for x in near.values()) > 10 and sum(0.7 <= x < 0.8 for x in near.values()) > 10
-    least = {i: i for i in sets}
-    for _ in sets:
-        for (a, b), x in near.items():
-            if x >= 0.8:
-                least[a] = least[b] = min(least[a], least[b])
-    got = {r.doc_id: r.component_id for r in alike.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == least
+        rows += [(100 * k, " ".join(base)), (100 * k + 50, "  ".join(base).upper())]
+    sets = word_sets(rows)
+    near = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and a // 100 == b // 100 and sets[a]]
+    assert sum(0.8 <= x < 0.86 for x in near) > 10 and sum(0.7 <= x < 0.8 for x in near) > 10
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_groups(rows)
+    kept = neardup.representatives(docs).collect()
+    assert len(kept) == len(set(plain_groups([(i, t) for i, t in TEXTS if i is not None]).values())) + 1
+    assert set(kept[0].asDict()) == set(docs.columns) and neardup.representatives(none).count() == 0
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Hundreds of near copies of one text, each with other words changed: one group; a text at 0.7 of it stays out."""
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**6)}" for _ in range(300)]
+
+    def copy(n):
+        out = base[:]
+        for p in r.sample(range(300), n):
+            out[p] = f"new{r.randrange(10**6)}"
+        return " ".join(out)
+
+    rows = [(i, copy(2)) for i in range(400)] + [(1000, copy(14))] + [(2000 + i, prose(i, 60)) for i in range(20)]
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert got == plain_groups(rows) and got[399] == 0 and got[1000] == 1000
+
+
+def test_shared_and_missing_ids(spark):
+    """An id that different texts share names the groups of both; a row without an id takes the group's name."""
+    a, b, c = prose(1, 100), prose(2, 100), prose(3, 100)
+    rows = [(7, a), (7, b), (9, a), (None, b), (None, c), (8, c + " tail")]
+    got = Counter((r.doc_id, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({(7, 7): 2, (9, 7): 1, (None, 7): 1, (None, 8): 1, (8, 8): 1})
+
+
+def test_balls_hold_what_they_should():
+    import numpy as np
+
+    values, unsure = neardup.segments(np.random.default_rng(2).integers(-9, 10, (5, neardup.SEGMENTS * neardup.BITS)))
+    keys = neardup.ball(values, unsure).reshape(5, neardup.SEGMENTS, -1)
+    for t in range(5):
+        for s in range(neardup.SEGMENTS):
+            own, low = int(values[t, s]) | s << neardup.BITS, [int(b) for b in unsure[t, s]]
+            want = {own} | {own ^ 1 << i for i in low} | {own ^ (1 << i | 1 << j) for i in low for j in low if i != j}
+            assert set(keys[t, s].tolist()) == want and len(want) == keys.shape[2]
+    assert neardup.ball(values, unsure, radius=0).shape == (5, neardup.SEGMENTS)
 
 
 @pytest.mark.parametrize("size", [40, 150, 16_384])
