@@ -2,13 +2,18 @@
 
 Each stage reads all that the stage before has kept. ``run`` writes each stage's result as Parquet to
 the shared folder and reads it again, so a lost executor never costs more than a stage.
+
+Edge cases: a null or empty text fails the base quality rule and goes in the first stage; rows without
+an id are documents like others; of rows that share an id one stays; columns beside those of
+``documents`` are kept up to the last stage; no documents, labels or benchmark items give what is left
+(without labels the base rules alone decide).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import alike, decontam, quality, spm
+from corpusflow.llm import decontam, neardup, quality, spm
 from corpusflow.llm.common import saved, table
 from corpusflow.llm.queries import PIECES, tokenizer_path
 
@@ -20,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five words, a Jaccard similarity of 0.8, verified) the document with the smallest id stays."""
-    return alike.representatives(docs)
+    return neardup.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +34,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left is encoded in pieces and decoded again."""
-    return spm.report(docs, tokenizer_path(PIECES))
+    """What is left is encoded in pieces (``ids``, 4 bytes each) and decoded again to compare it with the text."""
+    return spm.report(docs, tokenizer_path(PIECES), with_ids=True)
 
 
 STAGES = [
