@@ -8,7 +8,8 @@ other minus infinity, so the result is the only path that weighs 0, and the max-
 A giant document is cut into chunks. The state at a boundary is the piece that lies across it (or
 ends there). Each chunk yields the matrix of its weights from each state at its left boundary to each
 at its right one, without knowing its neighbours; the matrices of a document are combined
-associatively, which fixes the states; then each chunk is traced back by itself. Within a chunk a
+associatively, ``BLOCK`` neighbours in one task and then the products of the blocks, which fixes the states
+at the blocks' ends and then those within each block; then each chunk is traced back by itself. Within a chunk a
 space after a word is a place that every path breaks at, so only its ends need the search.
 
 Other documents are cut at the same places, and each distinct word is encoded once by the library.
@@ -21,8 +22,9 @@ repeated rows get equal results; an empty table gives an empty result; other col
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import groupby
 from typing import Any
 
 import numpy as np
@@ -35,6 +37,8 @@ from corpusflow.llm.pretokens import Table
 
 #: A document with more characters is cut into chunks of this size.
 CHUNK = 16_384
+#: Chunks whose matrices are combined in one group; a text of 2 GB has 512 such blocks.
+BLOCK = 256
 MARK = "▁"
 #: Fixed value, in the model file's format: the normaliser adds no space in front.
 _NO_PREFIX = b"\x1a\x02\x18\x00"
@@ -211,8 +215,15 @@ def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def choose(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """The states (left, right) of each chunk on the best path through all of them.
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """All matrices combined, neighbours pair by pair."""
+    while len(matrices) > 1:
+        matrices = [compose(matrices[k], matrices[k + 1]) if k + 1 < len(matrices) else matrices[k] for k in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
+def choose(matrices: list[np.ndarray], ends: tuple[int, int] | None = None) -> list[tuple[int, int]]:
+    """The states (left, right) of each chunk on the best path through all of them, between the given ends or the best ones.
 
     Neighbours are combined pair by pair up to one matrix; the choice is then carried down again.
     """
@@ -221,7 +232,7 @@ def choose(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
         now = levels[-1]
         levels.append([compose(now[k], now[k + 1]) if k + 1 < len(now) else now[k] for k in range(0, len(now), 2)])
     top = levels[-1][0]
-    picked = [tuple(int(x) for x in np.unravel_index(int(top.argmax()), top.shape))]
+    picked = [ends or tuple(int(x) for x in np.unravel_index(int(top.argmax()), top.shape))]
     if not np.isfinite(top[picked[0]]):
         raise ValueError("no segmentation: the pieces of this model aren't closed under merging")
     for now in reversed(levels[:-1]):
@@ -275,18 +286,57 @@ def transfers(parts: DataFrame, model_path: str) -> DataFrame:
     return map_columns(parts.select("key", "n", "text", "left", "right"), make, "key long, n int, rows int, weights binary")
 
 
-def chosen(matrices: DataFrame) -> DataFrame:
-    """(key, n, i, j): the states of each chunk; a group is the small matrices of one document."""
+def _weights(rows: int, data: bytes) -> np.ndarray:
+    return np.where(np.frombuffer(data, np.uint8).reshape(rows, -1) > 0, np.float32(0), np.float32(-np.inf))
+
+
+def _grouped(df: DataFrame, keys: list[str], order: str, run: Callable[[list[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """``run`` over the rows of each group, in order; as many tasks as the session's shuffles have, and one group at a time held."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow, width = to_arrow_schema(_parse_datatype_string(schema)), len(keys)
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for part in parts for row in zip(*(c.to_pylist() for c in part.columns), strict=True))
+        out = []
+        for _, own in groupby(rows, lambda row: row[:width]):
+            out += run(list(own))
+            if len(out) > 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    first = [*keys, order]
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select(*first, *(c for c in df.columns if c not in first)).repartition(count, *keys)
+    return dealt.sortWithinPartitions(*first).mapInArrow(work, schema)
+
+
+def chosen(matrices: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(key, n, i, j): the states of each chunk.
+
+    Up: the product of each block of a document's matrices. At the top: the states at the ends of the
+    blocks. Down: the states within each block, between its ends.
+    """
+
+    def up(rows: list[tuple]) -> Iterator[tuple]:
+        whole = product([_weights(r, w) for _, _, _, r, w in rows])
+        yield rows[0][0], rows[0][1], whole.shape[0], np.isfinite(whole).astype(np.uint8).tobytes()
 
-    def run(rows):
-        import pandas as pd
+    def top(rows: list[tuple]) -> Iterator[tuple]:
+        for (key, at, *_), (i, j) in zip(rows, choose([_weights(r, w) for _, _, r, w in rows]), strict=True):
+            yield key, at, i, j
 
-        rows = rows.sort_values("n")
-        found = [np.where(np.frombuffer(w, np.uint8).reshape(r, -1) > 0, np.float32(0), np.float32(-np.inf)) for r, w in zip(rows["rows"], rows["weights"], strict=True)]
-        picked = choose(found)
-        return pd.DataFrame({"key": rows["key"].to_numpy(), "n": rows["n"].to_numpy(), "i": [p[0] for p in picked], "j": [p[1] for p in picked]})
+    def down(rows: list[tuple]) -> Iterator[tuple]:
+        for (key, _, n, *_), (i, j) in zip(rows, choose([_weights(r, w) for _, _, _, r, w, _, _ in rows], rows[0][5:7]), strict=True):
+            yield key, n, i, j
 
-    return matrices.groupBy("key").applyInPandas(run, "key long, n int, i int, j int")
+    held = matrices.select("key", F.floor(F.col("n") / block).cast("int").alias("block"), "n", "rows", "weights")
+    blocks = _grouped(held, ["key", "block"], "n", up, "key long, block int, rows int, weights binary")
+    ends = _grouped(blocks, ["key"], "block", top, "key long, block int, i int, j int")
+    return _grouped(held.join(ends, ["key", "block"]).select("key", "block", "n", "rows", "weights", "i", "j"), ["key", "block"], "n", down, "key long, n int, i int, j int")
 
 
 def traced(parts: DataFrame, picks: DataFrame, model_path: str) -> DataFrame:
@@ -327,7 +377,7 @@ def _short(docs: DataFrame, model_path: str) -> DataFrame:
 
 def _long(docs: DataFrame, model_path: str, size: int) -> DataFrame:
     parts = saved(chunks(docs, model_path, size), "chunks")
-    picks = chosen(transfers(parts, model_path))
+    picks = chosen(saved(transfers(parts, model_path), "transfers"))
     rows = traced(parts, picks, model_path)
     return rows.groupBy("key").agg(
         F.first("doc_id").alias("doc_id"), F.expr("listagg(ids, X'') within group (order by n)").alias("ids"),

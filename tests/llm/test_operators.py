@@ -394,6 +394,21 @@ def test_sentencepiece(docs, none, size):
     assert spm.report(none, tokenizer_path(PIECES)).count() == 0
 
 
+def test_a_text_of_thousands_of_chunks(spark):
+    """Chunks in several blocks, with stretches without spaces across the blocks' ends; and small blocks."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(PIECES))
+    texts = [prose(11, 9000) + "lightriver" * 3000 + prose(12, 6000), prose(13, 300) + "x" * 900]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in spm.encoded(docs, tokenizer_path(PIECES), chunk=40).collect():
+        assert list(struct.unpack(f"<{len(r.ids) // 4}I", r.ids)) == sp.encode(texts[r.doc_id]) and r.round_trip
+        assert r.n_chunks > (2000 if r.doc_id == 0 else 40)
+    parts = spm.chunks(docs.where("doc_id = 1"), tokenizer_path(PIECES), 40)
+    weights = spm.transfers(parts, tokenizer_path(PIECES)).cache()
+    assert sorted(spm.chosen(weights, block=3).collect()) == sorted(spm.chosen(weights).collect())
+
+
 def test_sentencepiece_scan_without_spaces():
     """Chunk boundaries anywhere in strings that offer no place to break at."""
     import sentencepiece
