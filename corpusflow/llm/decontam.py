@@ -5,9 +5,11 @@ into windows of ``WINDOW`` consecutive words; one automaton holds all windows. E
 normalised in the same way and scanned once, whatever the number of windows; a match is mapped to the
 words, and to the characters of the original text, that it covers.
 
-The automaton is made on the driver's side of the job from the benchmark alone, which is a table of
-test items and doesn't grow with the corpus; ``MAX_BENCHMARK_BYTES`` is checked before it is sent to
-the executors. A larger benchmark is scanned in several passes, one automaton for each part.
+The benchmark is a table of test items and doesn't grow with the corpus. It is read item by item in
+parts of at most ``PART_BYTES`` of text; a part's windows are broadcast, and each task makes one automaton
+of them. A benchmark of one part is one narrow pass. A larger one is scanned part after part: each
+pass writes what it has found before the next part is read, so no more than one part is ever
+held, and the hits of all parts are united by document.
 
 Edge cases: null texts have no words; items without words have no window; items with fewer words than
 a window are one window; repeated items and item ids count once; a null item id is left out; an empty
@@ -19,17 +21,18 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import map_columns, utf8
+from corpusflow.llm.common import map_columns, saved, utf8
 
 WINDOW = 10
-#: Bytes of benchmark text in one automaton.
-MAX_BENCHMARK_BYTES = 32 << 20
+#: Bytes of benchmark text in one automaton, which takes some 300 bytes for each.
+PART_BYTES = 1 << 20
 
 #: Bytes that aren't part of a word, after lower-casing.
 _GAPS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -43,15 +46,13 @@ def words_of(text: bytes) -> list[bytes]:
 
 def windows(items: list[tuple], window: int = WINDOW) -> dict[bytes, tuple[int, list]]:
     """Each window's text, with the number of its words and the ids of the items that have it."""
-    out: dict[bytes, tuple[int, list]] = {}
+    out: dict[bytes, tuple[int, dict]] = {}
     for item_id, text in items:
         w = words_of(text or b"")
         for i in range(max(1, len(w) - window + 1) if w else 0):
             part = w[i : i + window]
-            ids = out.setdefault(b" ".join(part), (len(part), []))[1]
-            if item_id not in ids:
-                ids.append(item_id)
-    return out
+            out.setdefault(b" ".join(part), (len(part), {}))[1][item_id] = None
+    return {text: (n, list(ids)) for text, (n, ids) in out.items()}
 
 
 class Scanner:
@@ -101,94 +102,138 @@ def spans(scanner: Scanner, text: str) -> Iterator[tuple[int, int, list]]:
             yield start, start + len(data[places[i][0] : places[i + n - 1][1]].decode()), ids
 
 
-def _parts(benchmark: DataFrame) -> list[list[tuple]]:
-    """The items, in parts of at most ``MAX_BENCHMARK_BYTES`` (an item that is larger is a part)."""
+def parts_of(benchmark: DataFrame, size: int = PART_BYTES) -> Iterator[list[tuple]]:
+    """The items, in parts of at most ``size`` bytes (an item that is larger is a part); one part at least."""
     items = benchmark.where("item_id is not null and text is not null").select("item_id", utf8("text").alias("text")).distinct()
-    parts, room = [[]], MAX_BENCHMARK_BYTES
+    part, room = [], size
     for item_id, text in items.toLocalIterator():
         text = bytes(text)
-        if len(text) > room and parts[-1]:
-            parts.append([])
-            room = MAX_BENCHMARK_BYTES
-        parts[-1].append((item_id, text))
+        if len(text) > room and part:
+            yield part
+            part, room = [], size
+        part.append((item_id, text))
         room -= len(text)
-    return parts
-
+    yield part
 
-def _lazy(found: dict[bytes, tuple[int, list]]):
-    """A scanner that each worker builds once for a task."""
 
-    def make() -> Scanner:
-        return Scanner(found)
+def _split(benchmark: DataFrame, size: int) -> tuple[list[tuple], Iterator[list[tuple]]]:
+    """The first part, and the others one at a time."""
+    parts = parts_of(benchmark, size)
+    return next(parts), parts
 
-    return make
 
+def _scanner(docs: DataFrame, part: list[tuple], window: int) -> Callable[[], Scanner]:
+    """Makes a part's automaton in a task."""
+    sent = docs.sparkSession.sparkContext.broadcast(windows(part, window))
+    return lambda: Scanner(sent.value)
 
-def hit_words(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, item_ids): what each document shares with the benchmark.
 
-    Each part of the benchmark is one pass over the words that the pass before has left in the row, so
-    a document is read once, and the hits of all parts are united before they are counted.
-    """
-    makers = [_lazy(windows(part, window)) for part in _parts(benchmark)]
+def _hits(docs: DataFrame, part: list[tuple], window: int, key: str) -> DataFrame:
+    """(key, n_words, n_hit, starts, sizes, item_ids): one pass with one automaton."""
+    make_scanner, kind = _scanner(docs, part, window), docs.schema[key].dataType.simpleString()
 
     def make():
-        scanners = [m() for m in makers]
+        scanner = make_scanner()
 
         def run(ids: list, texts: list) -> list[list]:
-            n_words, n_hit, items = [], [], []
+            n_words, n_hit, starts, sizes, items = [], [], [], [], []
             for text in texts:
                 words = words_of(text or b"")
-                found = [m for s in scanners for m in s.matches(words)]
+                found = scanner.matches(words)
                 n_words.append(len(words))
                 n_hit.append(int(covered(found, len(words)).sum()) if found else 0)
+                starts.append([i for i, _, _ in found])
+                sizes.append([n for _, n, _ in found])
                 items.append(sorted({str(i) for _, _, own in found for i in own}))
-            return [ids, n_words, n_hit, items]
+            return [ids, n_words, n_hit, starts, sizes, items]
 
         return run
 
-    return map_columns(docs.select("doc_id", utf8("text")), make, "doc_id long, n_words long, n_hit long, item_ids array<string>")
+    return map_columns(docs.select(key, utf8("text")), make, f"`{key}` {kind}, n_words long, n_hit long, starts array<long>, sizes array<long>, item_ids array<string>")
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, start, end, item_ids): a row for each match, in characters of the original text."""
-    makers = [_lazy(windows(part, window)) for part in _parts(benchmark)]
+def hit_words(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(doc_id, n_words, n_hit, item_ids): what each document shares with the benchmark."""
+    first, rest = _split(benchmark, part_bytes)
+    second = next(rest, None)
+    if second is None:
+        return _hits(docs, first, window, "doc_id").drop("starts", "sizes")
+    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "benchmark-rows")  # written, so a row keeps its number
+    known = saved(_hits(rows, first, window, "row"), "benchmark-hits")
+    found = known.where("n_hit > 0")
+    for part in chain([second], rest):
+        found = found.unionByName(saved(_hits(rows, part, window, "row").where("n_hit > 0"), "benchmark-hits"))
+    flat = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "sizes", "item_ids")]  # of one text: bounded by it and the number of parts
+    whole = found.groupBy("row", "n_words").agg(*flat)
 
     def make():
-        scanners = [m() for m in makers]
-
-        def run(ids: list, texts: list) -> list[list]:
-            rows = [(i, a, b, [str(x) for x in own]) for i, t in zip(ids, texts, strict=True) for s in scanners for a, b, own in spans(s, t or "")]
-            return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], []]
+        def run(keys: list, sizes: list, starts: list, lengths: list, items: list) -> list[list]:
+            counts = [int(covered([(i, n, []) for i, n in zip(a, b, strict=True)], w).sum()) for w, a, b in zip(sizes, starts, lengths, strict=True)]
+            return [keys, counts, [sorted(set(own)) for own in items]]
 
         return run
 
-    return map_columns(docs.select("doc_id", "text"), make, "doc_id long, start long, end long, item_ids array<string>")
+    united = map_columns(whole, make, "row long, n_hit long, item_ids array<string>")
+    return rows.select("row", "doc_id").join(known.select("row", "n_words"), "row").join(united, "row", "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids")
+    )
+
+
+def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(doc_id, start, end, item_ids): a row for each match, in characters of the original text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def scan(part: list[tuple]) -> DataFrame:
+        make_scanner = _scanner(docs, part, window)
 
+        def make():
+            scanner = make_scanner()
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+            def run(ids: list, texts: list) -> list[list]:
+                rows = [(i, a, b, [str(x) for x in own]) for i, t in zip(ids, texts, strict=True) for a, b, own in spans(scanner, t or "")]
+                return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], []]
+
+            return run
+
+        return map_columns(docs.select("doc_id", "text"), make, f"doc_id {kind}, start long, end long, item_ids array<string>")
+
+    first, rest = _split(benchmark, part_bytes)
+    out = scan(first)
+    for part in rest:
+        out = saved(out.unionByName(scan(part)), "benchmark-spans")
+    return out
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """The report: words, hit words and items of each document, the items as a digest."""
-    rows = hit_words(docs, benchmark)
+    rows = hit_words(docs, benchmark, part_bytes=part_bytes)
     return rows.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents in which no window occurs, with all their columns; a filter without a shuffle."""
-    makers = [_lazy(windows(part, window)) for part in _parts(benchmark)]
-    made: list[Scanner] = []
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The documents in which no window occurs, with all their columns; a filter without a shuffle for each part."""
+
+    def kept(rows: DataFrame, part: list[tuple]) -> DataFrame:
+        make_scanner, made = _scanner(rows, part, window), []
 
-    @F.pandas_udf("boolean")
-    def clean(texts):
-        import pandas as pd
+        @F.pandas_udf("boolean")
+        def clean(texts):
+            import pandas as pd
 
-        if not made:
-            made.extend(m() for m in makers)
-        return pd.Series([not any(s.matches(words_of(t or b"")) for s in made) for t in texts], dtype=bool)
+            if not made:
+                made.append(make_scanner())
+            return pd.Series([not made[0].matches(words_of(t or b"")) for t in texts], dtype=bool)
 
-    return docs.where(clean(utf8("text")))
+        return rows.where(clean(utf8("text")))
+
+    first, rest = _split(benchmark, part_bytes)
+    out = kept(docs, first)
+    for part in rest:
+        out = kept(saved(out, "benchmark-clean"), part)
+    return out
 
 
 def digest(items: list) -> str:

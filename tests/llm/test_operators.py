@@ -569,9 +569,13 @@ def test_decontamination(spark, docs, none):
     assert decontam.contamination(none, bench).count() == 0 and decontam.contamination(table, bench.limit(0)).where("contaminated").count() == 0
 
 
-def test_decontamination_in_parts(spark, monkeypatch):
+def test_decontamination_in_parts(spark):
+    """A benchmark of many parts gives what one part gives, for documents hit by none, one or several."""
     bench = spark.createDataFrame([(k, prose(k, 20)) for k in range(9)], "item_id long, text string")
     table = spark.createDataFrame([(k, prose(k % 12, 20) + prose(100 + k, 30)) for k in range(24)], "doc_id long, text string")
     whole = sorted(map(tuple, decontam.contamination(table, bench).collect()))
-    monkeypatch.setattr(decontam, "MAX_BENCHMARK_BYTES", 300)
-    assert sorted(map(tuple, decontam.contamination(table, bench).collect())) == whole
+    assert len(list(decontam.parts_of(bench, 300))) > 3
+    assert sorted(map(tuple, decontam.contamination(table, bench, part_bytes=300).collect())) == whole
+    spans = lambda size: sorted((r.doc_id, r.start, r.end, *sorted(r.item_ids)) for r in decontam.find_spans(table, bench, part_bytes=size).collect())
+    assert spans(300) == spans(1 << 20)
+    assert sorted(decontam.clean_documents(table, bench, part_bytes=300).collect()) == sorted(decontam.clean_documents(table, bench).collect())
