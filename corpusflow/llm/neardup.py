@@ -48,8 +48,8 @@ DISTANCE = 34
 #: Of the 31 bits that a row of the index carries, so many may differ at most; about 3.5 deviations above the mean, too.
 NEAR_31 = 12
 #: Shingles, and words, that are worked on at once.
-_CHUNK = 1 << 16
-_GROUP = 1 << 21
+_CHUNK = 1 << 14
+_GROUP = 1 << 18
 #: Up to so many wanted texts their ids (24 bytes each) are sent to where the texts lie; beyond, texts are shuffled.
 FEW = 500_000
 
