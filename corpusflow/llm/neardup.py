@@ -15,8 +15,9 @@ cut into ``SEGMENTS`` segments of ``BITS`` bits, and three steps:
 
 Texts with equal sets are one node, however many they are; a node's number is the smallest id of its
 texts, so components carry the smallest id that can be reached. Nodes are first tied to few others that
-share a segment's value, and only pairs of different groups are formed after that; values that one
-group alone holds are dropped before the join.
+share a segment's value, and only pairs of different groups are formed after that. The nodes of groups of
+more than ``LARGE`` nodes are never joined among themselves: they meet the nodes of small groups, and
+those of another large group through the values that both groups hold.
 
 With more than ``2 ** BITS`` nodes more of them share a segment's value by chance; ``BITS`` can then be
 raised, at the cost of more segments. Members of a group that aren't linked directly may be less alike.
@@ -33,7 +34,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import saved, utf8
@@ -45,6 +46,8 @@ SEGMENTS = 6
 UNSURE = 6
 RADIUS = 2
 DISTANCE = 34
+#: Groups of more nodes are kept apart in the join.
+LARGE = 64
 #: Of the 31 bits that a row of the index carries, so many may differ at most; about 3.5 deviations above the mean, too.
 NEAR_31 = 12
 #: Shingles, and words, that are worked on at once.
@@ -194,11 +197,19 @@ def stars(nodes: DataFrame) -> DataFrame:
 
 def pairs(nodes: DataFrame) -> DataFrame:
     """Candidates (u, v) in different groups of column ``part``, within the complete distance."""
-    held = Window.partitionBy("key")
-    rows = indexed(nodes).withColumn("one", F.min("part").over(held)).withColumn("other", F.max("part").over(held)).where("one <> other").drop("one", "other")
-    fits = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.part") != F.col("b.part"))
-    fits = fits & (F.bit_count(F.col("a.low").bitwiseXOR(F.col("b.low"))) <= NEAR_31)
-    met = rows.alias("a").join(rows.alias("b"), fits).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    large = nodes.groupBy("part").agg(F.count("*").alias("size")).where(F.col("size") > LARGE)
+    marked = saved(nodes.join(large, "part", "left"), "near-marked")
+    some, many = indexed(marked.where("size is null")), indexed(marked.where("size is not null"))
+    fits = F.bit_count(F.col("a.low").bitwiseXOR(F.col("b.low"))) <= NEAR_31
+    ends = [F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")]
+    within = some.alias("a").join(some.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.part") != F.col("b.part")) & fits)
+    between = some.alias("a").join(many.alias("b"), (F.col("a.key") == F.col("b.key")) & fits)
+    held = many.select("key", "part").distinct()
+    two = held.toDF("key", "p").join(held.toDF("key", "q"), "key").where("p < q")
+    first = many.select("key", F.col("part").alias("p"), F.struct("node", "low").alias("a"))
+    second = many.select("key", F.col("part").alias("q"), F.struct("node", "low").alias("b"))
+    beyond = two.join(first, ["key", "p"]).join(second, ["key", "q"]).where(fits)
+    met = within.select(*ends).union(between.select(*ends)).union(beyond.select(*ends)).distinct()
     one = F.struct("n", "fp", "fp2")
     both = met.join(nodes.select(F.col("node").alias("u"), one.alias("a")), "u").join(nodes.select(F.col("node").alias("v"), one.alias("b")), "v")
     return both.where(_close() & _sizes_fit()).select("u", "v")

@@ -61,8 +61,8 @@ class Model:
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
             raise ValueError("a piece of this model holds a space after another character")
         self.words = Table(lambda word: self.packed(self.raw.encode(MARK + word)))
-        self.ids = lru_cache(1 << 16)(self.raw.encode)
-        self.joins = lru_cache(1 << 18)(self._joins)
+        self.ids = lru_cache(1 << 14)(self.raw.encode)
+        self.joins = lru_cache(1 << 16)(self._joins)
 
     @staticmethod
     def packed(ids: list[int]) -> bytes:

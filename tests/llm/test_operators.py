@@ -354,7 +354,8 @@ def test_a_large_group_of_near_copies(spark):
             out[p] = f"new{r.randrange(10**6)}"
         return " ".join(out)
 
-    rows = [(i, copy(2)) for i in range(400)] + [(1000, copy(14))] + [(2000 + i, prose(i, 60)) for i in range(20)]
+    other = base[:150] + [f"w{r.randrange(10**6)}" for _ in range(12)] + base[150:]  # another large group, within reach of the first by some
+    rows = [(i, copy(2)) for i in range(400)] + [(1000, copy(14))] + [(3000 + i, " ".join(w if r.random() > 0.004 else "x" for w in other)) for i in range(80)] + [(2000 + i, prose(i, 60)) for i in range(20)]
     got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
     assert got == plain_groups(rows) and got[399] == 0 and got[1000] == 1000
 
