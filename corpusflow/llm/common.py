@@ -41,6 +41,22 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def most_frequent(df: DataFrame, count: str, limit: int) -> DataFrame:
+    """The rows with the largest ``count``: all that reach it, for the least one that at most ``limit`` rows reach.
+
+    It is read off a histogram of 16 steps for each doubling, so no more than these rows are ever sorted
+    or sent, whatever the number of partitions.
+    """
+    step = F.floor(16 * F.log2(count))
+    least, held = None, 0
+    for at, n in sorted(df.groupBy(step.alias("step")).count().collect(), reverse=True):
+        held += n
+        if held > limit:
+            break
+        least = at
+    return df.where(step >= least) if least is not None else df.limit(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,23 +1,28 @@
 """Operator 8: masked pseudo-likelihood with a bidirectional window network.
 
-Every word is predicted from its neighbours on both sides, as if it were masked; the sum of the
-conditional log-probabilities scores a document. Words are mapped to ``CLASSES`` classes: the most
-frequent words of the corpus have one each, the others share classes by their shape and ending.
-
-Two passes over all documents gather what the network learns from: word frequencies, and how often
-each word class stands between each two others. The latter is a table of fixed size, whatever the
-corpus, so the network (two embeddings, a hidden layer, a softmax) is trained in numpy on all windows
-of the corpus, weighted by their counts. Its predictions for all contexts are a small table, which a
-third pass looks up.
-
-Edge cases: null and empty texts have no words, a sum of 0 and no mean; repeated rows get equal results;
-an empty corpus trains nothing and all predictions are even; other columns are ignored.
+Every word is predicted from the ``SIDE`` words on each side of it, as if it were masked; the sum of the
+conditional log-probabilities scores a document. A word's probability has two factors:
+
+* P(class | neighbours) from a network (an embedding for each neighbour's place, a hidden layer, a softmax).
+  The most frequent words have a class each; the others share classes by their shape and ending.
+* P(word | class) from the frequencies of all words of the corpus: n(word) / (n(class) + 1), where the one
+  stands for all words that the corpus doesn't have. So the probabilities of all words add up to one.
+
+What is gathered grows with the corpus: a table of all distinct words with their frequencies, which stays
+a table. Its most frequent words (at most ``HEAD`` of at most ``KEPT_BYTES`` bytes) are sent to the tasks;
+all other words of a document are joined to the table by the word. A word that occurs once, like an
+unknown one, adds nothing to the sum of log n(word), so words of frequency 1 needn't be joined.
+
+The network is trained in numpy on all windows of the corpus: each task runs mini-batches over the
+classes of its own part, from the same start, and the tasks' weights are averaged, in tasks as well.
+
+Edge cases: null and empty texts have no words, sums of 0 and no means; repeated rows get equal results;
+an empty corpus trains nothing and all predictions are even; ids may have any type; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,18 +31,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import map_columns, saved, utf8
+from corpusflow.llm.common import map_columns, most_frequent, saved, utf8
 from corpusflow.llm.pretokens import Table
 
 #: Class 0 is the text's edge; then frequent words; then shapes.
 CLASSES = 128
 SHAPES = 64
 FREQUENT = CLASSES - SHAPES - 1
+#: Words on each side.
+SIDE = 2
 HIDDEN = 32
-STEPS = 150
-RATE = 0.05
-#: Entries of a task's frequency table before it is sent on.
-HELD_WORDS = 300_000
+BATCH = 1024
+#: A task whose part has fewer batches goes over it again until it has made so many steps.
+LEAST_STEPS = 300
+RATE = 0.01
+#: Words whose frequencies are sent to the tasks, and the length of the longest one.
+HEAD = 200_000
+KEPT_BYTES = 64
+#: Words that are numbered at once.
+_GROUP = 1 << 20
 
 
 def shape(word: bytes) -> int:
@@ -46,163 +58,283 @@ def shape(word: bytes) -> int:
     return 1 + FREQUENT + zlib.crc32(word[-2:] + bytes(kinds)) % SHAPES
 
 
-class Classes:
-    """Words to classes; the table of words seen is bounded."""
+def class_table(frequent: list[bytes]) -> Table:
+    """Words to classes."""
+    own = {w: 1 + i for i, w in enumerate(frequent)}
+    return Table(lambda w: own.get(w) or shape(w))
 
-    def __init__(self, frequent: list[bytes]):
-        own = {w: 1 + i for i, w in enumerate(frequent)}
-        self.table = Table(lambda w: own.get(w) or shape(w))
 
-    def of(self, text: bytes) -> np.ndarray:
-        """The classes of a text's words, with an edge before and after."""
-        words = text.lower().split()
-        out = np.zeros(len(words) + 2, np.int64)
-        out[1:-1] = np.fromiter(map(self.table.__getitem__, words), np.int64, len(words))
-        return out
+def words_of(text: bytes | None) -> list[bytes]:
+    """The words of a text, A-Z in lower case."""
+    return (text or b"").lower().split()
 
 
-def windows(classes: np.ndarray) -> np.ndarray:
-    """One number for (left, right, middle) of each word."""
-    return (classes[:-2] * CLASSES + classes[2:]) * CLASSES + classes[1:-1]
+def numbered(texts: list[bytes | None]) -> Iterator[tuple[list[bytes], np.ndarray, list[int]]]:
+    """For groups of texts: the distinct words, the number of each place's word, and the number of words of each text."""
+    held: list[bytes] = []
+    sizes: list[int] = []
 
+    def flush() -> tuple[list[bytes], np.ndarray, list[int]]:
+        coded = pa.array(held, pa.binary()).dictionary_encode()
+        return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), sizes
 
-def frequent_words(docs: DataFrame, number: int = FREQUENT) -> list[bytes]:
-    """The most frequent words over all documents; ties go to the lesser word."""
+    for text in texts:
+        own = words_of(text)
+        held += own
+        sizes.append(len(own))
+        if len(held) > _GROUP:
+            yield flush()
+            held, sizes = [], []
+    if sizes:
+        yield flush()
 
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-            seen.clear()
-            return out
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): all words of all documents; each group of texts sends a row for each of its distinct words."""
 
-        for part in parts:
-            for text in part.column(0).to_pylist():
-                seen.update((text or b"").lower().split())
-                if len(seen) > HELD_WORDS:
-                    yield flush()
-        if seen:
-            yield flush()
+    def make():
+        def run(texts: list) -> list[list]:
+            words, counts = [], []
+            for distinct, codes, _ in numbered(texts):
+                words += distinct
+                counts += np.bincount(codes, minlength=len(distinct)).tolist()
+            return [words, counts]
+
+        return run
+
+    return map_columns(docs.select(utf8("text")), make, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def class_sizes(words: DataFrame, frequent: list[bytes]) -> np.ndarray:
+    """How many places of the corpus hold a word of each class."""
+
+    def make():
+        table = class_table(frequent)
+
+        def run(own: list, n: list) -> list[list]:
+            total = np.bincount(np.fromiter(map(table.__getitem__, own), np.int64, len(own)), weights=n, minlength=CLASSES)
+            return [list(range(CLASSES)), total.astype(np.int64).tolist()]
 
-    sums = docs.select(utf8("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in sums.orderBy(F.desc("n"), "word").limit(number).collect()]
-
-
-def window_counts(docs: DataFrame, frequent: list[bytes]) -> np.ndarray:
-    """counts[left, right, middle] over all documents: a table of ``CLASSES`` to the power of 3."""
-
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, total = Classes(frequent), np.zeros(CLASSES**3, np.int64)
-        for part in parts:
-            held, size = [], 0
-            for text in part.column(0).to_pylist():
-                held.append(windows(classes.of(text or b"")))
-                size += len(held[-1])
-                if size > 1 << 21:
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
-                    held, size = [], 0
-            if held:
-                total += np.bincount(np.concatenate(held), minlength=len(total))
-        place = np.flatnonzero(total)
-        for k in range(0, len(place), 1 << 18):
-            some = place[k : k + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["place", "n"])
-
-    sums = saved(docs.select(utf8("text")).mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")), "windows")
-    out = np.zeros(CLASSES**3)
-    found = sums.toArrow()  # a row for each kind of window at most, whatever the corpus
-    out[found["place"].to_numpy()] = found["n"].to_numpy()
-    return out.reshape(CLASSES, CLASSES, CLASSES)
+        return run
+
+    out = np.zeros(CLASSES, np.int64)
+    for kind, n in map_columns(words.select("word", "n"), make, "kind int, n long").groupBy("kind").agg(F.sum("n")).collect():
+        out[kind] = n
+    return out
 
 
 @dataclass
 class Network:
-    """Embeddings of the left and right neighbour, a hidden layer and a softmax over classes."""
+    """Embeddings of the neighbours by place, a hidden layer and a softmax over classes."""
 
-    left: np.ndarray
-    right: np.ndarray
+    near: np.ndarray  # [place, class, hidden]
     bias: np.ndarray
     out: np.ndarray
     out_bias: np.ndarray
 
     @staticmethod
-    def start(hidden: int = HIDDEN, seed: int = 0) -> Network:
+    def start(sizes: np.ndarray | None = None, seed: int = 0) -> Network:
+        """Random embeddings; before training it predicts the classes' frequencies."""
         r = np.random.default_rng(seed)
-        w = lambda *s: (r.standard_normal(s) / np.sqrt(hidden)).astype(np.float32)
-        return Network(w(CLASSES, hidden), w(CLASSES, hidden), np.zeros(hidden, np.float32), w(hidden, CLASSES), np.zeros(CLASSES, np.float32))
+        w = lambda *s: (r.standard_normal(s) / np.sqrt(HIDDEN)).astype(np.float32)
+        free = np.zeros(CLASSES) if sizes is None else np.log(sizes + 0.5) - np.log((sizes + 0.5).sum())
+        return Network(w(2 * SIDE, CLASSES, HIDDEN), np.zeros(HIDDEN, np.float32), np.zeros((HIDDEN, CLASSES), np.float32), free.astype(np.float32))
 
     def weights(self) -> list[np.ndarray]:
-        return [self.left, self.right, self.bias, self.out, self.out_bias]
-
-    def forward(self) -> tuple[np.ndarray, np.ndarray]:
-        """The hidden layer, and log-probabilities of all classes, for all contexts: [left, right, ...]."""
-        h = np.tanh(self.left[:, None, :] + self.right[None, :, :] + self.bias)
-        z = (h.reshape(-1, h.shape[-1]) @ self.out).reshape(CLASSES, CLASSES, CLASSES)
-        z += self.out_bias
-        z -= z.max(axis=2, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=2, keepdims=True))
-        return h, z
-
-    def gradients(self, share: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        """Mean loss over all windows, and its gradients; ``share`` is each window's share, [left, right, middle]."""
-        h, logp = self.forward()
-        loss = -float(np.vdot(share, logp))
-        dz = np.exp(logp)
-        dz *= share.sum(axis=2, keepdims=True)
-        dz -= share
-        flat = dz.reshape(-1, CLASSES)
-        dh = (flat @ self.out.T).reshape(h.shape) * (1 - h * h)
-        return loss, [dh.sum(axis=1), dh.sum(axis=0), dh.sum(axis=(0, 1)), h.reshape(-1, h.shape[-1]).T @ flat, flat.sum(axis=0)]
-
-    def table(self) -> np.ndarray:
-        """log P(middle | left, right) for all contexts, flat."""
-        return self.forward()[1].reshape(-1)
-
-
-def train(counts: np.ndarray, steps: int = STEPS, rate: float = RATE, seed: int = 0) -> Network:
-    """Full-batch Adam on all windows."""
-    net = Network.start(seed=seed)
-    if not counts.any():
-        for w in net.weights():
-            w[...] = 0
-        return net
-    share = (counts / counts.sum(dtype=np.float64)).astype(np.float32)
+        return [self.near, self.bias, self.out, self.out_bias]
+
+    def hidden(self, context: np.ndarray) -> np.ndarray:
+        h = self.near[0][context[:, 0]] + self.bias
+        for k in range(1, 2 * SIDE):
+            h += self.near[k][context[:, k]]
+        return np.tanh(h)
+
+    def log_probs(self, context: np.ndarray) -> np.ndarray:
+        """log P(class | neighbours) of all classes, for contexts [window, place]."""
+        z = self.hidden(context) @ self.out + self.out_bias
+        z -= z.max(axis=1, keepdims=True)
+        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+    def gradients(self, context: np.ndarray, middle: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """Mean loss over the windows, and its gradients."""
+        n, h = len(middle), self.hidden(context)
+        z = h @ self.out + self.out_bias
+        z -= z.max(axis=1, keepdims=True)
+        e = np.exp(z)
+        total = e.sum(axis=1, keepdims=True)
+        loss = float((np.log(total[:, 0]) - z[np.arange(n), middle]).mean())
+        e /= total
+        e[np.arange(n), middle] -= 1
+        e /= n
+        dh = (e @ self.out.T) * (1 - h * h)
+        near = np.empty_like(self.near)
+        one = np.eye(CLASSES, dtype=np.float32)
+        for k in range(2 * SIDE):
+            near[k] = one[context[:, k]].T @ dh
+        return loss, [near, dh.sum(axis=0), h.T @ e, e.sum(axis=0)]
+
+
+def windows(classes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts and the middles of all words of texts that are given as one byte a word."""
+    edge = bytes(SIDE)
+    flat = np.frombuffer(b"".join(x for own in classes for x in (edge, own)) + edge, np.uint8)
+    starts = np.cumsum([0, *(len(own) + SIDE for own in classes)])
+    inner = np.ones(len(flat), bool)
+    for k in range(SIDE):
+        inner[starts + k] = False
+    place = np.flatnonzero(inner)
+    return np.stack([flat[place + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1), flat[place]
+
+
+def trained(net: Network, classes: list[bytes], rate: float = RATE) -> tuple[Network, int]:
+    """Mini-batches of Adam over all windows of the texts; the number of windows."""
+    own = [c for c in classes if c]
+    n = sum(map(len, own))
+    steps, done = max(LEAST_STEPS, n // BATCH) if n else 0, 0
     first, second = ([np.zeros_like(w) for w in net.weights()] for _ in range(2))
-    for t in range(1, steps + 1):
-        _, grads = net.gradients(share)
-        for w, g, m, v in zip(net.weights(), grads, first, second, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            w -= rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    while done < steps:
+        for at in range(0, len(own), 512):
+            context, middle = windows(own[at : at + 512])
+            order = np.random.default_rng(at).permutation(len(middle))
+            for k in range(0, len(order), BATCH):
+                some = order[k : k + BATCH]
+                _, grads = net.gradients(context[some], middle[some])
+                done += 1
+                for w, g, m, v in zip(net.weights(), grads, first, second, strict=True):
+                    m += 0.1 * (g - m)
+                    v += 0.01 * (g * g - v)
+                    w -= rate * max(0.05, 1 - done / (steps + 1)) * (m / (1 - 0.9**done)) / (np.sqrt(v / (1 - 0.99**done)) + 1e-8)
+    return net, n
+
+
+def _averaged(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for all weights of a partition: their mean, by the number of windows."""
+    total, n = None, 0
+    for part in parts:
+        for data, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            w = np.frombuffer(data, "<f4").astype(np.float64) * own
+            total, n = w if total is None else total + w, n + own
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([(total / n).astype("<f4").tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["weights", "n"])
+
+
+def train(rows: DataFrame, sizes: np.ndarray) -> Network:
+    """The network of all windows of ``rows`` (classes); no more than 64 tasks' weights meet in one place."""
+    schema = "weights binary, n long"
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [c for part in parts for c in part.column(0).to_pylist()]  # a byte a word
+        net, n = trained(Network.start(sizes), own)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(w.astype("<f4").tobytes() for w in net.weights())], pa.binary()), pa.array([n], pa.int64())], names=["weights", "n"])
+
+    found = saved(rows.select("classes").mapInArrow(run, schema), "lm-weights")
+    while (count := found.count()) > 64:
+        found = saved(found.repartition(-(-count // 64)).mapInArrow(_averaged, schema), "lm-weights")
+    net = Network.start()
+    last = list(_averaged(iter(found.toArrow().to_batches())))
+    flat, at = np.frombuffer(last[0].column(0)[0].as_py(), "<f4") if last else None, 0
+    for w in net.weights():
+        w[...] = 0 if flat is None else flat[at : at + w.size].reshape(w.shape)
+        at += w.size
     return net
 
 
 @dataclass
 class Scorer:
-    """The trained model as it is sent to the tasks: fixed size."""
+    """The trained model: the table of words, and what is sent to the tasks, of bounded size."""
 
+    words: DataFrame
     frequent: list[bytes]
-    net: Network
+    sizes: np.ndarray
+    head: dict[bytes, int]
+    net: Network | None = None
 
 
-def fit(docs: DataFrame) -> Scorer:
-    """Gather the counts from all documents and train."""
-    frequent = frequent_words(docs)
-    return Scorer(frequent, train(window_counts(docs, frequent)))
+def counted(docs: DataFrame) -> Scorer:
+    """The model without its network: what is counted over all documents."""
+    words = saved(word_counts(docs), "lm-words")
+    frequent = [bytes(r.word) for r in words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+    top = most_frequent(words.where(F.octet_length("word") <= KEPT_BYTES), "n", HEAD).toArrow()
+    head = dict(zip(map(bytes, top["word"].to_pylist()), top["n"].to_pylist(), strict=True))
+    return Scorer(words, frequent, class_sizes(words, frequent), head)
 
 
-def scores(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """(doc_id, n_tokens, log_prob, mean_log_prob) of every document."""
+def classified(docs: DataFrame, scorer: Scorer) -> DataFrame:
+    """(row, doc_id, classes, known, words, times): a byte for each word, the sum of log n of the head's words, and the other words."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast((scorer.frequent, scorer.head))
 
     def make():
-        classes, logp = Classes(scorer.frequent), scorer.net.table()
+        frequent, head = sent.value
+        table = class_table(frequent)
 
         def run(ids: list, texts: list) -> list[list]:
-            found = [windows(classes.of(t or b"")) for t in texts]
-            total = [float(logp[w].sum(dtype=np.float64)) for w in found]
-            return [ids, [len(w) for w in found], total, [s / len(w) if len(w) else None for s, w in zip(total, found, strict=True)]]
+            classes, known, words, times = [], [], [], []
+            for distinct, codes, sizes in numbered(texts):
+                kinds = np.fromiter(map(table.__getitem__, distinct), np.uint8, len(distinct))[codes]
+                n = np.fromiter((head.get(w, 0) for w in distinct), np.int64, len(distinct))
+                log_n, rest = np.log(np.maximum(n, 1))[codes], n[codes] == 0
+                ends = np.cumsum([0, *sizes])
+                sums = np.concatenate([[0.0], np.cumsum(log_n)])
+                for a, b in zip(ends.tolist(), ends[1:].tolist()):
+                    classes.append(kinds[a:b].tobytes())
+                    other, count = np.unique(codes[a:b][rest[a:b]], return_counts=True)
+                    words.append([distinct[c] for c in other.tolist()])
+                    times.append(count.tolist())
+                known += (sums[ends[1:]] - sums[ends[:-1]]).tolist()
+            return [ids, classes, known, words, times]
 
         return run
 
-    return map_columns(docs.select("doc_id", utf8("text")), make, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+    found = map_columns(docs.select("doc_id", utf8("text")), make, f"doc_id {kind}, classes binary, known double, words array<binary>, times array<long>")
+    return saved(found.withColumn("row", F.monotonically_increasing_id()), "lm-classes")  # written, so a row keeps its number
+
+
+def fit(docs: DataFrame) -> tuple[Scorer, DataFrame]:
+    """The model of all documents, and the documents as classes, which ``score`` can take again."""
+    scorer = counted(docs)
+    rows = classified(docs, scorer)
+    scorer.net = train(rows, scorer.sizes)
+    return scorer, rows
+
+
+def score(rows: DataFrame, scorer: Scorer) -> DataFrame:
+    """(doc_id, n_tokens, log_prob, mean_log_prob, class_log_prob, mean_word_log_prob) of classified documents."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    sent = rows.sparkSession.sparkContext.broadcast((scorer.net, np.log(scorer.sizes + 1.0)))
+
+    def make():
+        net, log_size = sent.value
+
+        def run(keys: list, ids: list, classes: list, known: list) -> list[list]:
+            size = np.array([len(c) for c in classes])
+            by_class, within = np.zeros(len(keys)), np.array(known, np.float64)
+            for at in range(0, len(classes), 256):
+                context, middle = windows(classes[at : at + 256])
+                logp = np.zeros(len(middle) + 1)
+                for k in range(0, len(middle), BATCH):
+                    own = middle[k : k + BATCH]
+                    logp[k + 1 : k + 1 + len(own)] = net.log_probs(context[k : k + BATCH])[np.arange(len(own)), own]
+                ends = np.cumsum([0, *size[at : at + 256]])
+                for total, values in ((by_class, logp), (within, np.concatenate([[0.0], -log_size[middle]]))):
+                    sums = np.cumsum(values)
+                    total[at : at + 256] += sums[ends[1:]] - sums[ends[:-1]]
+            return [keys, ids, size, by_class, within]
+
+        return run
+
+    whole = map_columns(rows.select("row", "doc_id", "classes", "known"), make, f"row long, doc_id {kind}, n_tokens long, class_log_prob double, within double")
+    pairs = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("p")).select("row", F.col("p.words").alias("word"), F.col("p.times").alias("times"))
+    often = scorer.words.where("n > 1").select("word", F.log("n").alias("log_n"))
+    found = pairs.join(often, "word").select("row", (F.col("times") * F.col("log_n")).alias("within"))
+    parts = whole.select("row", "within", F.struct("doc_id", "n_tokens", "class_log_prob").alias("one")).unionByName(found, allowMissingColumns=True)
+    sums = parts.groupBy("row").agg(F.sum("within").alias("within"), F.first("one", ignorenulls=True).alias("one")).select("one.*", "within")
+    n = F.nullif(F.col("n_tokens"), F.lit(0))
+    total = F.col("class_log_prob") + F.col("within")
+    return sums.select("doc_id", "n_tokens", total.alias("log_prob"), (total / n).alias("mean_log_prob"), "class_log_prob", (F.col("within") / n).alias("mean_word_log_prob"))
+
+
+def scores(docs: DataFrame, scorer: Scorer) -> DataFrame:
+    """The scores of any documents."""
+    return score(classified(docs, scorer), scorer)

@@ -51,8 +51,8 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return lm.scores(docs, lm.fit(docs))
+    scorer, rows = lm.fit(table(spark, sf_dir, "documents"))
+    return lm.score(rows, scorer)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

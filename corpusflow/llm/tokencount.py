@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import map_columns, saved
+from corpusflow.llm.common import map_columns, most_frequent, saved
 from corpusflow.llm.pretokens import KEPT_CHARS, Encoder, Units, encoder_of, groups
 
 #: A text longer than this many tokens is over the limit.
@@ -77,25 +77,6 @@ def vocabulary(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataF
     return map_columns(whole, count, "piece string, occurrences long, n_tokens long")
 
 
-def frequent(known: DataFrame, head: int = HEAD) -> dict[str, int]:
-    """The most frequent pre-tokens with their counts: all that occur often enough for at most ``head`` to do so.
-
-    The frequency that this takes is read off a histogram (16 steps for each doubling), so no more than
-    these rows come to the driver, whatever the number of partitions.
-    """
-    short = known.where(F.length("piece") <= KEPT_CHARS).withColumn("step", F.floor(16 * F.log2("occurrences")))
-    least, held = None, 0
-    for step, n in sorted(short.groupBy("step").count().collect(), reverse=True):
-        held += n
-        if held > head:
-            break
-        least = step
-    if least is None:
-        return {}
-    found = short.where(F.col("step") >= least).select("piece", "n_tokens").toArrow()
-    return dict(zip(found["piece"].to_pylist(), found["n_tokens"].to_pylist(), strict=True))
-
-
 def frequencies(docs: DataFrame, tokenizer: str, head: dict[str, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, known, pieces, times): the tokens of the head's pre-tokens, and the frequencies of all others."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -130,7 +111,8 @@ def frequencies(docs: DataFrame, tokenizer: str, head: dict[str, int], id_col: s
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every document; ``tokenizer`` is a file the workers can read."""
     known = saved(vocabulary(docs, tokenizer, text_col), "pieces")
-    rows = frequencies(docs, tokenizer, frequent(known, head), id_col, text_col)
+    top = most_frequent(known.where(F.length("piece") <= KEPT_CHARS), "occurrences", head).select("piece", "n_tokens").toArrow()
+    rows = frequencies(docs, tokenizer, dict(zip(top["piece"].to_pylist(), top["n_tokens"].to_pylist(), strict=True)), id_col, text_col)
     rows = saved(rows.withColumn("cf_row", F.monotonically_increasing_id()), "frequencies")  # written, so a row keeps its number
     pairs = rows.select("cf_row", F.explode(F.arrays_zip("pieces", "times")).alias("p")).select("cf_row", F.col("p.pieces").alias("piece"), F.col("p.times").alias("times"))
     found = pairs.join(known.select("piece", "n_tokens"), "piece").select("cf_row", (F.col("times") * F.col("n_tokens")).alias("known"))
