@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,11 @@ def most_frequent(df: DataFrame, count: str, limit: int) -> DataFrame:
     return df.where(step >= least) if least is not None else df.limit(0)
 
 
+def lists(values: pa.Array, ends: np.ndarray) -> pa.Array:
+    """A list for each row: the values up to its end from the end before; ``ends`` begins with 0."""
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,18 +72,18 @@ def utf8(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("binary")
 
 
-def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
-    """The columns of each non-empty Arrow batch as Python lists."""
+def batches(rows: Iterator[pa.RecordBatch], size: int | None = None) -> Iterator[list[list]]:
+    """The columns of each non-empty Arrow batch, or of at most ``size`` of its rows at a time, as Python lists."""
     for batch in rows:
-        if batch.num_rows:
-            yield [column.to_pylist() for column in batch.columns]
+        for at in range(0, batch.num_rows, size or max(1, batch.num_rows)):
+            yield [column.to_pylist() for column in batch.slice(at, size).columns]
 
 
-def map_columns(df: DataFrame, make: Callable[[], Callable[..., list[list]]], schema: str) -> DataFrame:
-    """Run a function over the columns of each Arrow batch.
+def map_columns(df: DataFrame, make: Callable[[], Callable[..., list]], schema: str, rows_at_once: int | None = 1024) -> DataFrame:
+    """Run a function over the columns of each Arrow batch, or of some of its rows at a time.
 
-    ``make()`` is called once per task and returns ``columns in -> columns out``; ``schema`` is the
-    Spark schema of what comes out. Nothing is held beyond one batch.
+    ``make()`` is called once per task and returns ``columns in -> columns out`` (lists or Arrow arrays);
+    ``schema`` is the Spark schema of what comes out. Nothing is held beyond one batch.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -86,8 +92,8 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., list[list]]], sc
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for columns in batches(rows):
+        for columns in batches(rows, rows_at_once):
             out = work(*columns)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, schema)

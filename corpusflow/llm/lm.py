@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import map_columns, most_frequent, saved, utf8
+from corpusflow.llm.common import lists, map_columns, most_frequent, saved, utf8
 from corpusflow.llm.pretokens import Table
 
 #: Class 0 is the text's edge; then frequent words; then shapes.
@@ -102,7 +102,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         return run
 
-    return map_columns(docs.select(utf8("text")), make, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_columns(docs.select(utf8("text")), make, "word binary, n long", rows_at_once=None).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def class_sizes(words: DataFrame, frequent: list[bytes]) -> np.ndarray:
@@ -118,7 +118,7 @@ def class_sizes(words: DataFrame, frequent: list[bytes]) -> np.ndarray:
         return run
 
     out = np.zeros(CLASSES, np.int64)
-    for kind, n in map_columns(words.select("word", "n"), make, "kind int, n long").groupBy("kind").agg(F.sum("n")).collect():
+    for kind, n in map_columns(words.select("word", "n"), make, "kind int, n long", rows_at_once=None).groupBy("kind").agg(F.sum("n")).collect():
         out[kind] = n
     return out
 
@@ -147,31 +147,41 @@ class Network:
         h = self.near[0][context[:, 0]] + self.bias
         for k in range(1, 2 * SIDE):
             h += self.near[k][context[:, k]]
-        return np.tanh(h)
-
-    def log_probs(self, context: np.ndarray) -> np.ndarray:
-        """log P(class | neighbours) of all classes, for contexts [window, place]."""
-        z = self.hidden(context) @ self.out + self.out_bias
-        z -= z.max(axis=1, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        return np.tanh(h, out=h)
+
+    def scores(self, h: np.ndarray) -> np.ndarray:
+        """What the softmax is taken of; shifted where its exponentials could overflow."""
+        z = h @ self.out
+        z += self.out_bias
+        if np.abs(self.out).sum(axis=0).max() + np.abs(self.out_bias).max() > 80:
+            z -= z.max(axis=1, keepdims=True)
+        return z
+
+    def log_prob(self, context: np.ndarray, middle: np.ndarray) -> np.ndarray:
+        """log P(class of the middle | neighbours), for contexts [window, place]."""
+        z = self.scores(self.hidden(context))
+        own = z[np.arange(len(middle)), middle]
+        np.exp(z, out=z)
+        return own - np.log(z.sum(axis=1))
 
     def gradients(self, context: np.ndarray, middle: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Mean loss over the windows, and its gradients."""
         n, h = len(middle), self.hidden(context)
-        z = h @ self.out + self.out_bias
-        z -= z.max(axis=1, keepdims=True)
-        e = np.exp(z)
-        total = e.sum(axis=1, keepdims=True)
-        loss = float((np.log(total[:, 0]) - z[np.arange(n), middle]).mean())
-        e /= total
-        e[np.arange(n), middle] -= 1
-        e /= n
-        dh = (e @ self.out.T) * (1 - h * h)
-        near = np.empty_like(self.near)
-        one = np.eye(CLASSES, dtype=np.float32)
-        for k in range(2 * SIDE):
-            near[k] = one[context[:, k]].T @ dh
-        return loss, [near, dh.sum(axis=0), h.T @ e, e.sum(axis=0)]
+        e = self.scores(h)
+        own = e[np.arange(n), middle]
+        np.exp(e, out=e)
+        total = e.sum(axis=1)
+        loss = float((np.log(total) - own).mean())
+        e *= (1 / (total * n))[:, None]
+        e[np.arange(n), middle] -= 1 / n
+        dh = e @ self.out.T
+        dh *= 1 - h * h
+        row = (context + CLASSES * np.arange(2 * SIDE, dtype=np.uint16)).ravel("F")  # of all embeddings, one under another
+        order = np.argsort(row, kind="stable")
+        some, first = np.unique(row[order], return_index=True)
+        near = np.zeros_like(self.near).reshape(-1, HIDDEN)
+        near[some] = np.add.reduceat(dh[order % n], first, axis=0)
+        return loss, [near.reshape(self.near.shape), dh.sum(axis=0), h.T @ e, e.sum(axis=0)]
 
 
 def windows(classes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -270,24 +280,27 @@ def classified(docs: DataFrame, scorer: Scorer) -> DataFrame:
         table = class_table(frequent)
 
         def run(ids: list, texts: list) -> list[list]:
-            classes, known, words, times = [], [], [], []
+            classes, known, words, times, rows = [], [], [], [], [np.zeros(1, np.int64)]
             for distinct, codes, sizes in numbered(texts):
                 kinds = np.fromiter(map(table.__getitem__, distinct), np.uint8, len(distinct))[codes]
                 n = np.fromiter((head.get(w, 0) for w in distinct), np.int64, len(distinct))
                 log_n, rest = np.log(np.maximum(n, 1))[codes], n[codes] == 0
                 ends = np.cumsum([0, *sizes])
                 sums = np.concatenate([[0.0], np.cumsum(log_n)])
-                for a, b in zip(ends.tolist(), ends[1:].tolist()):
-                    classes.append(kinds[a:b].tobytes())
-                    other, count = np.unique(codes[a:b][rest[a:b]], return_counts=True)
-                    words.append([distinct[c] for c in other.tolist()])
-                    times.append(count.tolist())
+                classes += [kinds[a:b].tobytes() for a, b in zip(ends.tolist(), ends[1:].tolist())]
                 known += (sums[ends[1:]] - sums[ends[:-1]]).tolist()
-            return [ids, classes, known, words, times]
+                text, width = np.repeat(np.arange(len(sizes)), sizes)[rest], max(1, len(distinct))
+                pairs, count = np.unique(text * width + codes[rest], return_counts=True)
+                text, other = np.divmod(pairs, width)
+                rows.append(rows[-1][-1] + np.searchsorted(text, np.arange(1, len(sizes) + 1)))
+                words.append(pa.array(distinct, pa.binary()).take(pa.array(other)))
+                times.append(count)
+            ends = np.concatenate(rows)
+            return [ids, classes, known, lists(pa.concat_arrays(words), ends), lists(pa.array(np.concatenate(times)), ends)]
 
         return run
 
-    found = map_columns(docs.select("doc_id", utf8("text")), make, f"doc_id {kind}, classes binary, known double, words array<binary>, times array<long>")
+    found = map_columns(docs.select("doc_id", utf8("text")), make, f"doc_id {kind}, classes binary, known double, words array<binary>, times array<long>", rows_at_once=None)
     return saved(found.withColumn("row", F.monotonically_increasing_id()), "lm-classes")  # written, so a row keeps its number
 
 
@@ -315,7 +328,7 @@ def score(rows: DataFrame, scorer: Scorer) -> DataFrame:
                 logp = np.zeros(len(middle) + 1)
                 for k in range(0, len(middle), BATCH):
                     own = middle[k : k + BATCH]
-                    logp[k + 1 : k + 1 + len(own)] = net.log_probs(context[k : k + BATCH])[np.arange(len(own)), own]
+                    logp[k + 1 : k + 1 + len(own)] = net.log_prob(context[k : k + BATCH], own)
                 ends = np.cumsum([0, *size[at : at + 256]])
                 for total, values in ((by_class, logp), (within, np.concatenate([[0.0], -log_size[middle]]))):
                     sums = np.cumsum(values)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import saved, utf8
+from corpusflow.llm.common import lists, saved, utf8
 from corpusflow.llm.components import components
 from corpusflow.llm.simhash import NO_ID, SEED, WORDS, kept_rows
 
@@ -135,7 +135,7 @@ def prints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for part in parts:
+        for part in (whole.slice(at, 1024) for whole in parts for at in range(0, whole.num_rows, 1024)):
             same, sizes, found = [], [], []
             for own in shingle_sets(part.column(2).to_pylist(), words):
                 same.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
@@ -216,9 +216,7 @@ def pairs(nodes: DataFrame) -> DataFrame:
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, values)])
-    flat = np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+    return lists(pa.array(np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64)), np.cumsum([0, *map(len, values)]))
 
 
 def verified(candidates: DataFrame, docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
@@ -231,7 +229,7 @@ def verified(candidates: DataFrame, docs: DataFrame, nodes: DataFrame, words: in
     texts = texts.join(F.broadcast(wanted) if few else wanted, (texts["copy"] == wanted["c"]) & texts["doc_id"].eqNullSafe(wanted["i"])).select("node", "text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (whole.slice(at, 512) for whole in parts for at in range(0, whole.num_rows, 512)):
             yield pa.RecordBatch.from_arrays([part.column(0), _lists(list(shingle_sets(part.column(1).to_pylist(), words)))], names=["node", "shingles"])
 
     sets = saved(texts.mapInArrow(run, "node long, shingles array<long>"), "near-sets")

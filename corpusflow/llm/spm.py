@@ -283,7 +283,7 @@ def transfers(parts: DataFrame, model_path: str) -> DataFrame:
 
         return run
 
-    return map_columns(parts.select("key", "n", "text", "left", "right"), make, "key long, n int, rows int, weights binary")
+    return map_columns(parts.select("key", "n", "text", "left", "right"), make, "key long, n int, rows int, weights binary", rows_at_once=64)
 
 
 def _weights(rows: int, data: bytes) -> np.ndarray:
@@ -358,7 +358,7 @@ def traced(parts: DataFrame, picks: DataFrame, model_path: str) -> DataFrame:
         return run
 
     rows = parts.join(picks, ["key", "n"]).select("key", "doc_id", "n", "text", "left", "right", "marks", "i", "j")
-    return map_columns(rows, make, "key long, doc_id long, n int, ids binary, decoded_chars long, round_trip boolean")
+    return map_columns(rows, make, "key long, doc_id long, n int, ids binary, decoded_chars long, round_trip boolean", rows_at_once=64)
 
 
 def _short(docs: DataFrame, model_path: str) -> DataFrame:
@@ -372,7 +372,7 @@ def _short(docs: DataFrame, model_path: str) -> DataFrame:
 
         return run
 
-    return map_columns(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, ids binary, decoded_chars long, round_trip boolean, n_chunks int")
+    return map_columns(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, ids binary, decoded_chars long, round_trip boolean, n_chunks int", rows_at_once=512)
 
 
 def _long(docs: DataFrame, model_path: str, size: int) -> DataFrame:

@@ -22,10 +22,11 @@ result; other columns are ignored; ids may have any type.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import map_columns, most_frequent, saved
+from corpusflow.llm.common import lists, map_columns, most_frequent, saved
 from corpusflow.llm.pretokens import KEPT_CHARS, Encoder, Units, encoder_of, groups
 
 #: A text longer than this many tokens is over the limit.
@@ -72,7 +73,7 @@ def vocabulary(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataF
 
         return run
 
-    parts = map_columns(docs.select(F.col(text_col).alias("text")), split, "piece string, occurrences long")
+    parts = map_columns(docs.select(F.col(text_col).alias("text")), split, "piece string, occurrences long", rows_at_once=None)
     whole = parts.groupBy("piece").agg(F.sum("occurrences").alias("occurrences"))
     return map_columns(whole, count, "piece string, occurrences long, n_tokens long")
 
@@ -86,7 +87,7 @@ def frequencies(docs: DataFrame, tokenizer: str, head: dict[str, int], id_col: s
         encoder, counts = encoder_of(tokenizer), sent.value
 
         def run(ids: list, texts: list, sizes: list) -> list[list]:
-            known, pieces, times = [], [], []
+            known, pieces, times, ends = [], [], [], [np.zeros(1, np.int64)]
             for _, group in groups(texts):
                 stretches, owner, special = _stretches(encoder, group)
                 units = Units(stretches)
@@ -96,16 +97,16 @@ def frequencies(docs: DataFrame, tokenizer: str, head: dict[str, int], id_col: s
                 known += (special + np.bincount(text_of[kept], weights=value[units.codes][kept], minlength=len(group)).astype(np.int64)).tolist()
                 pairs, n = np.unique(text_of[~kept] * max(1, len(units.distinct)) + units.codes[~kept], return_counts=True)
                 rows, codes = np.divmod(pairs, max(1, len(units.distinct)))
-                ends = np.searchsorted(rows, np.arange(len(group) + 1)).tolist()
-                names, n = [units.distinct[c] for c in codes.tolist()], n.tolist()
-                pieces += [names[a:b] for a, b in zip(ends, ends[1:])]
-                times += [n[a:b] for a, b in zip(ends, ends[1:])]
-            return [ids, sizes, known, pieces, times]
+                ends.append(ends[-1][-1] + np.searchsorted(rows, np.arange(1, len(group) + 1)))
+                pieces.append(pa.array(units.distinct, pa.string()).take(pa.array(codes)))
+                times.append(n)
+            ends = np.concatenate(ends)
+            return [ids, sizes, known, lists(pa.concat_arrays(pieces), ends), lists(pa.array(np.concatenate(times)), ends)]
 
         return run
 
     rows = docs.select(F.col(f"`{id_col}`"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
-    return map_columns(rows, make, f"`{id_col}` {kind}, n_bytes long, known long, pieces array<string>, times array<long>")
+    return map_columns(rows, make, f"`{id_col}` {kind}, n_bytes long, known long, pieces array<string>, times array<long>", rows_at_once=None)
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
