@@ -48,8 +48,8 @@ RADIUS = 2
 DISTANCE = 34
 #: Groups of more nodes are kept apart in the join.
 LARGE = 64
-#: Of the 31 bits that a row of the index carries, so many may differ at most; about 3.5 deviations above the mean, too.
-NEAR_31 = 12
+#: Of the 63 bits of the second word, which a row of the index carries, so many may differ at most; 3.5 deviations above the mean, too.
+NEAR_63 = 20
 #: Shingles, and words, that are worked on at once.
 _CHUNK = 1 << 14
 _GROUP = 1 << 18
@@ -155,7 +155,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def indexed(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(key, node, part, low): each node under every value in the balls around its segments; ``low`` is 31 of its bits."""
+    """(key, node, part, fp2): each node under every value in the balls around its segments; ``fp2`` is its second word."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -166,11 +166,10 @@ def indexed(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
                 unsure = np.frombuffer(b"".join(some.column(4).to_pylist()), np.uint8).reshape(len(node), SEGMENTS, UNSURE)
                 keys = ball(values, unsure, radius)
                 each = keys.shape[1]
-                low = (fp2 & 0x7FFFFFFF).astype(np.int32)
-                columns = [pa.array(keys.reshape(-1).astype(np.int32)), *(pa.array(np.repeat(x, each)) for x in (node, group, low))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "part", "low"])
+                columns = [pa.array(keys.reshape(-1).astype(np.int32)), *(pa.array(np.repeat(x, each)) for x in (node, group, fp2))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "part", "fp2"])
 
-    return nodes.select("node", "part", "fp", "fp2", "unsure").mapInArrow(run, "key int, node long, part long, low int")
+    return nodes.select("node", "part", "fp", "fp2", "unsure").mapInArrow(run, "key int, node long, part long, fp2 long")
 
 
 def _close() -> Column:
@@ -200,14 +199,14 @@ def pairs(nodes: DataFrame) -> DataFrame:
     large = nodes.groupBy("part").agg(F.count("*").alias("size")).where(F.col("size") > LARGE)
     marked = saved(nodes.join(large, "part", "left"), "near-marked")
     some, many = indexed(marked.where("size is null")), indexed(marked.where("size is not null"))
-    fits = F.bit_count(F.col("a.low").bitwiseXOR(F.col("b.low"))) <= NEAR_31
+    fits = F.bit_count(F.col("a.fp2").bitwiseXOR(F.col("b.fp2"))) <= NEAR_63
     ends = [F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")]
     within = some.alias("a").join(some.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.part") != F.col("b.part")) & fits)
     between = some.alias("a").join(many.alias("b"), (F.col("a.key") == F.col("b.key")) & fits)
     held = many.select("key", "part").distinct()
     two = held.toDF("key", "p").join(held.toDF("key", "q"), "key").where("p < q")
-    first = many.select("key", F.col("part").alias("p"), F.struct("node", "low").alias("a"))
-    second = many.select("key", F.col("part").alias("q"), F.struct("node", "low").alias("b"))
+    first = many.select("key", F.col("part").alias("p"), F.struct("node", "fp2").alias("a"))
+    second = many.select("key", F.col("part").alias("q"), F.struct("node", "fp2").alias("b"))
     beyond = two.join(first, ["key", "p"]).join(second, ["key", "q"]).where(fits)
     met = within.select(*ends).union(between.select(*ends)).union(beyond.select(*ends)).distinct()
     one = F.struct("n", "fp", "fp2")
