@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,29 @@ SENTENCE_ENDS = "[.؟!،]"
 CHUNK = "struct<text:string,content_type:string,chunking_strategy:string,chunk_index:int,total_chunks:int,chunk_size_used:int,section_index:int,section_header:string>"
 
 
+#: Elements that a fold takes at once.
+BLOCK = 256
+
+
+def fold(values: Column, empty: Column, step: Callable[[Column, Column], Column], last: Callable[[Column], Column], kind: str = "string") -> Column:
+    """``aggregate`` for a state with a growing list ``out``, in time that grows with the number of values.
+
+    Each appending copies the list, so the values are folded in blocks, each with a list of its own, and
+    the lists are put together at the end.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def block(a: Column, own: Column) -> Column:
+        return once(F.aggregate(own, a["state"], step), lambda r: F.struct(r.withField("out", none).alias("state"), F.array_append(a["outs"], r["out"]).alias("outs")))
+
+    def blocks(v: Column) -> Column:
+        starts = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.slice(v, i, F.lit(BLOCK)))
+
+    start = F.struct(empty.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("outs"))
+    return once(values, lambda v: F.aggregate(blocks(v), start, block, lambda a: F.flatten(F.array_append(a["outs"], last(a["state"])))))
+
+
 def sentences(c: str | Column) -> Column:
     return F.filter(F.transform(F.split(col(c), SENTENCE_ENDS, -1), strip), lambda s: s != "")
 
@@ -38,7 +63,7 @@ def sentence_chunks(c: str | Column, size: int | Column = DEFAULTS.chunk_size, o
             F.struct(F.concat(tail, s, F.lit(" ")).alias("now"), given(a).alias("out"))
         )
 
-    return F.aggregate(sentences(c), empty, step, given)
+    return fold(sentences(c), empty, step, given)
 
 
 def row_chunks(c: str | Column, size: int | Column, overlap: int = DEFAULTS.chunk_overlap) -> Column:
@@ -61,7 +86,7 @@ def row_chunks(c: str | Column, size: int | Column, overlap: int = DEFAULTS.chun
         ).otherwise(F.struct(F.array_append(a["now"], line).alias("now"), (a["n"] + F.length(line)).alias("n"), a["out"].alias("out")))
 
     finish = lambda a: F.when(F.size(a["now"]) > 0, F.array_append(a["out"], F.array_join(a["now"], "\n"))).otherwise(a["out"])
-    return F.aggregate(lines(c), empty, step, finish)
+    return fold(lines(c), empty, step, finish)
 
 
 def _chunk(text: Column, kind: Column, **more: Column) -> Column:
@@ -91,21 +116,24 @@ def dynamic_chunks(c: str | Column, overlap: int = DEFAULTS.chunk_overlap, least
 
 def sections(c: str | Column, headers: str | Column) -> Column:
     """(header, content) of each section: the lines after a header; a header without any line makes none."""
-    numbered = once(col(headers), lambda h: F.transform(lines(c), lambda x, i: F.struct(x.alias("line"), F.array_contains(h, i.cast("int")).alias("head"))))
-    strings = F.array().cast("array<string>")
-    none = F.array().cast("array<struct<header:string,content:string>>")
-    empty = F.struct(F.lit(None).cast("string").alias("header"), strings.alias("now"), none.alias("out"))
+    def cut(x: Column, heads: Column) -> Column:
+        starts = F.array_sort(F.array_distinct(F.filter(heads, lambda i: (i >= 0) & (i < F.size(x)))))
+        return _between(x, F.concat(F.array(F.lit(-1)), starts), lambda x, start: F.when(start >= 0, strip(F.get(x, start))).alias("header"), 1)
 
-    def closed(a: Column) -> Column:
-        done = F.struct(a["header"].alias("header"), F.array_join(a["now"], "\n").alias("content"))
-        return F.when(F.size(a["now"]) > 0, F.array_append(a["out"], done)).otherwise(a["out"])
+    return once(lines(c), lambda x: once(col(headers).cast("array<int>"), lambda heads: F.filter(cut(x, heads), lambda s: s["content"].isNotNull())))
 
-    def step(a: Column, s: Column) -> Column:
-        return F.when(s["head"], F.struct(strip(s["line"]).alias("header"), strings.alias("now"), closed(a).alias("out"))).otherwise(
-            F.struct(a["header"].alias("header"), F.array_append(a["now"], s["line"]).alias("now"), a["out"].alias("out"))
-        )
 
-    return F.aggregate(numbered, empty, step, closed)
+def _between(x: Column, starts: Column, first: Callable[[Column, Column], Column], skip: int) -> Column:
+    """For each start: what ``first`` makes of it, and the lines from there (``skip`` left out) up to the next start; null for no line."""
+
+    def of(starts: Column) -> Column:
+        def one(start: Column, i: Column) -> Column:
+            n = F.coalesce(F.get(starts, i + 1), F.size(x)) - start - skip
+            return F.struct(first(x, start), F.when(n > 0, F.array_join(F.slice(x, start + skip + 1, n), "\n")).alias("content"))
+
+        return F.transform(starts, one)
+
+    return once(starts, of)
 
 
 def section_chunks(c: str | Column, headers: str | Column, overlap: int = DEFAULTS.chunk_overlap, least: int = DEFAULTS.min_chunk, dynamic: bool = True) -> Column:
@@ -124,24 +152,12 @@ def section_chunks(c: str | Column, headers: str | Column, overlap: int = DEFAUL
 
 def regions(c: str | Column) -> Column:
     """(is_table, content): runs of table lines and of other lines."""
-    marked = F.transform(lines(c), lambda x: F.struct(x.alias("line"), _table_line(x).alias("table")))
-    strings = F.array().cast("array<string>")
-    none = F.array().cast("array<struct<table:boolean,content:string>>")
-    empty = F.struct(F.lit(None).cast("boolean").alias("table"), strings.alias("now"), none.alias("out"))
-
-    def closed(a: Column) -> Column:
-        done = F.struct(a["table"].alias("table"), F.array_join(a["now"], "\n").alias("content"))
-        return F.when(F.size(a["now"]) > 0, F.array_append(a["out"], done)).otherwise(a["out"])
-
-    def step(a: Column, s: Column) -> Column:
-        same = a["table"].eqNullSafe(s["table"])
-        return F.struct(
-            s["table"].alias("table"),
-            F.when(same, F.array_append(a["now"], s["line"])).otherwise(F.array(s["line"])).alias("now"),
-            F.when(same, a["out"]).otherwise(closed(a)).alias("out"),
-        )
+    def cut(x: Column, table: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(x) - 1)
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(table, i) != F.get(table, i - 1)))
+        return _between(x, starts, lambda x, start: F.get(table, start).alias("table"), 0)
 
-    return F.aggregate(marked, empty, step, closed)
+    return once(lines(c), lambda x: once(F.transform(x, _table_line), lambda table: cut(x, table)))
 
 
 def _table_line(line: Column) -> Column:

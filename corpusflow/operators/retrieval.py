@@ -80,6 +80,26 @@ def _nearest(corpus: DataFrame, ids: list, q: np.ndarray, k: int, id_col: str, v
     return whole.mapInArrow(run, "query_id long, id long, score double")
 
 
+def words(text: str | Column) -> Column:
+    """The distinct words of a text, in lower case: runs of letters and digits."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
+
+
+def search_words(docs: DataFrame, queries: DataFrame, k: int = DEFAULTS.retrieve, id_col: str = "doc_id") -> DataFrame:
+    """(query_id, id, score, rank): the k documents that share most of a query's distinct words.
+
+    An inverted index as an equi-join on the word: only words that a query has leave the join, and shared
+    words are counted before the shuffle. ``queries`` is (query_id, query); ties go to the smaller id.
+    """
+    asked = queries.select("query_id", words("query").alias("own")).select("query_id", F.size("own").alias("n"), F.explode("own").alias("word"))
+    held = docs.where(F.col(id_col).isNotNull()).select(id_col, F.explode(words("text")).alias("word"))
+    shared = held.join(asked, "word").groupBy("query_id", id_col, "n").agg(F.count("*").alias("shared"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
+    found = shared.select("query_id", id_col, (F.col("shared") / F.col("n")).alias("score"))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def pair_similarities(candidates: DataFrame, group: str = "query_id", place: str = "retrieval_rank", vector: str = "embedding") -> DataFrame:
     """(group, i, j, similarity) of all candidates of a query, i before j. Candidates are few: the top k."""
     a = candidates.select(group, F.col(place).alias("i"), F.col(vector).alias("_a"))
