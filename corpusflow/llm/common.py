@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,35 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the setting is absent (a local test session) a temporary folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="corpusflow-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/corpusflow-{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet below the shared folder and read again.
-
-    This cuts the lineage: what is downstream survives the loss of any executor without a recount,
-    and an expensive step runs once although several later steps read it.
-    """
-    path = shared_path(df.sparkSession, name)
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+from corpusflow.shared import saved as saved
+from corpusflow.shared import shared_path as shared_path
 
 
 def most_frequent(df: DataFrame, count: str, limit: int) -> DataFrame:
