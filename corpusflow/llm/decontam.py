@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import map_columns, saved, utf8
+from corpusflow.llm.common import filtered, map_columns, saved, utf8
 
 WINDOW = 10
 #: Bytes of benchmark text in one automaton, which takes some 300 bytes for each.
@@ -217,17 +217,13 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """The documents in which no window occurs, with all their columns; a filter without a shuffle for each part."""
 
     def kept(rows: DataFrame, part: list[tuple]) -> DataFrame:
-        make_scanner, made = _scanner(rows, part, window), []
+        make_scanner = _scanner(rows, part, window)
 
-        @F.pandas_udf("boolean")
-        def clean(texts):
-            import pandas as pd
-
-            if not made:
-                made.append(make_scanner())
-            return pd.Series([not made[0].matches(words_of(t or b"")) for t in texts], dtype=bool)
+        def make():
+            scanner = make_scanner()
+            return lambda texts: [not scanner.matches(words_of(t or b"")) for t in texts]
 
-        return rows.where(clean(utf8("text")))
+        return filtered(rows, utf8("text"), make)
 
     first, rest = _split(benchmark, part_bytes)
     out = kept(docs, first)

@@ -223,5 +223,6 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None) -> Da
 
         return run
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
     span = "array<struct<template: string, first_word: long, last_word: long, covered: long>>"
-    return map_columns(docs.select("doc_id", utf8("text")), make, f"doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans {span}")
+    return map_columns(docs.select("doc_id", utf8("text")), make, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans {span}")

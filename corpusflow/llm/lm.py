@@ -41,20 +41,23 @@ FREQUENT = CLASSES - SHAPES - 1
 #: Words on each side.
 SIDE = 2
 HIDDEN = 32
-BATCH = 1024
+BATCH = 512
 #: A task whose part has fewer batches goes over it again until it has made so many steps.
-LEAST_STEPS = 300
-RATE = 0.01
+LEAST_STEPS = 600
+RATE = 0.1
 #: Words whose frequencies are sent to the tasks, and the length of the longest one.
 HEAD = 200_000
 KEPT_BYTES = 64
+_DIGITS = bytes(range(48, 58))
+_SIGNS = bytes([*range(48), *range(58, 65)])
 #: Words that are numbered at once.
 _GROUP = 1 << 20
 
 
 def shape(word: bytes) -> int:
     """The class of a word that isn't frequent: by its ending and the kinds of its characters."""
-    kinds = (word.isalpha(), any(48 <= b < 58 for b in word), any(b < 48 or 58 <= b < 65 for b in word), len(word) > 12)
+    alpha = word.isalpha()
+    kinds = (alpha, not alpha and len(word.translate(None, _DIGITS)) < len(word), not alpha and len(word.translate(None, _SIGNS)) < len(word), len(word) > 12)
     return 1 + FREQUENT + zlib.crc32(word[-2:] + bytes(kinds)) % SHAPES
 
 
@@ -197,11 +200,11 @@ def windows(classes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def trained(net: Network, classes: list[bytes], rate: float = RATE) -> tuple[Network, int]:
-    """Mini-batches of Adam over all windows of the texts; the number of windows."""
+    """Mini-batches of Adagrad over all windows of the texts; the number of windows."""
     own = [c for c in classes if c]
     n = sum(map(len, own))
     steps, done = max(LEAST_STEPS, n // BATCH) if n else 0, 0
-    first, second = ([np.zeros_like(w) for w in net.weights()] for _ in range(2))
+    squares = [np.full_like(w, 1e-6) for w in net.weights()]
     while done < steps:
         for at in range(0, len(own), 512):
             context, middle = windows(own[at : at + 512])
@@ -210,10 +213,11 @@ def trained(net: Network, classes: list[bytes], rate: float = RATE) -> tuple[Net
                 some = order[k : k + BATCH]
                 _, grads = net.gradients(context[some], middle[some])
                 done += 1
-                for w, g, m, v in zip(net.weights(), grads, first, second, strict=True):
-                    m += 0.1 * (g - m)
-                    v += 0.01 * (g * g - v)
-                    w -= rate * max(0.05, 1 - done / (steps + 1)) * (m / (1 - 0.9**done)) / (np.sqrt(v / (1 - 0.99**done)) + 1e-8)
+                for w, g, v in zip(net.weights(), grads, squares, strict=True):
+                    v += g * g
+                    g *= rate
+                    g /= np.sqrt(v)
+                    w -= g
     return net, n
 
 

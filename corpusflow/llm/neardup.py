@@ -159,8 +159,8 @@ def indexed(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for at in range(0, part.num_rows, 4096):
-                some = part.slice(at, 4096)
+            for at in range(0, part.num_rows, 512):
+                some = part.slice(at, 512)
                 node, group, fp, fp2 = (c.to_numpy() for c in some.columns[:4])
                 values = np.stack([(w >> (BITS * k)) & ((1 << BITS) - 1) for w in (fp, fp2) for k in range(3)], axis=1)
                 unsure = np.frombuffer(b"".join(some.column(4).to_pylist()), np.uint8).reshape(len(node), SEGMENTS, UNSURE)

@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Largest number of entries of each table of pieces that a worker keeps.
-TABLE_ENTRIES = 200_000
+TABLE_ENTRIES = 120_000
 #: Longer pieces are encoded each time; so a table's size in bytes is bounded too.
 KEPT_CHARS = 64
 

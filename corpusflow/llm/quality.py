@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import map_columns, utf8
+from corpusflow.llm.common import filtered, map_columns, utf8
 
 #: At most so many labelled documents are used to fit the forest and its threshold.
 FIT_ROWS = 20_000
@@ -213,22 +213,20 @@ def judged(docs: DataFrame, forest: Forest | None) -> DataFrame:
 
         return run
 
-    fields = ", ".join(f"{x} long" for x in STATISTICS)
-    return map_columns(docs.select("doc_id", utf8("text")), make, f"doc_id long, {fields}, base_failed boolean, kept boolean, score double")
+    fields, kind = ", ".join(f"{x} long" for x in STATISTICS), docs.schema["doc_id"].dataType.simpleString()
+    return map_columns(docs.select("doc_id", utf8("text")), make, f"doc_id {kind}, {fields}, base_failed boolean, kept boolean, score double")
 
 
 def kept_documents(docs: DataFrame, forest: Forest | None) -> DataFrame:
     """The documents that pass, with all their columns; a filter, so no row is shuffled."""
 
-    @F.pandas_udf("boolean")
-    def passes(texts):
-        import pandas as pd
+    def make():
+        def keeps(texts: list) -> list[bool]:
+            both = [statistics(t or b"") for t in texts]
+            score = forest.score(np.array([x[1] for x in both])).tolist() if forest else [0.0] * len(both)
+            limit = forest.threshold if forest else np.inf
+            return [not base_failed(x[0][0], x[0][4]) and s <= limit for x, s in zip(both, score, strict=True)]
 
-        both = [statistics(t or b"") for t in texts]
-        if not both:
-            return pd.Series([], dtype=bool)
-        score = forest.score(np.array([x[1] for x in both])) if forest else np.zeros(len(both))
-        limit = forest.threshold if forest else np.inf
-        return pd.Series([not base_failed(x[0][0], x[0][4]) and s <= limit for x, s in zip(both, score.tolist(), strict=True)])
+        return keeps
 
-    return docs.where(passes(utf8("text")))
+    return filtered(docs, utf8("text"), make)
