@@ -53,6 +53,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows from now on: whole texts in larger ones take much memory outside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def utf8(column: str | Column) -> Column:
     """The UTF-8 bytes of a string column, for Python code that works on bytes."""
     return (F.col(column) if isinstance(column, str) else column).cast("binary")

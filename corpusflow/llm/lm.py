@@ -42,6 +42,7 @@ FREQUENT = CLASSES - SHAPES - 1
 SIDE = 2
 HIDDEN = 32
 BATCH = 512
+_ROWS = 32
 #: A task whose part has fewer batches goes over it again until it has made so many steps.
 LEAST_STEPS = 600
 RATE = 0.1
@@ -126,6 +127,22 @@ def class_sizes(words: DataFrame, frequent: list[bytes]) -> np.ndarray:
     return out
 
 
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b in blocks so small that the BLAS library starts no threads: the tasks use all cores already."""
+    out = np.empty((len(a), b.shape[1]), np.float32)
+    for k in range(0, len(a), _ROWS):
+        np.matmul(a[k : k + _ROWS], b, out=out[k : k + _ROWS])
+    return out
+
+
+def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b, in the same way."""
+    out = np.zeros((a.shape[1], b.shape[1]), np.float32)
+    for k in range(0, len(a), _ROWS):
+        out += a[k : k + _ROWS].T @ b[k : k + _ROWS]
+    return out
+
+
 @dataclass
 class Network:
     """Embeddings of the neighbours by place, a hidden layer and a softmax over classes."""
@@ -154,7 +171,7 @@ class Network:
 
     def scores(self, h: np.ndarray) -> np.ndarray:
         """What the softmax is taken of; shifted where its exponentials could overflow."""
-        z = h @ self.out
+        z = _product(h, self.out)
         z += self.out_bias
         if np.abs(self.out).sum(axis=0).max() + np.abs(self.out_bias).max() > 80:
             z -= z.max(axis=1, keepdims=True)
@@ -177,14 +194,14 @@ class Network:
         loss = float((np.log(total) - own).mean())
         e *= (1 / (total * n))[:, None]
         e[np.arange(n), middle] -= 1 / n
-        dh = e @ self.out.T
+        dh = _product(e, self.out.T)
         dh *= 1 - h * h
         row = (context + CLASSES * np.arange(2 * SIDE, dtype=np.uint16)).ravel("F")  # of all embeddings, one under another
         order = np.argsort(row, kind="stable")
         some, first = np.unique(row[order], return_index=True)
         near = np.zeros_like(self.near).reshape(-1, HIDDEN)
         near[some] = np.add.reduceat(dh[order % n], first, axis=0)
-        return loss, [near.reshape(self.near.shape), dh.sum(axis=0), h.T @ e, e.sum(axis=0)]
+        return loss, [near.reshape(self.near.shape), dh.sum(axis=0), _inner(h, e), e.sum(axis=0)]
 
 
 def windows(classes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
