@@ -14,27 +14,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusflow.llm import decontam, neardup, quality, spm
-from corpusflow.llm.common import saved, table
+from corpusflow.llm.common import saved, small_batches, table
 from corpusflow.llm.queries import PIECES, tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a base rule or the isolation forest rejects go."""
+    small_batches(spark)
     return quality.kept_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five words, a Jaccard similarity of 0.8, verified) the document with the smallest id stays."""
+    small_batches(spark)
     return neardup.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of a benchmark item occurs go."""
+    small_batches(spark)
     return decontam.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left is encoded in pieces (``ids``, 4 bytes each) and decoded again to compare it with the text."""
+    small_batches(spark)
     return spm.report(docs, tokenizer_path(PIECES), with_ids=True)
 
 
