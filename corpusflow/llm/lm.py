@@ -41,10 +41,10 @@ FREQUENT = CLASSES - SHAPES - 1
 #: Words on each side.
 SIDE = 2
 HIDDEN = 32
-BATCH = 512
+BATCH = 1024
 _ROWS = 32
 #: A task whose part has fewer batches goes over it again until it has made so many steps.
-LEAST_STEPS = 600
+LEAST_STEPS = 300
 RATE = 0.1
 #: Words whose frequencies are sent to the tasks, and the length of the longest one.
 HEAD = 200_000
@@ -184,24 +184,24 @@ class Network:
         np.exp(z, out=z)
         return own - np.log(z.sum(axis=1))
 
-    def gradients(self, context: np.ndarray, middle: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        """Mean loss over the windows, and its gradients."""
+    def gradients(self, context: np.ndarray, middle: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], list[np.ndarray]]:
+        """The classes' sums and the middles' scores, from which the loss follows, and the gradients of its mean over the windows."""
         n, h = len(middle), self.hidden(context)
         e = self.scores(h)
         own = e[np.arange(n), middle]
         np.exp(e, out=e)
         total = e.sum(axis=1)
-        loss = float((np.log(total) - own).mean())
         e *= (1 / (total * n))[:, None]
         e[np.arange(n), middle] -= 1 / n
         dh = _product(e, self.out.T)
         dh *= 1 - h * h
         row = (context + CLASSES * np.arange(2 * SIDE, dtype=np.uint16)).ravel("F")  # of all embeddings, one under another
         order = np.argsort(row, kind="stable")
-        some, first = np.unique(row[order], return_index=True)
+        row = row[order]
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         near = np.zeros_like(self.near).reshape(-1, HIDDEN)
-        near[some] = np.add.reduceat(dh[order % n], first, axis=0)
-        return loss, [near.reshape(self.near.shape), dh.sum(axis=0), _inner(h, e), e.sum(axis=0)]
+        near[row[first]] = np.add.reduceat(dh[order % n], first, axis=0)
+        return (total, own), [near.reshape(self.near.shape), dh.sum(axis=0), _inner(h, e), e.sum(axis=0)]
 
 
 def windows(classes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
