@@ -74,13 +74,13 @@ def cut(text: str) -> list[str]:
     return [head, *[" " + x for x in rest]]
 
 
-def groups(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """The texts in groups of about ``GROUP_CHARS`` characters, each with the number of texts before it; null is empty."""
+def groups(texts: list[str | None], chars: int = GROUP_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """The texts in groups of about ``chars`` characters, each with the number of texts before it; null is empty."""
     first, held, size = 0, [], 0
     for text in texts:
         held.append(text or "")
         size += len(held[-1])
-        if size > GROUP_CHARS:
+        if size > chars:
             yield first, held
             first, held, size = first + len(held), [], 0
     if held:

@@ -32,7 +32,9 @@ from corpusflow.llm.pretokens import KEPT_CHARS, Encoder, Units, encoder_of, gro
 #: A text longer than this many tokens is over the limit.
 LIMIT = 512
 #: At most so many pre-tokens' counts are sent to the tasks.
-HEAD = 300_000
+HEAD = 200_000
+#: Characters of text whose pre-tokens are looked up at once.
+LOOKED_UP = 1 << 20
 
 
 def _stretches(encoder: Encoder, texts: list[str]) -> tuple[list[str], list[int], np.ndarray]:
@@ -88,7 +90,7 @@ def frequencies(docs: DataFrame, tokenizer: str, head: dict[str, int], id_col: s
 
         def run(ids: list, texts: list, sizes: list) -> list[list]:
             known, pieces, times, ends = [], [], [], [np.zeros(1, np.int64)]
-            for _, group in groups(texts):
+            for _, group in groups(texts, LOOKED_UP):
                 stretches, owner, special = _stretches(encoder, group)
                 units = Units(stretches)
                 value = np.fromiter((counts.get(u, -1) for u in units.distinct), np.int64, len(units.distinct))
