@@ -10,7 +10,7 @@ from corpusflow.functions.route import route
 from corpusflow.functions.structure import is_pdf
 from corpusflow.functions.text import excerpt
 from corpusflow.operators import chunking, memory, prompts, rerank, retrieval
-from corpusflow.operators.providers import embedded, generator
+from corpusflow.operators.providers import chunker, embedded, generator
 from corpusflow.settings import DEFAULTS
 
 
@@ -22,9 +22,16 @@ def batch_types(docs: DataFrame, batch: str = "batch_id", place: str = "place",
     return found.select(batch, F.when(F.col("_d") | F.col("_l"), "pdf").otherwise("text").alias("document_type"))
 
 
-def ingested(docs: DataFrame, provider: str = "hash", batch_is_pdf: Column | None = None, source: str | None = None, kind: str | None = None) -> DataFrame:
-    """Chunk, normalise after chunking, embed: a single narrow stage. The key of a chunk is stable."""
-    rows = chunking.page_documents(docs, source, kind, batch_is_pdf=batch_is_pdf).withColumn("text", normalized("text"))
+def ingested(docs: DataFrame, provider: str = "hash", batch_is_pdf: Column | None = None, source: str | None = None, kind: str | None = None, cut: str | None = None) -> DataFrame:
+    """Chunk, normalise after chunking, embed: a single narrow stage. The key of a chunk is stable.
+
+    ``cut`` names a registered chunker that takes the place of the page-aware one.
+    """
+    if cut is None:
+        rows = chunking.page_documents(docs, source, kind, batch_is_pdf=batch_is_pdf)
+    else:
+        rows = chunking.exploded(docs, F.transform(chunker(cut)(F.col("text")), lambda x, i: F.struct(x.alias("text"), i.cast("int").alias("place"))))
+    rows = rows.withColumn("text", normalized("text"))
     return rows.withColumn("chunk_id", F.xxhash64("doc_id", "place", "text")).withColumn("embedding", embedded(F.col("text"), provider))
 
 

@@ -8,17 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.functions.chunk import row_chunks, sentence_chunks
 from corpusflow.functions.text import excerpt
 from corpusflow.functions.vector import hashed_embedding, overlap_score
 
 EMBEDDINGS: dict[str, Callable[[Column], Column]] = {"hash": hashed_embedding}
 SCORERS: dict[str, Callable[[Column, Column], Column]] = {"overlap": overlap_score}
 GENERATORS: dict[str, Callable[[Column, Column], Column]] = {"extract": lambda query, context: excerpt(context, 500)}
-CHUNKERS: dict[str, Callable[[Column], Column]] = {}
-EXTRACTORS: dict[str, Callable[[bytes, str], dict]] = {}
+#: Text to an array of texts.
+CHUNKERS: dict[str, Callable[[Column], Column]] = {"sentence": sentence_chunks, "row": row_chunks}
+#: By format; ``sources.files`` puts its own in.
+EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
 def _get(table: dict, name: str, what: str):
@@ -39,6 +42,10 @@ def generator(name: str = "extract") -> Callable[[Column, Column], Column]:
     return _get(GENERATORS, name, "generator")
 
 
+def chunker(name: str) -> Callable[[Column], Column]:
+    return _get(CHUNKERS, name, "chunker")
+
+
 def register(kind: str, name: str, function: Callable) -> None:
     """Add a provider; ``kind`` is embedding, reranker, generator, chunker or extractor."""
     tables = {"embedding": EMBEDDINGS, "reranker": SCORERS, "generator": GENERATORS, "chunker": CHUNKERS, "extractor": EXTRACTORS}

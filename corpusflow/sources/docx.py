@@ -14,7 +14,7 @@ from corpusflow.functions.text import file_hash
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _OLE = bytes.fromhex("D0CF11E0A1B11AE1")
-READ = "text string, content_type string, headings array<string>, table_count int, paragraph_count int, has_track_changes boolean, warnings array<string>"
+READ = "text string, content_type string, headings array<string>, heading_levels array<int>, table_count int, paragraph_count int, has_track_changes boolean, warnings array<string>"
 
 
 def _text(node: ElementTree.Element) -> str:
@@ -39,12 +39,12 @@ def _styles(archive: zipfile.ZipFile) -> dict[str, str]:
 
 def read(data: bytes, mark_tables: bool = True) -> tuple:
     if data.startswith(_OLE):
-        return "", "TEXT", [], 0, 0, False, ["The old .doc format isn't supported; save the file as .docx"]
+        return "", "TEXT", [], [], 0, 0, False, ["The old .doc format isn't supported; save the file as .docx"]
     try:
         archive = zipfile.ZipFile(io.BytesIO(data))
         styles = _styles(archive)
         body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{_W}body")
-        parts, headings, tables, paragraphs, changed = [], [], 0, 0, False
+        parts, headings, levels, tables, paragraphs, changed = [], [], [], 0, 0, False
         for node in body if body is not None else []:
             if node.tag == f"{_W}p":
                 changed |= any(True for x in node.iter() if x.tag in (f"{_W}del", f"{_W}ins"))
@@ -54,8 +54,11 @@ def read(data: bytes, mark_tables: bool = True) -> tuple:
                 paragraphs += 1
                 style = node.find(f"{_W}pPr/{_W}pStyle")
                 name = style.get(f"{_W}val", "") if style is not None else ""
-                if "heading" in name.lower() or "heading" in styles.get(name, "").lower():
+                named = next((x for x in (name, styles.get(name, "")) if "heading" in x.lower()), None)
+                if named:
                     headings.append(text.strip())
+                    ending = re.search(r"(\d+)$", named)
+                    levels.append(int(ending[1]) if ending else 1)
                     parts.append(f"\n# {text.strip()}\n")
                 else:
                     parts.append(text)
@@ -67,9 +70,9 @@ def read(data: bytes, mark_tables: bool = True) -> tuple:
                     inner = "\n".join(filled)
                     parts.append(f"\n[TABLE {tables}]\n{inner}\n[/TABLE]\n" if mark_tables else inner)
         kind = "TABLE" if tables > paragraphs / 2 else "HEADING" if headings else "TEXT"
-        return "\n".join(parts), kind, headings, tables, paragraphs, changed, []
+        return "\n".join(parts), kind, headings, levels, tables, paragraphs, changed, []
     except Exception as error:  # a file that can't be read must not end the job
-        return "", "TEXT", [], 0, 0, False, [f"Could not read the file: {re.sub(r'\\s+', ' ', str(error))[:200]}"]
+        return "", "TEXT", [], [], 0, 0, False, [f"Could not read the file: {re.sub(r'\\s+', ' ', str(error))[:200]}"]
 
 
 def read_docx(c: str | Column) -> Column:

@@ -7,20 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.operators.providers import EXTRACTORS
+from corpusflow.operators import providers
 from corpusflow.settings import DEFAULTS
 from corpusflow.sources import docx, formats, html, image, markdown, pdf, plaintext
 
-#: The extractor of each format: files in, (path, text, content_type, status, warnings, …) out.
-EXTRACT: dict[str, Callable[[DataFrame], DataFrame]] = {
+#: The extractor of each format, built-in and registered: files in, (path, text, content_type, status, warnings, …) out.
+EXTRACT = providers.EXTRACTORS
+for _name, _extractor in {
     "text": plaintext.extracted, "html": html.extracted, "markdown": markdown.extracted, "docx": docx.extracted, "pdf": pdf.extracted, "image": image.extracted,
-}
+}.items():
+    EXTRACT.setdefault(_name, _extractor)
 
 
 def register(name: str, extractor: Callable[[DataFrame], DataFrame]) -> None:
     """Add or replace the extractor of a format."""
-    EXTRACT[name] = extractor
-    EXTRACTORS[name] = extractor
+    providers.register("extractor", name, extractor)
 
 
 def read(spark: SparkSession, path: str, most: int = DEFAULTS.max_file_bytes) -> tuple[DataFrame, DataFrame]:

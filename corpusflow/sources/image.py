@@ -76,7 +76,7 @@ def extracted(files: DataFrame, vision: Callable[[bytes, str, int], str] | None
     Without a model the text is empty and a warning says so. Pages are joined by a page break.
     """
 
-    @F.pandas_udf("width int, height int, pages int, reply string, text string")
+    @F.pandas_udf("width int, height int, pages int, reply string, text string, failed array<string>")
     def run(content):
         import pandas as pd
 
@@ -84,16 +84,20 @@ def extracted(files: DataFrame, vision: Callable[[bytes, str, int], str] | None
         for x in content:
             data = bytes(x or b"")
             w, h, pages = size_of(data)
-            reply, text = None, ""
+            reply, texts, failed = None, [], []
             if vision is not None:
                 try:
                     reply = vision(data, PROMPTS["classify"], 0) if mode == "auto" else ""
                 except Exception:
                     reply = None
                 own = mode if mode != "auto" else "text" if "TEXT_DOCUMENT" in (reply or "") else "description"
-                text = PAGE_BREAK.join(vision(data, PROMPTS[own], p) for p in range(max(1, min(pages, MAX_PAGES))))
-            rows.append((w, h, pages, reply, text))
-        return pd.DataFrame(rows, columns=["width", "height", "pages", "reply", "text"])
+                for p in range(max(1, min(pages, MAX_PAGES))):
+                    try:
+                        texts.append(vision(data, PROMPTS[own], p))
+                    except Exception as error:  # one page that the model can't read must not end the job
+                        failed.append(f"Page {p + 1} could not be read: {str(error)[:200]}")
+            rows.append((w, h, pages, reply, PAGE_BREAK.join(texts), failed))
+        return pd.DataFrame(rows, columns=["width", "height", "pages", "reply", "text", "failed"])
 
     rows = files.withColumn("_d", run("content")).select("path", file_hash("content").alias("file_hash"), "_d.*")
     kind, unclear = resolved_mode("reply") if mode == "auto" else (F.lit(mode), F.lit(None).cast("string"))
@@ -104,5 +108,5 @@ def extracted(files: DataFrame, vision: Callable[[bytes, str, int], str] | None
     )
     return rows.select(
         "path", "text", F.when(kind == "text", "IMAGE_TEXT").otherwise("IMAGE_DESCRIPTION").alias("content_type"), F.lit("EXTRACTED").alias("status"),
-        notes.alias("warnings"), "file_hash", "width", "height", "pages", sure.alias("confidence"),
+        F.concat(notes, "failed").alias("warnings"), "file_hash", "width", "height", "pages", sure.alias("confidence"),
     )

@@ -1,7 +1,7 @@
 """PDF files: the text of each page from its content streams, then the page cleaning as columns.
 
-The reader knows plain and Flate streams and literal and hexadecimal strings in simple encodings;
-where a full PDF library is installed it is used instead.
+The reader follows the page tree, opens object streams and knows plain and Flate streams and literal
+and hexadecimal strings in simple encodings; where a full PDF library is installed it is used instead.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ INFO = {"author": b"Author", "title": b"Title", "subject": b"Subject", "creator"
 def _string(raw: bytes) -> str:
     if raw.startswith(b"<"):
         data = bytes.fromhex(re.sub(rb"\s", b"", raw[1:-1]).decode().ljust(2, "0")) if len(raw) > 2 else b""
-        return data.decode("utf-16-be", "replace") if data.startswith(b"\xfe\xff") else data.decode("latin-1")
+        return data[2:].decode("utf-16-be", "replace") if data.startswith(b"\xfe\xff") else data.decode("latin-1")
     inner = raw[1:-1]
     if inner.startswith(b"\xfe\xff"):
         return inner[2:].decode("utf-16-be", "replace")
@@ -47,14 +47,57 @@ def _shown(stream: bytes) -> str:
     return "".join(out).strip()
 
 
+def _stream(body: bytes) -> bytes:
+    """The bytes of an object's stream; a checksum that is cut off doesn't matter."""
+    found = _STREAM.search(body)
+    if not found:
+        return b""
+    return zlib.decompressobj().decompress(found[1]) if b"FlateDecode" in body[: found.start()] else found[1]
+
+
+def _objects(data: bytes) -> dict[int, bytes]:
+    """All objects by number, those in object streams too."""
+    objects = {int(n): body for n, body in _OBJECT.findall(data)}
+    for body in list(objects.values()):
+        if not re.search(rb"/Type\s*/ObjStm\b", body):
+            continue
+        count, first = (re.search(rb"/" + key + rb"\s+(\d+)", body) for key in (b"N", b"First"))
+        if count and first:
+            inner, start = _stream(body), int(first[1])
+            head = [int(x) for x in inner[:start].split()[: 2 * int(count[1])]]
+            ends = [*head[3::2], len(inner) - start]
+            for number, at, end in zip(head[::2], head[1::2], ends, strict=True):
+                objects.setdefault(number, inner[start + at : start + end])
+    return objects
+
+
+def _pages(data: bytes, objects: dict[int, bytes]) -> list[bytes]:
+    """The pages in the order of the page tree; in that of their numbers where there is no tree."""
+    is_page = lambda body: re.search(rb"/Type\s*/Page\b(?!s)", body)
+    roots = re.findall(rb"/Root\s+(\d+)\s+\d+\s+R", data)
+    tree = re.search(rb"/Pages\s+(\d+)\s+\d+\s+R", objects.get(int(roots[-1]), b"")) if roots else None
+    todo, seen, found = [int(tree[1])] if tree else [], set(), []
+    while todo:
+        number = todo.pop()
+        body = objects.get(number, b"")
+        if number in seen:
+            continue
+        seen.add(number)
+        if is_page(body):
+            found.append(body)
+        elif kids := re.search(rb"/Kids\s*\[([^\]]*)\]", body):
+            todo += [int(n) for n in reversed(re.findall(rb"(\d+)\s+\d+\s+R", kids[1]))]
+    return found or [body for _, body in sorted(objects.items()) if is_page(body)]
+
+
 def read(data: bytes, max_pages: int | None = None) -> tuple:
     warnings: list[str] = []
     try:
-        objects = {int(n): body for n, body in _OBJECT.findall(data)}
+        objects = _objects(data)
         if not data.startswith(b"%PDF") or not objects:
             raise ValueError("this is no PDF file")
         pages = []
-        kids = [b for _, b in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b(?!s)", b)]
+        kids = _pages(data, objects)
         if max_pages is not None and len(kids) > max_pages:
             warnings.append(f"Only the first {max_pages} of {len(kids)} pages were read")
             kids = kids[:max_pages]
@@ -62,10 +105,8 @@ def read(data: bytes, max_pages: int | None = None) -> tuple:
             refs = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", page)
             text = []
             for ref in re.findall(rb"(\d+)\s+\d+\s+R", refs[1]) if refs else []:
-                body = objects.get(int(ref), b"")
-                stream = _STREAM.search(body)
-                if stream:
-                    text.append(_shown(zlib.decompress(stream[1]) if b"FlateDecode" in body else stream[1]))
+                if shown := _stream(objects.get(int(ref), b"")):
+                    text.append(_shown(shown))
             pages.append("\n".join(text))
             if not pages[-1].strip():
                 warnings.append(f"Page {number} has no text")

@@ -5,16 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusflow.shared import saved
+
+#: An export as a single value may have so many bytes of text; larger ones are written line by line.
+MAX_ENVELOPE_BYTES = 256 << 20
+
 
 def append_chunks(chunks: DataFrame, path: str, dim: int | None = None) -> None:
     """Append chunks with vectors; the key is made from content, so it never collides after deletes.
 
     A vector of another length than ``dim`` fails the write before anything is committed.
     """
+    _checked(chunks, dim).write.mode("append").parquet(path)
+
+
+def _checked(chunks: DataFrame, dim: int | None) -> DataFrame:
     if dim is not None:
         wrong = F.raise_error(F.concat(F.lit(f"a vector of another length than {dim}: "), F.size("embedding").cast("string")))
         chunks = chunks.withColumn("embedding", F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(wrong))
-    chunks.write.mode("append").parquet(path)
+    return chunks
+
+
+def upsert_chunks(chunks: DataFrame, path: str, dim: int | None = None, key: str = "chunk_id", buckets: int = 64) -> None:
+    """Put chunks into the table at ``path``, which this function alone writes; a row replaces that with the same key.
+
+    The table is partitioned into buckets of the key, and only buckets that get rows are read and
+    written. What they will hold is written to the shared folder first, so a run that fails while it
+    replaces them can be repeated. Of new rows that share a key one stays.
+    """
+    spark = chunks.sparkSession
+    new = saved(_checked(chunks, dim).dropDuplicates([key]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "upsert-new")
+    spark.createDataFrame([], new.schema).write.mode("ignore").partitionBy("bucket").parquet(path)
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]
+    old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched))
+    whole = saved(old.join(new, key, "left_anti").unionByName(new), "upsert-whole")
+    whole.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def ensure(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -35,9 +60,9 @@ def drop(spark: SparkSession, table: str, confirm: bool = False) -> bool:
     return True
 
 
-def listing(spark: SparkSession) -> DataFrame:
-    """(name, rows) of the tables in the catalog; the list is short, the counts are jobs."""
-    return spark.createDataFrame([(t.name, spark.table(t.name).count()) for t in spark.catalog.listTables()], "name string, rows long")
+def listing(spark: SparkSession, pattern: str | None = None) -> DataFrame:
+    """(name, rows) of the tables in the catalog, or of those whose names fit the pattern; the list is short, the counts are jobs."""
+    return spark.createDataFrame([(t.name, spark.table(t.name).count()) for t in spark.catalog.listTables(pattern=pattern)], "name string, rows long")
 
 
 def exportable(points: DataFrame, include_memory: bool = False, limit: int | None = None) -> DataFrame:
@@ -72,7 +97,10 @@ def export_lines(docs: DataFrame, path: str, pages: bool = False) -> None:
 
 
 def export_envelope(docs: DataFrame, timestamp: str) -> DataFrame:
-    """The crawl's single JSON object {timestamp, pages_scraped, pages}. For small collections: it is one value."""
+    """The crawl's single JSON object {timestamp, pages_scraped, pages}. It is one value, so a collection of more than ``MAX_ENVELOPE_BYTES`` is refused."""
+    size = docs.agg(F.sum(F.octet_length(page_json(docs)).cast("long"))).first()[0] or 0
+    if size > MAX_ENVELOPE_BYTES:
+        raise ValueError(f"{size} bytes don't fit one value of {MAX_ENVELOPE_BYTES}; use export_lines")
     one = docs.select(page_json(docs).alias("p")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("p")).alias("pages"))
     head = F.format_string('{"timestamp": "%s", "pages_scraped": %d, "pages": [', F.lit(timestamp), F.col("n"))
     return one.select(F.concat(head, F.array_join("pages", ",\n"), F.lit("]}")).alias("json"))

@@ -14,11 +14,11 @@ from corpusflow.operators import chunking
 from corpusflow.settings import DEFAULTS
 
 
-def recent_history(messages: DataFrame, limit: int = DEFAULTS.history, ttl_hours: int = DEFAULTS.ttl_hours) -> DataFrame:
+def recent_history(messages: DataFrame, limit: int = DEFAULTS.history, ttl_hours: int = DEFAULTS.ttl_hours, late: str = "10 minutes") -> DataFrame:
     """(session_id, messages, last) after each batch: how many of the last ``limit`` messages are alive.
 
     ``messages`` is a stream of (session_id, ts, content). The state of a session is its last messages;
-    it goes when the watermark is ``ttl_hours`` past the last one.
+    it goes when the watermark, which lags by ``late``, is ``ttl_hours`` past the last one.
     """
     import pandas as pd
 
@@ -38,7 +38,7 @@ def recent_history(messages: DataFrame, limit: int = DEFAULTS.history, ttl_hours
         state.setTimeoutTimestamp(max(int((own[-1][0] + ttl) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"session_id": [key[0]], "messages": [len(own)], "last": [own[-1][1]]})
 
-    rows = messages.withWatermark("ts", f"{ttl_hours} hours").select("session_id", "ts", "content")
+    rows = messages.withWatermark("ts", late).select("session_id", "ts", "content")
     kind = messages.schema["session_id"].dataType.simpleString()
     return rows.groupBy("session_id").applyInPandasWithState(
         update, f"session_id {kind}, messages long, last string", "times array<double>, contents array<string>", "append", GroupStateTimeout.EventTimeTimeout

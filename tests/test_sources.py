@@ -9,7 +9,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from corpusflow.plans import source_queries
+from corpusflow.operators import providers
+from corpusflow.plans import file_queries, source_queries
 from corpusflow.sources import docx, files, formats, html, image, jsons, markdown, pdf, plaintext, sinks, web
 
 
@@ -93,7 +94,7 @@ def word_file():
 def test_docx(spark):
     rows = docx.extracted(as_files(spark, word_file(), bytes.fromhex("D0CF11E0A1B11AE1"), b"broken")).orderBy("path").collect()
     r = rows[0]
-    assert r.headings == ["Head", "More"] and r.table_count == 1 and "[TABLE 1]\na\tb\n[/TABLE]" in r.text and r.has_track_changes
+    assert r.headings == ["Head", "More"] and r.heading_levels == [1, 2] and r.table_count == 1 and "[TABLE 1]\na\tb\n[/TABLE]" in r.text and r.has_track_changes
     assert "\n# Head\n" in r.text and "new" in r.text and "old" not in r.text and r.content_type == "HEADING"
     assert rows[1].text == "" and rows[1].warnings and rows[2].status == "FAILED"
 
@@ -119,11 +120,27 @@ def test_pdf(spark):
     assert len(cut.pages) == 1
 
 
+def test_pdf_page_tree(spark):
+    """Pages in the order of the tree, whatever their numbers; an object stream; a tree that runs in a circle."""
+    for number in range(12):
+        data = file_queries._pdf_file(number, "first line\n\nthird ≥ line")
+        pages, info, warnings = pdf.read(data)
+        assert (pages, info, warnings) == (["first line\n\nthird ≥ line", f"Second page of document {number}"], {"title": f"Document {number}"}, [])
+        assert pdf.read(data, 1)[0] == pages[:1]
+    circle = b"%PDF-1.4\n1 0 obj << /Type /Pages /Kids [1 0 R 2 0 R] >> endobj\n2 0 obj << /Type /Page >> endobj\n3 0 obj << /Type /Catalog /Pages 1 0 R >> endobj\ntrailer << /Root 3 0 R >>"
+    assert pdf.read(circle)[0] == [""]
+
+
 def test_image(spark):
     png = b"\x89PNG\r\n\x1a\n" + b"\x00\x00\x00\rIHDR" + struct.pack(">II", 800, 600) + b"\x08\x02"
     vision = lambda data, prompt, page: "TEXT_DOCUMENT" if "Reply" in prompt else "word " * 700
     r = image.extracted(as_files(spark, png), vision).first()
     assert (r.width, r.height, r.content_type) == (800, 600, "IMAGE_TEXT") and r.confidence == pytest.approx(3500 / 4800)
+    def failing(data, prompt, page):
+        raise ValueError("no answer")
+
+    bad = image.extracted(as_files(spark, png, png), failing).collect()
+    assert len(bad) == 2 and all(b.text == "" and any("no answer" in w for w in b.warnings) for b in bad)
     none = image.extracted(as_files(spark, png)).first()
     assert none.text == "" and none.warnings
     row = spark.createDataFrame([(4800, 700, 800, 600, "text"), (10, 2, 800, 600, "text"), (1200, 200, 800, 600, "text"), (25, 3, 10, 10, "description")], "c int, w int, x int, y int, m string")
@@ -170,5 +187,37 @@ def test_tables_and_exports(spark, tmp_path):
 
     one = json.loads(sinks.export_envelope(out, "now").first().json)
     assert one == {"timestamp": "now", "pages_scraped": 1, "pages": [{"url": "s", "title": "T", "text": "t1", "k": "v"}]}
+    with pytest.MonkeyPatch.context() as patch, pytest.raises(ValueError, match="export_lines"):
+        patch.setattr(sinks, "MAX_ENVELOPE_BYTES", 10)
+        sinks.export_envelope(out, "now")
     sinks.export_lines(out, str(tmp_path / "lines"))
     assert json.loads(spark.read.text(str(tmp_path / "lines")).first().value)["text"] == "t1"
+
+
+def test_upsert(spark, tmp_path):
+    """Rows replace those with their key, new keys come beside them, and buckets without new rows stay."""
+    path, schema = str(tmp_path / "chunks"), "chunk_id long, text string, embedding array<double>"
+    put = lambda *rows: sinks.upsert_chunks(spark.createDataFrame([(i, t, [1.0]) for i, t in rows], schema), path, 1, buckets=4)
+    held = lambda: sorted((r.chunk_id, r.text) for r in spark.read.parquet(path).collect())
+    put()
+    assert spark.read.schema(schema).parquet(path).count() == 0
+    put(*((i, "old") for i in range(20)))
+    put((3, "new"), (3, "new"), (30, "more"))
+    assert held() == sorted([(i, "old") for i in range(20) if i != 3] + [(3, "new"), (30, "more")])
+    put()
+    assert len(held()) == 21
+    with pytest.raises(Exception, match="another length"):
+        sinks.upsert_chunks(spark.createDataFrame([(1, "a", [1.0, 2.0])], schema), path, 1)
+    assert len(held()) == 21
+
+
+def test_registered_extractors_are_used(spark):
+    rows = as_files(spark, b"abc").withColumn("format", F.lit("shout"))
+    assert files.documents(rows).first().status == "UNSUPPORTED"
+    loud = lambda x: x.select("path", F.upper(F.col("content").cast("string")).alias("text"), F.lit("TEXT").alias("content_type"), F.lit("EXTRACTED").alias("status"), F.array().cast("array<string>").alias("warnings"))
+    providers.register("extractor", "shout", loud)
+    try:
+        got = files.documents(rows).first()
+        assert (got.text, got.status, got.format) == ("ABC", "EXTRACTED", "shout")
+    finally:
+        del files.EXTRACT["shout"]
