@@ -143,6 +143,17 @@ def test_providers(spark):
     assert rerank.rerank(row, 1, "length").first().retrieval_rank == 2
 
 
+def test_registered_chunker(spark):
+    providers.register("chunker", "halves", lambda t: F.array(F.substring(t, 1, 3), F.substring(t, 4, 100)))
+    try:
+        got = pipeline.ingested(spark.createDataFrame([(1, "abcdef"), (2, None)], "doc_id long, text string"), cut="halves")
+        assert [(r.doc_id, r.place, r.text) for r in got.where("doc_id = 1").orderBy("place").collect()] == [(1, 0, "abc"), (1, 1, "def")]
+        with pytest.raises(ValueError, match="unknown"):
+            pipeline.ingested(got, cut="absent")
+    finally:
+        del providers.CHUNKERS["halves"]
+
+
 def test_streams(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame([(i, "One sentence is here. " * 30) for i in range(4)], "doc_id long, text string").repartition(2).write.parquet(source)
@@ -163,3 +174,6 @@ def test_session_stream(spark, tmp_path):
     w = sessions.windowed_counts(stream).writeStream.format("memory").queryName("counts").option("checkpointLocation", str(tmp_path / "w")).outputMode("append").trigger(availableNow=True).start()
     w.awaitTermination(120)
     assert w.exception() is None
+    whole = {(r.start, r.session_id): r.messages for r in sessions.windowed_counts(spark.read.schema(rows.schema).parquet(source)).collect()}
+    closed = {(r.start, r.session_id): r.messages for r in spark.table("counts").collect()}
+    assert sum(whole.values()) == 15 and closed.items() <= whole.items()
