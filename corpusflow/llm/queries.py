@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import decontam, licenses, lm, quality, sharding, simhash, spm, tokencount, tokenfile, warc
+from corpusflow.llm import decontam, filters, licenses, lm, negatives, quality, sharding, simhash, spm, tokencount, tokenfile, warc
 from corpusflow.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -63,8 +63,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id 7 divides get a wrong label first, as this query's contract has it."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_warc, op3_quality_rules, op4_token_counts, op5_simhash, op6_sentencepiece, op7_token_file, op8_lm_scores, op9_license_scan, op10_decontamination)
+    f.__name__: f for f in (op1_sharding, op2_warc, op3_quality_rules, op4_token_counts, op5_simhash, op6_sentencepiece, op7_token_file, op8_lm_scores, op9_license_scan, op10_decontamination, op12_hard_negatives, op13_filter_audit)
 }
 
 ORACLES = {
@@ -98,4 +108,51 @@ ORACLES = {
         SELECT s.doc_id, len(s.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM split s LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op12_hard_negatives": """
+        WITH fine AS (
+            SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+            FROM fine a, fine b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+        positive AS (
+            SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INTEGER AS rank,
+               id AS negative_id, positive_score, score AS negative_score
+        FROM positive JOIN scored USING (anchor_id)
+        WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        QUALIFY rank <= 3""",
+    "op13_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+        f AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY t),
+        l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+        w AS (SELECT doc_id, part, t, first_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d JOIN f USING (t)),
+        m AS (
+            SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                   (len(ws) < 50)::INT + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INT + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t))::INT
+                   + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first_id, false)::INT AS mask
+            FROM w LEFT JOIN l USING (doc_id)),
+        cells AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m GROUP BY ALL),
+        letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        orders AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+            WHERE b.x <> a.x AND c.x NOT IN (a.x, b.x) AND d.x NOT IN (a.x, b.x, c.x) AND e.x NOT IN (a.x, b.x, c.x, d.x)),
+        steps AS (
+            SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+                   list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65)))::INT AS before
+            FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders)),
+        each AS (
+            SELECT part, filter_order, step::INTEGER AS step, bit,
+                   coalesce(sum(n) FILTER (WHERE mask & (coalesce(before, 0) | bit) = 0), 0)::BIGINT AS kept,
+                   coalesce(sum(n) FILTER (WHERE mask & coalesce(before, 0) = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER (WHERE mask & coalesce(before, 0) <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant,
+                   coalesce(sum(n) FILTER (WHERE mask = bit), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(good) FILTER (WHERE mask & coalesce(before, 0) = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost,
+                   coalesce(sum(toxic) FILTER (WHERE mask & coalesce(before, 0) = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost
+            FROM cells, steps GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+        FROM each""",
 }
