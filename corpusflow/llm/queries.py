@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import decontam, filters, licenses, lm, negatives, quality, sharding, simhash, spm, tokencount, tokenfile, warc
+from corpusflow.llm import decontam, filters, jaccard, licenses, lm, negatives, quality, sharding, simhash, spm, tokencount, tokenfile, warc
 from corpusflow.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -63,6 +63,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_sets(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose id 7 divides get a wrong label first, as this query's contract has it."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -74,7 +78,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_warc, op3_quality_rules, op4_token_counts, op5_simhash, op6_sentencepiece, op7_token_file, op8_lm_scores, op9_license_scan, op10_decontamination, op12_hard_negatives, op13_filter_audit)
+    f.__name__: f for f in (op1_sharding, op2_warc, op3_quality_rules, op4_token_counts, op5_simhash, op6_sentencepiece, op7_token_file, op8_lm_scores, op9_license_scan, op10_decontamination, op11_jaccard_join, op12_hard_negatives, op13_filter_audit)
 }
 
 ORACLES = {
@@ -108,6 +112,17 @@ ORACLES = {
         SELECT s.doc_id, len(s.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM split s LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, list_aggregate(ws[i:i + 2], 'string_agg', ' ') AS shingle
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+        reached(doc_id, root) AS (SELECT doc_id, doc_id FROM w UNION SELECT y, root FROM reached JOIN links ON x = doc_id)
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(root) AS component_id FROM reached LEFT JOIN n USING (doc_id) GROUP BY doc_id, n""",
     "op12_hard_negatives": """
         WITH fine AS (
             SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
