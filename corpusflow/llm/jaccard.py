@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import lists, saved, utf8
+from corpusflow.llm.common import filtered, lists, saved, utf8
 from corpusflow.llm.components import components
 from corpusflow.llm.neardup import FEW, shingle_sets
 from corpusflow.llm.simhash import NO_ID
@@ -94,23 +94,43 @@ def prefix(n: int) -> int:
     return n - -(-SHARE[0] * n // SHARE[1]) + 1 if n else 0
 
 
+def parities(own: np.ndarray) -> bytes:
+    """For each residue of the hashes whether an odd number of them has it; about two hashes come to a bit.
+
+    Two sets differ in as many shingles at least as their parities differ in bits, whatever the hashes.
+    """
+    width = 1 << max(6, (max(1, len(own)) - 1).bit_length() - 1)
+    odd = np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """The number of bits in which two parities differ, the longer one folded to the other's length."""
+    x, y = (int.from_bytes(p, "little") for p in sorted((a, b), key=len))
+    for half in range((len(max(a, b, key=len)) // len(min(a, b, key=len))).bit_length() - 2, -1, -1):
+        bits = (8 * len(min(a, b, key=len))) << half
+        y = (y & ((1 << bits) - 1)) ^ (y >> bits)
+    return (x ^ y).bit_count()
+
+
 def prints(docs: DataFrame, frequency: np.ndarray) -> DataFrame:
-    """(doc_id, copy, same, n, tokens): ``copy`` stands for the text and ``same`` for the set of n shingles; its prefix in the order of frequency."""
+    """(doc_id, copy, same, n, bits, tokens): ``copy`` stands for the text, ``same`` for the set of n shingles; its parities, and its prefix in the order of frequency."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for part in _sliced(batches):
-            same, sizes, tokens = [], [], []
+            same, sizes, bits, tokens = [], [], [], []
             for own in shingle_sets(part.column(2).to_pylist(), WORDS):
                 same.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(len(own))
+                bits.append(parities(own))
                 often = frequency[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 tokens.append(own[np.argsort(often, kind="stable")[: prefix(len(own))]].view(np.int64))
-            columns = [part.column(0), part.column(1), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), _lists(tokens)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "same", "n", "tokens"])
+            columns = [part.column(0), part.column(1), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), _lists(tokens)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "same", "n", "bits", "tokens"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, copy long, same binary, n int, tokens array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, copy long, same binary, n int, bits binary, tokens array<long>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -122,12 +142,12 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def _numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node, same, n, tokens), one for each set, and links (u, v) between sets of documents that share an id.
+    """Nodes (node, same, n, bits, tokens), one for each set, and links (u, v) between sets of documents that share an id.
 
     A node's number is the smallest id of its documents; a set without one has a number above all ids.
     """
     own = F.xxhash64("same").bitwiseOR(F.lit(NO_ID)).bitwiseAND(F.lit((1 << 63) - 1))
-    grouped = rows.where("n > 0").groupBy("same").agg(F.coalesce(F.min("doc_id"), own).alias("node"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    grouped = rows.where("n > 0").groupBy("same").agg(F.coalesce(F.min("doc_id"), own).alias("node"), *(F.first(c).alias(c) for c in ("n", "bits", "tokens")))
     nodes = saved(grouped, "jaccard-nodes")
     twice = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("same").alias("low"), F.max("same").alias("high")).where("low <> high")
     if twice.isEmpty():
@@ -169,6 +189,21 @@ def stars(index: DataFrame) -> DataFrame:
     return met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
 
 
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (u, v, ...) that may link by their parities; nothing that links is lost, and little else is kept that isn't alike."""
+    ends = [nodes.select(F.col("node").alias(s), F.struct("n", "bits").alias(f"cf_{s}")) for s in "uv"]
+    rows = pairs.join(ends[0], "u").join(ends[1], "v")
+
+    def make():
+        def test(some: list) -> list[bool]:
+            low, high = SHARE
+            return [(low + high) * differing(p["cf_u"]["bits"], p["cf_v"]["bits"]) <= (high - low) * (p["cf_u"]["n"] + p["cf_v"]["n"]) for p in some]
+
+        return test
+
+    return filtered(rows, F.struct("cf_u", "cf_v"), make).drop("cf_u", "cf_v")
+
+
 class Sets:
     """The sets of nodes, made again from their texts when they are asked for."""
 
@@ -311,14 +346,14 @@ def near_sets(docs: DataFrame) -> DataFrame:
     nodes, shared = _numbered(rows)
     index = saved(entries(nodes), "jaccard-entries")
     sets = Sets(docs, rows, nodes)
-    near = saved(stars(index), "jaccard-stars")
+    near = saved(possible(stars(index), nodes), "jaccard-stars")
     held = sets.of(near.select(F.col("u").alias("node")).union(near.select("v")))
     linked = saved(compared(near, held), "jaccard-linked")
     first = components(linked.select("u", "v").union(shared))
     least = F.min(F.struct(F.size("adds") + F.size("lacks"), "v", "adds", "lacks")).alias("one")
     leaders = saved(linked.groupBy(F.col("u").alias("node")).agg(least).select("node", F.col("one.v").alias("leader"), "one.adds", "one.lacks"), "jaccard-leaders")
     parts = saved(nodes.select("node").join(first, "node", "left").select("node", F.coalesce("root", "node").alias("part")), "jaccard-parts")
-    found = saved(across(index.join(parts, "node")), "jaccard-across")
+    found = saved(possible(across(index.join(parts, "node")), nodes), "jaccard-across")
     joined = components(settled(found, nodes, leaders, sets).toDF("u", "v"))
     roots = parts.join(joined.withColumnRenamed("node", "part"), "part", "left").select("node", F.coalesce("root", "part").alias("root"))
     named = nodes.select("same", "node").join(roots, "node").select("same", F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id"))

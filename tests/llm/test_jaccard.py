@@ -109,6 +109,18 @@ def test_blocks_skip_what_cannot_link(spark):
     assert held.n == 40 and held.blocks < 40
 
 
+def test_parities_never_show_too_many_differences():
+    r = np.random.default_rng(2)
+    for n, m in [(1, 1), (5, 300), (120, 140), (500, 520), (520, 500), (3000, 4200), (0, 7)]:
+        x, more = (np.unique(r.integers(0, 1 << 63, k, np.uint64)) for k in (n, m))
+        for y in (more, np.unique(np.concatenate([x[: n // 2], more])), x):
+            a, b = jaccard.parities(x), jaccard.parities(y)
+            assert jaccard.differing(a, b) == jaccard.differing(b, a) <= len(np.setxor1d(x, y))
+            width = 8 * min(len(a), len(b))
+            assert jaccard.differing(a, b) == (np.bincount((np.setxor1d(x, y) % np.uint64(width)).astype(int), minlength=width) & 1).sum()
+    assert jaccard.differing(jaccard.parities(x), jaccard.parities(more)) >= 0
+
+
 def test_sketch_counts_all_shingles(spark, rows):
     total = jaccard.sketch(given(spark, rows))
     assert total.sum() == sum(len(plain_set(t)) for _, t in rows) and len(total) == 1 << jaccard.SKETCH_BITS
