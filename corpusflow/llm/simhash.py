@@ -1,10 +1,12 @@
 """Operator 5: near-duplicates by SimHash and multi-index hashing.
 
 Each text becomes a 64-bit fingerprint. Two fingerprints link when at most ``DISTANCE`` bits differ.
-The fingerprint is cut into ``SEGMENTS`` segments; a pair that links differs in some segment by at
-most ``DISTANCE // SEGMENTS`` bits, so the index holds each fingerprint under the value of each
-segment, and the search enumerates the Hamming ball around each segment's value, fetches what the
-index holds there and verifies the complete distance in the join itself. No pair is missed.
+The fingerprint is cut into two halves. A pair at a distance of 4 differs in the first one by at most two bits, or else in
+the second by at most one, so no pair is missed by the balls of radius 2 around the first half's value and of radius 1 around the
+second's. A ball of radius 2 has 529 values; instead of enumerating them, the index holds each fingerprint under the 33 values of
+a ball of radius 1, and the search enumerates another ball of radius 1, fetches what the index holds there and verifies the complete
+distance in the join itself. Each row carries the bits that it has flipped, so that two fingerprints meet once and not
+under every value between them (``balls``). Halves of 32 bits meet by chance a hundred times less than thirds.
 
 Exact copies have equal fingerprints and count as one node, however many they are. Fingerprints that
 already hang together through the least one that shares a segment's value with them aren't paired again, so
@@ -31,6 +33,7 @@ from corpusflow.llm.components import components
 WORDS = 5
 SEED = 42
 DISTANCE = 4
+#: Segments that nodes of one group are first tied together by, at equal values.
 SEGMENTS = 3
 #: A node without an id has a number from here on.
 NO_ID = 1 << 62
@@ -84,32 +87,45 @@ def index(fps: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     return fps.select(F.explode(F.array(*keys)).alias("key"), *fps.columns)
 
 
-def balls(fps: DataFrame, segments: int = SEGMENTS, distance: int = DISTANCE) -> DataFrame:
-    """(key, fp, ...): each fingerprint under every value within the radius around each of its segments."""
+def radii(distance: int) -> list[tuple[int, int]]:
+    """For each half how many bits the search flips at most, and how many the index."""
+    whole = (distance // 2, distance - distance // 2 - 1)  # more bits in the first half than whole[0] leave whole[1] in the second at most
+    return [(r - r // 2, r // 2) for r in whole if r >= 0]
+
+
+def balls(fps: DataFrame, distance: int = DISTANCE, search: bool = True) -> DataFrame:
+    """(key, bit, fp, ...): each fingerprint under every value within the radius around each of its halves.
+
+    Two halves that differ in the bits D meet under several values, of which one counts: the index flips nothing if the search can
+    flip all of D, and else the search flips as many bits as it can, all above those that the index flips. So ``bit`` is, for the
+    search, the lowest bit that it flips, if it flips as many as it can, and for the index the highest that it flips; else it is -1.
+    A meeting counts if the index's is -1 or lower than the search's.
+    """
     flips = []
-    for i, (a, n) in enumerate(_segments(segments)):
-        for size in range(distance // segments + 1):
+    for i, ((a, n), (out, own)) in enumerate(zip(_segments(2), radii(distance))):
+        for size in range((out if search else own) + 1):
             for bits in combinations(range(n), size):
-                flips.append((i, a, n, sum(1 << b for b in bits)))
-    keys = [_key(F.col("fp"), i, a, n).bitwiseXOR(F.lit(mask)) for i, a, n, mask in flips]
-    return fps.select(F.explode(F.array(*keys)).alias("key"), *fps.columns)
+                mark = (min(bits) if size and size == out else -1) if search else max(bits, default=-1)
+                flips.append((_key(F.col("fp"), i, a, n).bitwiseXOR(F.lit(sum(1 << b for b in bits))), mark))
+    return fps.select(F.explode(F.array(*(F.struct(key.alias("key"), F.lit(mark).alias("bit")) for key, mark in flips))).alias("at"), *fps.columns).select("at.*", *fps.columns)
 
 
 def near(a: str, b: str, distance: int = DISTANCE) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
 
-def links(fps: DataFrame, segments: int = SEGMENTS, distance: int = DISTANCE) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(u, v) with u < v: links between the groups of column ``part``, one row for each pair of groups.
 
     ``fps`` has (fp, part); pairs inside a group are known to hang together and don't leave the join. A
     search that would meet its own group only is dropped before it.
     """
-    probe = balls(fps, segments, distance).select("key", F.col("fp").alias("a"), F.col("part").alias("pa"))
-    held = index(fps, segments).select("key", F.col("fp").alias("b"), F.col("part").alias("pb"))
+    probe = balls(fps, distance).select("key", "bit", F.col("fp").alias("a"), F.col("part").alias("pa"))
+    held = balls(fps, distance, search=False).select("key", F.col("bit").alias("own"), F.col("fp").alias("b"), F.col("part").alias("pb"))
     ends = held.groupBy("key").agg(F.min("pb").alias("low"), F.max("pb").alias("high"))
-    probe = probe.join(ends, "key").where((F.col("low") != F.col("pa")) | (F.col("high") != F.col("pa"))).select("key", "a", "pa")
-    found = probe.join(held, (probe["key"] == held["key"]) & (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & near("a", "b", distance))
+    probe = probe.join(ends, "key").where((F.col("low") != F.col("pa")) | (F.col("high") != F.col("pa"))).select("key", "bit", "a", "pa")
+    once = (F.col("own") < 0) | (F.col("own") < F.col("bit"))
+    found = probe.join(held, (probe["key"] == held["key"]) & once & (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & near("a", "b", distance))
     return found.select(F.least("pa", "pb").alias("u"), F.greatest("pa", "pb").alias("v")).distinct()
 
 
@@ -124,7 +140,7 @@ def roots(fps: DataFrame, segments: int = SEGMENTS, distance: int = DISTANCE) ->
     """(fp, root) of distinct fingerprints (fp, node): the root is the least node that can be reached."""
     first = components(stars(fps, segments, distance))
     parts = saved(fps.join(first, "node", "left").select("fp", F.coalesce("root", "node").alias("part")), "parts")
-    second = components(links(parts, segments, distance))
+    second = components(links(parts, distance))
     return parts.join(second.withColumnRenamed("node", "part"), "part", "left").select("fp", F.coalesce("root", "part").alias("root"))
 
 
