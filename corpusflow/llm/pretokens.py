@@ -8,10 +8,11 @@ every text if ids follow the order of the merges and each token, encoded by itse
 pair that isn't in the file but spells a token could only come up where the file's merges leave
 that token's own bytes in two parts. ``Encoder`` checks both when it is made, and otherwise leaves all to the library.
 
-A byte-level pre-tokenizer never lets a pre-token begin or end inside a run between two single
-spaces, so a text may be cut before every single space that follows a character other than a space,
-and the pieces' tokens, put together, are the text's tokens. Texts with other characters are cut so,
-and only the pieces that hold such characters go to the tokenizers library.
+A byte-level pre-tokenizer joins a single space to the letters, digits or signs that follow it, but white
+space to white space: of a run of white space all but the last character is one pre-token. So a text may be cut before
+a space that stands between two characters that aren't white space (any of Unicode's), and only there; the pieces' tokens,
+put together, are the text's tokens. Texts with other characters are cut so, and only the pieces that hold such
+characters go to the tokenizers library.
 
 ``Units`` numbers the distinct pieces of many texts at once with Arrow.
 """
@@ -37,7 +38,10 @@ KEPT_CHARS = 64
 #: The pre-tokenizer's pattern, and the characters on which engines agree about its classes.
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ɏ]*")
-_CUT = re.compile(r"(?<=[^\s]) (?=[^\s])")
+#: Python's white space has four separators more than the pattern's engine; next to them no text is cut, which is always right.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: The same class for Arrow: a space next to any white space.
+_MIXED = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] | [\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 #: Characters of text that are numbered at once.
 GROUP_CHARS = 1 << 23
 
@@ -67,11 +71,11 @@ def cut(text: str) -> list[str]:
     """The text in pieces whose tokens are independent of each other."""
     if not text:
         return []
-    if "  " in text or text[0] == " " or text[-1] == " ":
-        at = [0, *(m.start() for m in _CUT.finditer(text)), len(text)]
-        return [text[a:b] for a, b in zip(at, at[1:])]
-    head, *rest = text.split(" ")
-    return [head, *[" " + x for x in rest]]
+    parts = text.split(" ")
+    if all(x and not x[0].isspace() and not x[-1].isspace() for x in parts):
+        return [parts[0], *[" " + x for x in parts[1:]]]
+    at = [0, *(m.start() for m in _CUT.finditer(text)), len(text)]
+    return [text[a:b] for a, b in zip(at, at[1:])]
 
 
 def groups(texts: list[str | None], chars: int = GROUP_CHARS) -> Iterator[tuple[int, list[str]]]:
@@ -90,12 +94,12 @@ def groups(texts: list[str | None], chars: int = GROUP_CHARS) -> Iterator[tuple[
 class Units:
     """The pieces of a group of texts: ``distinct`` ones, the number of each place's piece, and where each text ends.
 
-    Most texts have single spaces only and are split by Arrow; the rest are cut one by one.
+    Most texts have single spaces between words only and are split by Arrow; the rest are cut one by one.
     """
 
     def __init__(self, texts: list[str]):
         column = pa.array(texts, pa.string())
-        tests = (pc.match_substring(column, "  "), pc.starts_with(column, " "), pc.ends_with(column, " "), pc.equal(column, ""))
+        tests = (pc.match_substring_regex(column, _MIXED), pc.starts_with(column, " "), pc.ends_with(column, " "), pc.equal(column, ""))
         odd = np.logical_or.reduce([t.to_numpy(zero_copy_only=False) for t in tests])
         parts = pc.split_pattern(column.filter(pa.array(~odd)), " ")
         coded = parts.flatten().dictionary_encode()

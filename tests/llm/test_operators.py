@@ -1,13 +1,16 @@
 """Each operator against a plain version of itself, on small tables with the awkward cases."""
 
 import hashlib
+import itertools
 import random
 import re
 import struct
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 tokenizers = pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -188,6 +191,21 @@ def test_pieces_are_the_librarys(library):
     assert len(set(units.distinct)) == len(units.distinct)
 
 
+def test_white_space_of_all_kinds(library):
+    """All strings up to six characters of white space and a letter, and longer random ones: ids and counts are the library's."""
+    from corpusflow.llm.pretokens import Units, encoder_of
+
+    r, encoder = random.Random(8), encoder_of(tokenizer_path(TOKENIZER))
+    texts = ["".join(t) for n in range(7) for t in itertools.product([" ", "\xa0", "\u3000", "\n", "a"], repeat=n)]
+    spaces = [" ", " ", " ", "\xa0", "\u3000", "\u2009", "\u2028", "\x85", "\x0b", "\x0c", "\x1c", "\x1f", "\t", "\r\n", "\u180e", "\u200b", "\ufeff", "x", "the", ".", "'s", "1", "中"]
+    texts += ["".join(r.choice(spaces) for _ in range(r.randint(1, 24))) for _ in range(20_000)] + ["Hello. \xa0 \xa0", "x \xa0 \xa0 \xa0 \xa0 y", "price: \xa0 \xa0\nnext"]
+    units = Units(texts)
+    counts = units.sums(np.array([encoder.count(piece) for piece in units.distinct]))
+    for text, count, got in zip(texts, counts, encoder.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        data = encoder.ids(text)
+        assert list(struct.unpack(f"<{len(data) // 4}I", data)) == got.ids and count == len(got.ids), repr(text)
+
+
 def test_merge_loop_is_the_librarys(library):
     """Every token of the vocabulary next to every kind of neighbour, and random bytes of letters."""
     from corpusflow.llm.pretokens import encoder_of
@@ -289,6 +307,22 @@ def test_links_of_random_fingerprints(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_near_halves_meet_once(spark):
+    """Every pair within the distance meets under exactly one key, equal ones too where they are near enough in the first half."""
+    r = random.Random(6)
+    base = [r.getrandbits(63) for _ in range(12)]
+    fps = [(n, f ^ sum(1 << b for b in r.sample(range(62), k))) for n, (f, k) in enumerate((f, k) for f in base for k in (0, 1, 2, 3, 4, 4, 5, 8))]
+    table = spark.createDataFrame(fps, "node long, fp long")
+    for distance in (1, 2, 3, 4, 5):
+        probe, held = simhash.balls(table, distance).alias("a"), simhash.balls(table, distance, search=False).alias("b")
+        met = probe.join(held, F.expr("a.key = b.key AND a.node < b.node AND (b.bit < 0 OR b.bit < a.bit)")).selectExpr("a.node AS u", "b.node AS v", "shiftright(a.key, 58) AS half").collect()
+        assert len(met) == len({(x.u, x.v, x.half) for x in met})
+        got = {(x.u, x.v) for x in met}
+        assert {(u, v) for u, f in fps for v, g in fps if u < v and (f ^ g).bit_count() <= distance} <= got
+        first = simhash.radii(distance)[0]
+        assert all(((f ^ g) & 0xFFFFFFFF).bit_count() <= sum(first) or (u, v) not in {(x.u, x.v) for x in met if x.half == 0} for u, f in fps for v, g in fps)
+
+
 def test_representatives(docs, none):
     kept = simhash.representatives(docs).collect()
     assert kept and set(kept[0].asDict()) == set(docs.columns)
