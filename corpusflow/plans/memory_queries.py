@@ -109,3 +109,22 @@ def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts(table(spark, sf_dir, "events").withColumnRenamed("user_id", "session_id"))
 
 
+@query(f"""WITH {_MESSAGES}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, seq DESC) AS rn FROM m WHERE ts >= (SELECT max(ts) FROM m) - INTERVAL 24 HOUR)
+    SELECT session_id, seq, role, content, row_number() OVER (PARTITION BY session_id ORDER BY ts, seq) AS place FROM r WHERE rn <= 10""")
+def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages as a stream of files that arrive in four steps, the stream restarted from its checkpoint for each: every session's memory at the last message's time."""
+    from corpusflow.shared import shared_path
+    from corpusflow.streaming import memory as stream
+
+    arriving, target, checkpoint = (shared_path(spark, f"session-{name}") for name in ("arriving", "histories", "checkpoint"))
+    messages = _messages(spark, sf_dir)
+    first, last = messages.agg(F.min("ts"), F.max("ts")).first()
+    own = stream.state_session(spark)
+    for step in range(4):
+        low, high = (first + (last - first) * k / 4 for k in (step, step + 1))
+        part = messages.where((F.col("ts") >= F.lit(low)) & ((F.col("ts") < F.lit(high)) | F.lit(step == 3)))
+        part.write.mode("append").parquet(arriving)
+        changed = stream.histories(own.readStream.schema(messages.schema).parquet(arriving), late="1 hour")
+        stream.remember(changed, target, checkpoint).awaitTermination()
+    rows = stream.alive_at(stream.recalled(spark, target), F.lit(last))
+    return rows.select("session_id", "seq", "role", "content", "place")
