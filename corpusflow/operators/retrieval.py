@@ -1,4 +1,4 @@
-"""Vector search: exact top-k for one query or for a set of queries."""
+"""Search: exact top-k by vectors for one query or for a set of queries, and by shared words."""
 
 from __future__ import annotations
 
@@ -86,18 +86,76 @@ def words(text: str | Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
 
 
+def _word_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, list[list[str]]]]:
+    """The query set's words in blocks whose matrix of queries and words has a bounded size."""
+    ids, rows, seen = [], [], set()
+    for r in queries.toLocalIterator():
+        ids.append(r[0])
+        rows.append(r[1])
+        seen.update(r[1])
+        if 4 * len(ids) * len(seen) > BLOCK_BYTES or len(seen) > 1 << 16:
+            yield np.asarray(ids, np.int64), rows
+            ids, rows, seen = [], [], set()
+    if ids:
+        yield np.asarray(ids, np.int64), rows
+
+
 def search_words(docs: DataFrame, queries: DataFrame, k: int = DEFAULTS.retrieve, id_col: str = "doc_id") -> DataFrame:
     """(query_id, id, score, rank): the k documents that share most of a query's distinct words.
 
-    An inverted index as an equi-join on the word: only words that a query has leave the join, and shared
-    words are counted before the shuffle. ``queries`` is (query_id, query); ties go to the smaller id.
+    The words of a block of queries go to the documents, which are read where they lie. A group of documents is an inverted list for
+    each word that some query has: two matrices of zeros and ones, whose product counts the shared words. A task keeps k rows a query
+    and passes over the documents whose best score can't enter them, so what is shuffled is a small multiple of the result, however
+    frequent a word is. ``queries`` is (query_id, query); ids are integers; ties go to the smaller id.
     """
-    asked = queries.select("query_id", words("query").alias("own")).select("query_id", F.size("own").alias("n"), F.explode("own").alias("word"))
-    held = docs.where(F.col(id_col).isNotNull()).select(id_col, F.explode(words("text")).alias("word"))
-    shared = held.join(asked, "word").groupBy("query_id", id_col, "n").agg(F.count("*").alias("shared"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    found = shared.select("query_id", id_col, (F.col("shared") / F.col("n")).alias("score"))
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    own = queries.select("query_id", words("query").alias("own")).where(F.size("own") > 0)
+    held = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), words("text").alias("words"))
+    parts = [held.mapInArrow(_word_counter(ids, rows, k), "query_id long, id long, score double") for ids, rows in _word_blocks(own)]
+    if not parts:
+        parts = [held.limit(0).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score"))]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumnRenamed("id", id_col)
+
+
+def _word_counter(ids: np.ndarray, rows: list[list[str]], k: int):
+    """What each task does: the k best documents of each query of a block."""
+    vocabulary = sorted({w for own in rows for w in own})
+    place = {w: n for n, w in enumerate(vocabulary)}
+    asked = np.zeros((len(ids), len(vocabulary)), np.float32)
+    for n, own in enumerate(rows):
+        asked[n, [place[w] for w in own]] = 1
+    sizes = asked.sum(axis=1).astype(np.float64)
+    step = max(1, min(512, (1 << 22) // max(1, len(vocabulary))))  # documents at once: 16 MB
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        known = pa.array(vocabulary, pa.string())
+        best_counts = np.zeros((len(ids), k), np.float32)  # 0: no document yet, as one without shared words is none
+        best_ids = np.full((len(ids), k), np.iinfo(np.int64).max)
+        for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
+            lists, own = batch.column(1), batch.column(0).to_numpy()
+            word = pc.index_in(lists.flatten(), value_set=known)
+            doc = np.repeat(np.arange(len(own)), np.diff(lists.offsets.to_numpy()))[pc.is_valid(word).to_numpy(zero_copy_only=False)]
+            held = np.zeros((len(own), len(vocabulary)), np.float32)
+            held[doc, word.drop_null().to_numpy()] = 1
+            counts = asked @ held.T
+            enters = np.flatnonzero(((counts >= best_counts[:, -1:]) & (counts > 0)).any(axis=0))
+            if not len(enters):
+                continue
+            counts, own = counts[:, enters], own[enters]
+            all_counts = np.concatenate([best_counts, counts], axis=1)
+            all_ids = np.concatenate([best_ids, np.broadcast_to(own, counts.shape)], axis=1)
+            all_ids = np.where(all_counts > 0, all_ids, np.iinfo(np.int64).max)
+            order = np.lexsort((all_ids, -all_counts), axis=1)[:, :k]
+            best_counts, best_ids = np.take_along_axis(all_counts, order, axis=1), np.take_along_axis(all_ids, order, axis=1)
+        q, n = np.nonzero(best_counts)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best_ids[q, n]), pa.array(best_counts[q, n].astype(np.float64) / sizes[q])], names=["query_id", "id", "score"])
+
+    return run
 
 
 def pair_similarities(candidates: DataFrame, group: str = "query_id", place: str = "retrieval_rank", vector: str = "embedding") -> DataFrame:

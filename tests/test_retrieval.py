@@ -177,3 +177,33 @@ def test_session_stream(spark, tmp_path):
     whole = {(r.start, r.session_id): r.messages for r in sessions.windowed_counts(spark.read.schema(rows.schema).parquet(source)).collect()}
     closed = {(r.start, r.session_id): r.messages for r in spark.table("counts").collect()}
     assert sum(whole.values()) == 15 and closed.items() <= whole.items()
+
+
+def test_word_search_is_exact_whatever_the_tasks(spark):
+    """All documents against all questions by plain sets; ties, empty ones, repeated rows, several blocks of questions."""
+    import random
+    import re
+
+    from corpusflow.operators import retrieval
+
+    r = random.Random(3)
+    some = ["the", "The", "river", "stone", "größe", "مرحبا", "x1", *(f"w{k}" for k in range(60))]
+    text = lambda n: "".join(r.choice(some) + r.choice([" ", ", ", "\n", "--"]) for _ in range(n))
+    docs = [(i, text(r.choice([0, 1, 5, 40, 300]))) for i in range(1500)] + [(5000, None), (None, text(20)), (1, text(30))]
+    asked = [(q, text(r.choice([1, 3, 12]))) for q in range(40)] + [(90, ""), (91, None), (92, "unheard of")]
+    own = lambda t: {w for w in re.split(r"[\W_]+", (t or "").lower()) if w}
+    want = set()
+    for q, t in asked:
+        scored = sorted((-len(own(t) & own(d)) / len(own(t)), i) for i, d in docs if i is not None and own(t) & own(d)) if own(t) else []
+        want |= {(q, i, round(-s, 9), n) for n, (s, i) in enumerate(scored[:15], 1)}
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    q = spark.createDataFrame(asked, "query_id long, query string")
+    rows = lambda: {(x.query_id, x.doc_id, round(x.score, 9), x.rank) for x in retrieval.search_words(d, q).collect()}
+    assert rows() == want
+    block = retrieval.BLOCK_BYTES
+    try:
+        retrieval.BLOCK_BYTES = 2000
+        assert rows() == want
+    finally:
+        retrieval.BLOCK_BYTES = block
+    assert retrieval.search_words(d, q.where("query_id = 90")).count() == 0
