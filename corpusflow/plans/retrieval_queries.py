@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions.vector import overlap_score
-from corpusflow.operators import evaluate, pipeline, prompts, rerank, retrieval
+from corpusflow.operators import ann, evaluate, pipeline, prompts, rerank, retrieval
 from corpusflow.plans.common import query, table
-from corpusflow.shared import saved
+from corpusflow.shared import saved, shared_path
 
 _COS = "list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1})))"
 _D = "list_transform({0}, lambda x: x::DOUBLE)"
@@ -47,6 +47,18 @@ def pairwise_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.pair_similarities(rows).select("query_id", "i", "j", F.round("similarity", 6).alias("similarity"))
 
 
+@query("SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index over all vectors, every hundredth of them as a query: whether it finds at least 95 of 100 of the 15 nearest ones."""
+    corpus = table(spark, sf_dir, "embeddings")
+    queries = corpus.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    index = ann.build(corpus, shared_path(spark, "ann"), 16)
+    found = ann.search(spark, index, queries, 15, probes=12).select("query_id", F.col("id").alias("vec_id"), F.lit(1).alias("hit"))
+    nearest = retrieval.search_all(corpus, queries, 15).select("query_id", "vec_id")
+    both = nearest.join(found, ["query_id", "vec_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.95 * F.count("*")).alias("enough"))
+
+
 _WORDS = r"list_distinct(list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''))"
 _FOUND = f"""
     qw AS (SELECT item_id AS query_id, text AS query, {_WORDS.format("text")} AS own FROM benchmark),
