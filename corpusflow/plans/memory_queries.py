@@ -119,7 +119,7 @@ def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     arriving, target, checkpoint = (shared_path(spark, f"session-{name}") for name in ("arriving", "histories", "checkpoint"))
     messages = _messages(spark, sf_dir)
     first, last = messages.agg(F.min("ts"), F.max("ts")).first()
-    own = stream.state_session(spark)
+    own = stream.state_session(spark, min(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     for step in range(4):
         low, high = (first + (last - first) * k / 4 for k in (step, step + 1))
         part = messages.where((F.col("ts") >= F.lit(low)) & ((F.col("ts") < F.lit(high)) | F.lit(step == 3)))

@@ -96,11 +96,16 @@ def histories(messages: DataFrame, limit: int = DEFAULTS.history, ttl_hours: flo
     return rows.groupBy("session_id").transformWithStateInPandas(SessionMemory(limit, ttl_hours, clock), schema, "Update", "EventTime" if clock == "event" else "ProcessingTime")
 
 
-def state_session(spark: SparkSession) -> SparkSession:
-    """A session of the same application whose streams keep their state in RocksDB; the caller's settings stay as they are."""
+def state_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
+    """A session of the same application whose streams keep their state in RocksDB; the caller's settings stay as they are.
+
+    State is dealt into ``partitions`` parts (by default as many as shuffles have), which a stream keeps for as long as its checkpoint lives.
+    """
     own = spark.newSession()
     for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         own.conf.set(name, spark.conf.get(name))
+    if partitions:
+        own.conf.set("spark.sql.shuffle.partitions", str(partitions))
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     return own
