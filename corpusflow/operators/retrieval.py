@@ -80,10 +80,15 @@ def _nearest(corpus: DataFrame, ids: list, q: np.ndarray, k: int, id_col: str, v
     return whole.mapInArrow(run, "query_id long, id long, score double")
 
 
-def words(text: str | Column) -> Column:
-    """The distinct words of a text, in lower case: runs of letters and digits."""
+def all_words(text: str | Column) -> Column:
+    """The words of a text, in lower case: runs of letters and digits."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
+def words(text: str | Column) -> Column:
+    """The distinct words of a text."""
+    return F.array_distinct(all_words(text))
 
 
 def _word_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, list[list[str]]]]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions.vector import overlap_score
-from corpusflow.operators import ann, evaluate, pipeline, prompts, rerank, retrieval
+from corpusflow.operators import ann, evaluate, lexical, pipeline, prompts, rerank, retrieval
 from corpusflow.plans.common import query, table
 from corpusflow.shared import saved, shared_path
 
@@ -85,6 +85,24 @@ def word_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+_BM25 = r"""
+    dw AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS word FROM documents WHERE doc_id IS NOT NULL),
+    tf AS (SELECT doc_id, word, count(*) AS tf FROM dw GROUP BY ALL), ln AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY doc_id),
+    st AS (SELECT count(*) AS n, sum(len)::DOUBLE / count(*) AS mean FROM ln), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
+    wt AS (SELECT word, floor(1000 * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) + 0.5)::BIGINT AS w FROM df, st),
+    im AS (SELECT doc_id, word, floor(1000 * (2.2::DOUBLE * tf / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))) + 0.5)::BIGINT AS i FROM tf JOIN ln USING (doc_id), st)"""
+
+
+@query(f"""WITH {_FOUND.split(", de AS")[0]}, {_BM25},
+    s AS (SELECT query_id, doc_id, sum(w * i)::BIGINT AS score FROM qe JOIN im USING (word) JOIN wt USING (word) GROUP BY ALL)
+    SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 15""")
+def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index over all documents, then the 15 best of them for each benchmark item."""
+    index = lexical.build(table(spark, sf_dir, "documents"), shared_path(spark, "lexical"))
+    found = lexical.search(spark, index, _asked(spark, sf_dir))
+    return found.select("query_id", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best documents for each benchmark item, with their texts."""
     docs, asked = table(spark, sf_dir, "documents").select("doc_id", "text"), _asked(spark, sf_dir)
