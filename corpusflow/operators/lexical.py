@@ -66,13 +66,37 @@ def _whole(x: Column) -> Column:
     return F.floor(SCALE * x + 0.5)
 
 
+def _row_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, word, tf, length, first) of each row of (id, words)."""
+    for batch in batches:
+        lists = batch.column(1)
+        coded = lists.flatten().dictionary_encode()
+        size = np.diff(lists.offsets.to_numpy())
+        each = np.int64(max(1, len(coded.dictionary)))
+        pair, tf = np.unique(np.repeat(np.arange(len(size)), size) * each + coded.indices.to_numpy().astype(np.int64), return_counts=True)
+        row = pair // each
+        first = np.diff(row, prepend=-1) > 0
+        columns = [batch.column(0).take(pa.array(row)), coded.dictionary.take(pa.array(pair % each)), pa.array(tf.astype(np.int64)), pa.array(size[row].astype(np.int64)), pa.array(first)]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "word", "tf", "length", "first"])
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """(id, word, tf, length, first): how often each document of (id, text) has each of its words, its length, and whether this is its first row.
+
+    No shuffle is needed, but where several rows share an id.
+    """
+    rows = docs.select("id", all_words("text").alias("words")).where(F.size("words") > 0).mapInArrow(_row_counts, "id long, word string, tf long, length long, first boolean")
+    if docs.groupBy("id").count().where("count > 1").isEmpty():
+        return rows
+    own = Window.partitionBy("id")
+    whole = rows.groupBy("id", "word").agg(F.sum("tf").alias("tf"))
+    return whole.select("id", "word", "tf", F.sum("tf").over(own).alias("length"), (F.min("word").over(own) == F.col("word")).alias("first"))
+
+
 def build(docs: DataFrame, path: str, id_col: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> Index:
     """Write the index of all documents to ``path``, a folder that all executors share."""
     spark = docs.sparkSession
-    places = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.explode(all_words("text")).alias("word"))
-    own = Window.partitionBy("id")
-    counts = places.groupBy("id", "word").agg(F.count("*").alias("tf"))
-    counts = saved(counts.select("id", "word", "tf", F.sum("tf").over(own).alias("length"), (F.min("word").over(own) == F.col("word")).alias("first")), "lexical-counts")
+    counts = saved(_counted(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), "text")), "lexical-counts")
     about = counts.agg(F.count_if("first").alias("n"), F.sum("tf").alias("total")).first()
     n, mean = about.n, (about.total or 0) / max(1, about.n)
     blocks = max(1, -(-n // BLOCK))
@@ -159,11 +183,11 @@ def search(spark: SparkSession, index: Index, queries: DataFrame, k: int = DEFAU
     kind = "query_id long, id long, score long"
     parts = []
     for asked in _asked(queries):
-        known = sorted({w for own in asked.values() for w in own})
-        seen = index.frequencies(spark).where(F.col("word").isin(known))
+        known = spark.createDataFrame([(w,) for w in sorted({w for own in asked.values() for w in own})], "word string")
+        seen = index.frequencies(spark).join(F.broadcast(known), "word")
         weight = _whole(F.log(1 + (index.documents - F.col("df") + 0.5) / (F.col("df") + 0.5)))
         weights = {r.word: r.weight for r in seen.select("word", weight.alias("weight")).collect()}
-        lists = index.lists(spark).where(F.col("word").isin(list(weights)))
+        lists = index.lists(spark).join(F.broadcast(known), "word", "left_semi")
         slices = lists.groupBy((F.col("block") / F.lit(slice_blocks)).cast("int").alias("slice"))
         floors = {}
         if index.blocks > slice_blocks:

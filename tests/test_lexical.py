@@ -63,6 +63,11 @@ def test_equals_plain(spark, docs, tmp_path, slice_blocks):
     assert found(spark, docs, QUERIES, str(tmp_path / "index"), k=15, slice_blocks=slice_blocks) == plain(docs, QUERIES, 15)
 
 
+def test_ids_of_one_row_each(spark, docs, tmp_path):
+    some = [d for n, d in enumerate(docs) if d[1] != "w3 w4"]
+    assert found(spark, some, QUERIES, str(tmp_path / "index"), k=15) == plain(some, QUERIES, 15)
+
+
 def test_blocks_of_queries(spark, docs, tmp_path, monkeypatch):
     monkeypatch.setattr(lexical, "QUERIES", 2)
     assert found(spark, docs, QUERIES, str(tmp_path / "index"), k=4) == plain(docs, QUERIES, 4)
