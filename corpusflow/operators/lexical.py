@@ -1,9 +1,9 @@
 """Lexical search by BM25: an inverted index with block maxima, searched with early termination.
 
-``build`` deals documents into blocks of about ``BLOCK`` by a hash of their ids. A row of the index is a word's list in one block: ids,
-impacts, and the largest impact. No list is longer than its block, however frequent the word is. An impact is the part of the
+``build`` makes blocks of ``BLOCK`` documents that lie together. A row of the index is a word's list in one block: ids,
+impacts, and the largest impact. No list is longer than its block, however frequent the word is, and nothing but ids is shuffled. An impact is the part of the
 score that depends on word and document, as an integer; the word's weight comes in at search time from a table of document frequencies,
-so the index is built without a join on words.
+so the index is built without a join on words. Where rows share an id, their words are counted by id before blocks are made.
 
 ``search`` reads the rows of the queries' words and gives each task some blocks. The sum of a block's largest impacts bounds the score
 of every document in it; blocks are taken from the highest bound down, until the bound falls below the k-th best score. The k-th
@@ -32,10 +32,13 @@ from corpusflow.operators.retrieval import all_words, words
 from corpusflow.settings import DEFAULTS
 from corpusflow.shared import saved
 
-#: Documents in a block, on average.
-BLOCK = 128
+#: Documents in a block.
+BLOCK = 512
 #: Blocks whose lists meet in one task.
-SLICE = 512
+SLICE = 128
+#: So few words are looked for in the row groups of the files, which are sorted by word.
+FEW = 10
+LISTS = "block long, word string, ids array<long>, impacts array<int>, top int, n int"
 #: Queries, and their distinct words, that are searched at once.
 QUERIES = 4096
 WORDS = 4096
@@ -52,7 +55,7 @@ class Index:
     blocks: int
 
     def lists(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema("block int, word string, ids array<long>, impacts array<int>, top int").parquet(f"{self.path}/lists")
+        return spark.read.schema(LISTS).parquet(f"{self.path}/lists")
 
     def frequencies(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema("word string, df long").parquet(f"{self.path}/words")
@@ -66,47 +69,60 @@ def _whole(x: Column) -> Column:
     return F.floor(SCALE * x + 0.5)
 
 
-def _row_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, word, tf, length, first) of each row of (id, words)."""
-    for batch in batches:
-        lists = batch.column(1)
-        coded = lists.flatten().dictionary_encode()
-        size = np.diff(lists.offsets.to_numpy())
-        each = np.int64(max(1, len(coded.dictionary)))
-        pair, tf = np.unique(np.repeat(np.arange(len(size)), size) * each + coded.indices.to_numpy().astype(np.int64), return_counts=True)
-        row = pair // each
-        first = np.diff(row, prepend=-1) > 0
-        columns = [batch.column(0).take(pa.array(row)), coded.dictionary.take(pa.array(pair % each)), pa.array(tf.astype(np.int64)), pa.array(size[row].astype(np.int64)), pa.array(first)]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "word", "tf", "length", "first"])
+def _packer(k1: float, b: float, mean: float):
+    """What each task of the build does: rows (id, words) to the lists of blocks of rows that lie together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        for batch in (whole.slice(at, BLOCK) for whole in batches for at in range(0, whole.num_rows, BLOCK)):
+            lists = batch.column(1)
+            coded = lists.flatten().dictionary_encode()
+            size = np.diff(lists.offsets.to_numpy())
+            n = np.int64(len(size))
+            pair, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), size), return_counts=True)
+            word, row = pair // n, pair % n
+            impact = np.floor(SCALE * ((k1 + 1) * tf / (tf + k1 * ((1 - b) + b * size[row] / mean))) + 0.5).astype(np.int32)
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            ends = pa.array(np.append(starts, len(word)), pa.int32())
+            columns = [
+                pa.array(np.full(len(starts), block)), coded.dictionary.take(pa.array(word[starts])), pa.ListArray.from_arrays(ends, batch.column(0).take(pa.array(row))),
+                pa.ListArray.from_arrays(ends, pa.array(impact)), pa.array(np.maximum.reduceat(impact, starts)), pa.array(np.diff(ends.to_numpy())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "word", "ids", "impacts", "top", "n"])
+            block += 1
 
+    return run
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """(id, word, tf, length, first): how often each document of (id, text) has each of its words, its length, and whether this is its first row.
 
-    No shuffle is needed, but where several rows share an id.
-    """
-    rows = docs.select("id", all_words("text").alias("words")).where(F.size("words") > 0).mapInArrow(_row_counts, "id long, word string, tf long, length long, first boolean")
-    if docs.groupBy("id").count().where("count > 1").isEmpty():
-        return rows
+def _merged(docs: DataFrame, k1: float, b: float) -> tuple[DataFrame, int, float]:
+    """(lists, documents, mean length) where rows share ids: words are counted by id first, and blocks are dealt by a hash of the id."""
     own = Window.partitionBy("id")
-    whole = rows.groupBy("id", "word").agg(F.sum("tf").alias("tf"))
-    return whole.select("id", "word", "tf", F.sum("tf").over(own).alias("length"), (F.min("word").over(own) == F.col("word")).alias("first"))
+    counts = docs.select("id", F.explode(all_words("text")).alias("word")).groupBy("id", "word").agg(F.count("*").alias("tf"))
+    counts = saved(counts.select("id", "word", "tf", F.sum("tf").over(own).alias("length"), (F.min("word").over(own) == F.col("word")).alias("first")), "lexical-counts")
+    about = counts.agg(F.count_if("first").alias("n"), F.sum("tf").alias("total")).first()
+    mean = (about.total or 0) / max(1, about.n)
+    share = (k1 + 1) * F.col("tf") / (F.col("tf") + k1 * ((1 - b) + b * F.col("length") / F.lit(mean)))
+    rows = counts.select(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-about.n // BLOCK)))).alias("block"), "word", "id", _whole(share).cast("int").alias("impact"))
+    lists = rows.groupBy("block", "word").agg(F.sort_array(F.collect_list(F.struct("id", "impact"))).alias("l"), F.max("impact").alias("top"))
+    return lists.select("block", "word", F.col("l.id").alias("ids"), F.col("l.impact").alias("impacts"), "top", F.size("l").alias("n")), about.n, mean
 
 
 def build(docs: DataFrame, path: str, id_col: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> Index:
     """Write the index of all documents to ``path``, a folder that all executors share."""
     spark = docs.sparkSession
-    counts = saved(_counted(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), "text")), "lexical-counts")
-    about = counts.agg(F.count_if("first").alias("n"), F.sum("tf").alias("total")).first()
-    n, mean = about.n, (about.total or 0) / max(1, about.n)
-    blocks = max(1, -(-n // BLOCK))
-    share = (k1 + 1) * F.col("tf") / (F.col("tf") + k1 * ((1 - b) + b * F.col("length") / F.lit(mean)))
-    rows = counts.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "word", "id", _whole(share).cast("int").alias("impact"))
-    lists = rows.groupBy("block", "word").agg(F.sort_array(F.collect_list(F.struct("id", "impact"))).alias("l"), F.max("impact").alias("top"))
-    lists = lists.select("block", "word", F.col("l.id").alias("ids"), F.col("l.impact").alias("impacts"), "top")
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), "text")
+    if own.groupBy("id").count().where("count > 1").isEmpty():
+        length = F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+")).cast("long")
+        about = own.select(length.alias("length")).where("length > 0").agg(F.count("*").alias("n"), F.sum("length").alias("total")).first()
+        n, mean = about.n, (about.total or 0) / max(1, about.n)
+        lists = own.select("id", all_words("text").alias("words")).where(F.size("words") > 0).mapInArrow(_packer(k1, b, mean), LISTS)
+    else:
+        lists, n, mean = _merged(own, k1, b)
     lists.sortWithinPartitions("word").write.parquet(f"{path}/lists")
-    counts.groupBy("word").agg(F.count("*").alias("df")).write.parquet(f"{path}/words")
-    made = {"documents": n, "mean": mean, "blocks": blocks}
+    made = {"documents": n, "mean": mean, "blocks": max(1, -(-n // BLOCK))}
+    spark.read.schema(LISTS).parquet(f"{path}/lists").groupBy("word").agg(F.sum("n").alias("df")).write.parquet(f"{path}/words")
     spark.createDataFrame([(json.dumps(made),)], "value string").coalesce(1).write.text(f"{path}/about")
     return Index(path, **made)
 
@@ -188,13 +204,15 @@ def search(spark: SparkSession, index: Index, queries: DataFrame, k: int = DEFAU
         weight = _whole(F.log(1 + (index.documents - F.col("df") + 0.5) / (F.col("df") + 0.5)))
         weights = {r.word: r.weight for r in seen.select("word", weight.alias("weight")).collect()}
         lists = index.lists(spark).join(F.broadcast(known), "word", "left_semi")
-        slices = lists.groupBy((F.col("block") / F.lit(slice_blocks)).cast("int").alias("slice"))
+        if len(weights) <= FEW:
+            lists = lists.where(F.col("word").isin(list(weights)))
+        slices = max(1, -(-index.blocks // slice_blocks))
+        dealt = lists.withColumn("slice", F.pmod(F.xxhash64("block"), F.lit(slices)))
         floors = {}
-        if index.blocks > slice_blocks:
-            first = lists.where(F.col("block") < slice_blocks).groupBy(F.lit(0).alias("slice"))
-            scored = first.applyInArrow(_searcher(asked, weights, k, {}), kind)
+        if slices > 1:
+            scored = dealt.where("slice = 0").groupBy("slice").applyInArrow(_searcher(asked, weights, k, {}), kind)
             floors = {r.query_id: r.floor for r in scored.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") == k).collect()}
-        parts.append(slices.applyInArrow(_searcher(asked, weights, k, floors), kind))
+        parts.append(dealt.groupBy("slice").applyInArrow(_searcher(asked, weights, k, floors), kind))
     found = parts[0] if parts else spark.createDataFrame([], kind)
     for p in parts[1:]:
         found = found.unionByName(p)

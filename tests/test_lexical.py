@@ -59,13 +59,15 @@ def found(spark, docs, queries, path, **more):
 
 
 @pytest.mark.parametrize("slice_blocks", [512, 3])
-def test_equals_plain(spark, docs, tmp_path, slice_blocks):
+def test_equals_plain(spark, docs, tmp_path, slice_blocks, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK", 64)
     assert found(spark, docs, QUERIES, str(tmp_path / "index"), k=15, slice_blocks=slice_blocks) == plain(docs, QUERIES, 15)
 
 
-def test_ids_of_one_row_each(spark, docs, tmp_path):
+def test_ids_of_one_row_each(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK", 50)
     some = [d for n, d in enumerate(docs) if d[1] != "w3 w4"]
-    assert found(spark, some, QUERIES, str(tmp_path / "index"), k=15) == plain(some, QUERIES, 15)
+    assert found(spark, some, QUERIES, str(tmp_path / "index"), k=15, slice_blocks=4) == plain(some, QUERIES, 15)
 
 
 def test_blocks_of_queries(spark, docs, tmp_path, monkeypatch):
