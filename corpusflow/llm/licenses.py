@@ -176,11 +176,14 @@ class Scan:
     def base(self, words: list[bytes]) -> dict[str, list[int]]:
         """The places of each label's phrase."""
         text, out = b" " + b" ".join(words) + b" ", {}
+        begins = np.cumsum([0, *(len(w) + 1 for w in words)])  # where the space before each word stands
         for phrase, label in self.phrases:
-            at = text.find(phrase)
+            found, at = [], text.find(phrase)
             while at >= 0:
-                out.setdefault(label, []).append(text.count(b" ", 0, at))
+                found.append(at)
                 at = text.find(phrase, at + 1)
+            if found:
+                out[label] = np.searchsorted(begins, found).tolist()
         return out
 
     def spans(self, words: list[bytes]) -> dict[str, tuple[int, int, int]]:

@@ -578,6 +578,21 @@ def test_language_model_gradients():
         assert abs((up - down) / 2e-2 - float((g * step).sum())) < 5e-3
 
 
+def test_license_phrases_of_long_texts():
+    """The places of all phrases, in time that grows with the text."""
+    scan, r = licenses.Scan(), np.random.default_rng(7)
+    vocabulary = [w.encode() for w in "gnu general public license cc by mit apache x".split()]
+    for _ in range(300):
+        words = [vocabulary[i] for i in r.integers(0, len(vocabulary), int(r.integers(0, 30)))]
+        want = {}
+        for phrase, label in licenses.PHRASES.items():
+            own = phrase.encode().split()
+            if at := [k for k in range(len(words)) if words[k : k + len(own)] == own]:
+                want[label] = at
+        assert scan.base(words) == want
+    assert scan.base([b"mit", b"license"] * 400_000)["mit"] == list(range(0, 800_000, 2))
+
+
 def test_license_scan(spark, docs, none):
     gpl = licenses.TEMPLATES["gpl-3.0-header"]
     texts = [
