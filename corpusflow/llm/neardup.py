@@ -15,9 +15,15 @@ cut into ``SEGMENTS`` segments of ``BITS`` bits, and three steps:
 
 Texts with equal sets are one node, however many they are; a node's number is the smallest id of its
 texts, so components carry the smallest id that can be reached. Nodes are first tied to few others that
-share a segment's value, and only pairs of different groups are formed after that. The nodes of groups of
-more than ``LARGE`` nodes are never joined among themselves: they meet the nodes of small groups, and
-those of another large group through the values that both groups hold.
+share a segment's value, and only pairs of different groups are formed after that.
+
+A key near which far more nodes lie than chance gives (``CROWD``) tells little about them: whole families of
+texts that are only somewhat alike lie around it. Nodes that hold such a key are crowded. Two crowded nodes
+don't meet in the index but in their rarest shingles: of two sets with a similarity of 4/5 the rarest
+fifths, in an order by frequency, have a shingle in common, so no link gets lost this way. Complete distance,
+sizes, the places of the shared shingle and the parities of the sets (which never differ in more bits than
+the sets do in shingles) are tested in the join, and then step 3 follows. Frequencies come from ``SLOTS``
+counters; any order gives the same links, a good one gives few candidates.
 
 With more than ``2 ** BITS`` nodes more of them share a segment's value by chance; ``BITS`` can then be
 raised, at the cost of more segments. Members of a group that aren't linked directly may be less alike.
@@ -46,10 +52,15 @@ SEGMENTS = 6
 UNSURE = 6
 RADIUS = 2
 DISTANCE = 34
-#: Groups of more nodes are kept apart in the join.
-LARGE = 64
+#: A key is crowded if, beyond four times what chance gives, more nodes than this hold it in their balls of radius 1.
+CROWD = 8
+#: Counters of shingles; a shingle's leading bits name its counter.
+SLOTS = 1 << 20
 #: Of the 63 bits of the second word, which a row of the index carries, so many may differ at most; 3.5 deviations above the mean, too.
 NEAR_63 = 20
+#: Parities of a set's shingles.
+PARITIES = 512
+_ODD = [f"odd{k}" for k in range(PARITIES // 64)]
 #: Shingles, and words, that are worked on at once.
 _CHUNK = 1 << 14
 _GROUP = 1 << 18
@@ -194,35 +205,103 @@ def stars(nodes: DataFrame) -> DataFrame:
     return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
-def pairs(nodes: DataFrame) -> DataFrame:
+def crowded(nodes: DataFrame) -> DataFrame:
+    """The nodes one of whose keys is crowded; see ``CROWD``."""
+    chance = nodes.count() * 7 / 2**BITS  # nodes that a key of these balls holds by chance
+    full = saved(indexed(nodes, radius=1).groupBy("key").count().where(F.col("count") > CROWD + 4 * chance).select("key"), "near-full")
+    return indexed(nodes).join(F.broadcast(full) if full.count() <= FEW else full, "key", "left_semi").select("node").distinct()
+
+
+def pairs(nodes: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Candidates (u, v) in different groups of column ``part``, within the complete distance."""
-    large = nodes.groupBy("part").agg(F.count("*").alias("size")).where(F.col("size") > LARGE)
-    marked = saved(nodes.join(large, "part", "left"), "near-marked")
-    some, many = indexed(marked.where("size is null")), indexed(marked.where("size is not null"))
-    fits = F.bit_count(F.col("a.fp2").bitwiseXOR(F.col("b.fp2"))) <= NEAR_63
+    marked = saved(nodes.join(crowded(nodes).withColumn("many", F.lit(True)), "node", "left"), "near-marked")
+    some, many = indexed(marked.where("many is null")), indexed(marked.where("many"))
+    fits = (F.bit_count(F.col("a.fp2").bitwiseXOR(F.col("b.fp2"))) <= NEAR_63) & (F.col("a.part") != F.col("b.part"))
     ends = [F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")]
-    within = some.alias("a").join(some.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.part") != F.col("b.part")) & fits)
+    within = some.alias("a").join(some.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & fits)
     between = some.alias("a").join(many.alias("b"), (F.col("a.key") == F.col("b.key")) & fits)
-    held = many.select("key", "part").distinct()
-    two = held.toDF("key", "p").join(held.toDF("key", "q"), "key").where("p < q")
-    first = many.select("key", F.col("part").alias("p"), F.struct("node", "fp2").alias("a"))
-    second = many.select("key", F.col("part").alias("q"), F.struct("node", "fp2").alias("b"))
-    beyond = two.join(first, ["key", "p"]).join(second, ["key", "q"]).where(fits)
-    met = within.select(*ends).union(between.select(*ends)).union(beyond.select(*ends)).distinct()
+    met = within.select(*ends).union(between.select(*ends)).distinct()
     one = F.struct("n", "fp", "fp2")
     both = met.join(nodes.select(F.col("node").alias("u"), one.alias("a")), "u").join(nodes.select(F.col("node").alias("v"), one.alias("b")), "v")
-    return both.where(_close() & _sizes_fit()).select("u", "v")
+    return both.where(_close() & _sizes_fit()).select("u", "v").union(rare_pairs(marked.where("many"), docs, words))
+
+
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """For each counter a step of its logarithm, eight to a doubling; 0 where it counted one place or none."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for part in parts:
+            values = part.column(0).flatten().to_numpy().view(np.uint64)
+            counts += np.bincount((values >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
+        held = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(counts[held])], names=["slot", "n"])
+
+    summed = sets.select("shingles").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = summed.where("n > 1").select("slot", F.floor(8 * F.log2("n")).cast("short").alias("step")).toArrow()
+    out = np.zeros(SLOTS, np.int16)
+    out[found.column("slot").to_numpy()] = found.column("step").to_numpy()
+    return out
+
+
+def rare(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(shingle, node, part, fp, fp2, n, place, odd): the rarest fifth of each set, and one more, but for shingles that occur once.
+
+    ``place`` is the shingle's place in the set by frequency, then by hash. ``odd`` has a bit for each hash modulo ``PARITIES``: 1 if
+    an odd number of the set's shingles have it. Two sets differ in as many shingles at least as these bits differ.
+    """
+    steps = _rarity(sets)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            heads, places, sizes, odd = [], [], [], []
+            for own in part.column(4):
+                values = own.values.to_numpy().view(np.uint64)
+                step = steps[(values >> np.uint64(44)).astype(np.int64)]
+                first = np.lexsort((values, step))[: len(values) - (4 * len(values) + 4) // 5 + 1]
+                at = np.flatnonzero(step[first] > 0)
+                heads.append(values[first[at]])
+                places.append(at)
+                sizes.append(len(values))
+                odd.append(np.packbits(np.bincount((values % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1 > 0).view(np.int64))
+            each = np.fromiter(map(len, heads), np.int64, len(heads))
+            columns = [pa.array(np.concatenate([np.zeros(0, np.uint64), *heads]).view(np.int64))]
+            columns += [pa.array(np.repeat(part.column(k).to_numpy(), each)) for k in range(4)]
+            columns += [pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(np.concatenate([np.zeros(0, np.int64), *places]).astype(np.int32))]
+            bits = np.repeat(np.array(odd, np.int64).reshape(-1, PARITIES // 64), each, axis=0)
+            columns += [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(PARITIES // 64)]
+            yield pa.RecordBatch.from_arrays(columns, names=["shingle", "node", "part", "fp", "fp2", "n", "place", *_ODD])
+
+    rows = nodes.select("node", "part", "fp", "fp2").join(sets, "node").select("node", "part", "fp", "fp2", "shingles")
+    return rows.mapInArrow(run, "shingle long, node long, part long, fp long, fp2 long, n int, place int, " + ", ".join(f"{c} long" for c in _ODD))
+
+
+def rare_pairs(nodes: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """Candidates (u, v) in different groups that share one of the rarest shingles of both.
+
+    Most nodes that hold a shingle may be of one group; of a pair in different groups one node isn't of
+    the shingle's largest group, so only such nodes search.
+    """
+    rows = saved(rare(shingled(nodes, docs, words), nodes), "near-rare")
+    held = rows.groupBy("shingle", "part").agg(F.count("*").alias("k"))
+    main = held.groupBy("shingle").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    told = rows.join(main.select("shingle", "main"), "shingle").withColumn("lone", F.expr("part <> main")).drop("main")
+    a, b = told.where("lone").alias("a"), told.alias("b")
+    once = ~F.col("b.lone") | (F.col("a.node") < F.col("b.node"))
+    room = F.least("a.place", "b.place") + 1 + F.least(F.expr("a.n - 1 - a.place"), F.expr("b.n - 1 - b.place"))
+    fits = (F.col("a.part") != F.col("b.part")) & once & _sizes_fit() & _close() & (9 * room >= 4 * (F.col("a.n") + F.col("b.n")))
+    differ = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in _ODD), F.lit(0))
+    met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & fits & (9 * differ <= F.col("a.n") + F.col("b.n")))
+    return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
     return lists(pa.array(np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64)), np.cumsum([0, *map(len, values)]))
 
 
-def verified(candidates: DataFrame, docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
-    """The candidates (u, v) whose sets of shingles have a Jaccard similarity of 4/5 at least."""
-    found = saved(candidates, "near-candidates")
-    needed = found.select("u").union(found.select("v")).distinct().withColumnRenamed("u", "node")
-    wanted = saved(nodes.join(needed, "node", "left_semi").select("node", F.col("one.copy").alias("c"), F.col("one.doc_id").alias("i")), "near-wanted")
+def shingled(nodes: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(node, shingles) of each of ``nodes``, written as a table."""
+    wanted = saved(nodes.select("node", F.col("one.copy").alias("c"), F.col("one.doc_id").alias("i")), "near-wanted")
     few = wanted.count() <= FEW
     texts = _texts(docs)
     texts = texts.join(F.broadcast(wanted) if few else wanted, (texts["copy"] == wanted["c"]) & texts["doc_id"].eqNullSafe(wanted["i"])).select("node", "text")
@@ -232,8 +311,14 @@ def verified(candidates: DataFrame, docs: DataFrame, nodes: DataFrame, words: in
             yield pa.RecordBatch.from_arrays([part.column(0), _lists(list(shingle_sets(part.column(1).to_pylist(), words)))], names=["node", "shingles"])
 
     sets = saved(texts.mapInArrow(run, "node long, shingles array<long>"), "near-sets")
-    if not sets.groupBy("node").count().where("count > 1").isEmpty():  # repeated rows
-        sets = sets.dropDuplicates(["node"])
+    return sets if sets.groupBy("node").count().where("count > 1").isEmpty() else sets.dropDuplicates(["node"])  # repeated rows
+
+
+def verified(candidates: DataFrame, docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
+    """The candidates (u, v) whose sets of shingles have a Jaccard similarity of 4/5 at least."""
+    found = saved(candidates, "near-candidates")
+    needed = found.select("u").union(found.select("v")).distinct().withColumnRenamed("u", "node")
+    sets = shingled(nodes.join(needed, "node", "left_semi"), docs, words)
     x, y = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return found.join(x, "u").join(y, "v").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("u", "v")
@@ -254,7 +339,7 @@ def _roots(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """(node, root) of every node."""
     first = components(verified(stars(nodes), docs, nodes, words))
     parts = saved(nodes.join(first, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"), "near-parts")
-    across = verified(pairs(parts), docs, nodes, words)
+    across = verified(pairs(parts, docs, words), docs, nodes, words)
     ends = parts.select("node", "part")
     linked = across.join(ends.toDF("u", "pu"), "u").join(ends.toDF("v", "pv"), "v").select(F.col("pu").alias("u"), F.col("pv").alias("v"))
     second = components(linked).withColumnRenamed("node", "part")

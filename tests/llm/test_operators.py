@@ -394,6 +394,40 @@ def test_a_large_group_of_near_copies(spark):
     assert got == plain_groups(rows) and got[399] == 0 and got[1000] == 1000
 
 
+@pytest.mark.parametrize("crowd", [-1, 8, 10**9])
+def test_families_below_the_threshold(spark, monkeypatch, crowd):
+    """200 texts at 0.5 to 0.7 of each other, some with near copies: the same groups whether all, some or no nodes are crowded."""
+    monkeypatch.setattr(neardup, "CROWD", crowd)
+    r = random.Random(11)
+    base = [f"w{r.randrange(10**6)}" for _ in range(240)]
+
+    def changed(words, n):
+        out = words[:]
+        for p in r.sample(range(len(out)), n):
+            out[p] = f"new{r.randrange(10**6)}"
+        return out
+
+    family = [changed(base, 8) for _ in range(200)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(family)] + [(1000 + i, " ".join(changed(family[i], 1 + i % 6))) for i in range(0, 200, 5)]
+    rows += [(2000 + i, prose(i, 60)) for i in range(20)] + [(3000, ""), (3001, "one word"), (3002, None)]
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = plain_groups(rows)
+    assert got == want and 200 < len(set(want.values())) < len(rows) - 10
+
+
+def test_parities_never_exclude_a_link(spark):
+    import numpy as np
+
+    r = random.Random(3)
+    sets = {k: [r.getrandbits(63) for _ in range(60)] for k in range(4)}
+    sets |= {k + 10: v[:54] + [r.getrandbits(63) for _ in range(6)] for k, v in sets.items()}  # 54 of 66
+    rows = neardup.rare(spark.createDataFrame(list(sets.items()), "node long, shingles array<long>"), spark.createDataFrame([(k, k, 0, 0) for k in sets], "node long, part long, fp long, fp2 long")).collect()
+    odd = {x.node: np.array([x[f"odd{k}"] for k in range(neardup.PARITIES // 64)], np.int64) for x in rows}
+    for k in range(4):
+        assert sum((int(z) & (2**64 - 1)).bit_count() for z in odd[k] ^ odd[k + 10]) <= 12
+        assert {x.shingle for x in rows if x.node == k} & {x.shingle for x in rows if x.node == k + 10}
+
+
 def test_shared_and_missing_ids(spark):
     """An id that different texts share names the groups of both; a row without an id takes the group's name."""
     a, b, c = prose(1, 100), prose(2, 100), prose(3, 100)
