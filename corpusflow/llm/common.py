@@ -36,8 +36,8 @@ def filtered(df: DataFrame, column: Column, make: Callable[[], Callable[[list],
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keeps = make()
         for batch in rows:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
                 kept = some.filter(pa.array(keeps(some.column(some.num_columns - 1).to_pylist()), pa.bool_()))
                 yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=schema.names)
 
@@ -53,7 +53,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 200) -> None:
     """Arrow batches of at most so many rows from now on: whole texts in larger ones take much memory outside the heap."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:

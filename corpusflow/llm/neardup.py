@@ -63,7 +63,7 @@ PARITIES = 512
 _ODD = [f"odd{k}" for k in range(PARITIES // 64)]
 #: Shingles, and words, that are worked on at once.
 _CHUNK = 1 << 14
-_GROUP = 1 << 18
+_GROUP = 1 << 16
 #: Up to so many wanted texts their ids (24 bytes each) are sent to where the texts lie; beyond, texts are shuffled.
 FEW = 500_000
 
@@ -146,7 +146,7 @@ def prints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for part in (whole.slice(at, 1024) for whole in parts for at in range(0, whole.num_rows, 1024)):
+        for part in (whole.slice(at, 256) for whole in parts for at in range(0, whole.num_rows, 256)):
             same, sizes, found = [], [], []
             for own in shingle_sets(part.column(2).to_pylist(), words):
                 same.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
@@ -170,8 +170,8 @@ def indexed(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for at in range(0, part.num_rows, 512):
-                some = part.slice(at, 512)
+            for at in range(0, part.num_rows, 256):
+                some = part.slice(at, 256)
                 node, group, fp, fp2 = (c.to_numpy() for c in some.columns[:4])
                 values = np.stack([(w >> (BITS * k)) & ((1 << BITS) - 1) for w in (fp, fp2) for k in range(3)], axis=1)
                 unsure = np.frombuffer(b"".join(some.column(4).to_pylist()), np.uint8).reshape(len(node), SEGMENTS, UNSURE)
@@ -227,19 +227,19 @@ def pairs(nodes: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def _rarity(sets: DataFrame) -> np.ndarray:
-    """For each counter a step of its logarithm, eight to a doubling; 0 where it counted one place or none."""
+    """For each counter a step of its logarithm, two to a doubling; 0 where it counted one place or none."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.int64)
         for part in parts:
             values = part.column(0).flatten().to_numpy().view(np.uint64)
-            counts += np.bincount((values >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
+            np.add.at(counts, (values >> np.uint64(44)).astype(np.int64), 1)
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(counts[held])], names=["slot", "n"])
 
     summed = sets.select("shingles").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    found = summed.where("n > 1").select("slot", F.floor(8 * F.log2("n")).cast("short").alias("step")).toArrow()
-    out = np.zeros(SLOTS, np.int16)
+    found = summed.where("n > 1").select("slot", F.floor(2 * F.log2("n")).cast("byte").alias("step")).toArrow()
+    out = np.zeros(SLOTS, np.int8)
     out[found.column("slot").to_numpy()] = found.column("step").to_numpy()
     return out
 
@@ -307,7 +307,7 @@ def shingled(nodes: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame
     texts = texts.join(F.broadcast(wanted) if few else wanted, (texts["copy"] == wanted["c"]) & texts["doc_id"].eqNullSafe(wanted["i"])).select("node", "text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (whole.slice(at, 512) for whole in parts for at in range(0, whole.num_rows, 512)):
+        for part in (whole.slice(at, 128) for whole in parts for at in range(0, whole.num_rows, 128)):
             yield pa.RecordBatch.from_arrays([part.column(0), _lists(list(shingle_sets(part.column(1).to_pylist(), words)))], names=["node", "shingles"])
 
     sets = saved(texts.mapInArrow(run, "node long, shingles array<long>"), "near-sets")
