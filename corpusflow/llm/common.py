@@ -44,6 +44,14 @@ def filtered(df: DataFrame, column: Column, make: Callable[[], Callable[[list],
     return df.select(*(F.col(f"`{c}`") for c in df.columns), column.alias("cf_tested")).mapInArrow(run, schema)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: both sides are shuffled, it never goes whole through the driver.
+
+    Spark estimates a table by its compressed files, so without the hint it may broadcast one that is many times its threshold.
+    """
+    return df.hint("merge")
+
+
 def lists(values: pa.Array, ends: np.ndarray) -> pa.Array:
     """A list for each row: the values up to its end from the end before; ``ends`` begins with 0."""
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)

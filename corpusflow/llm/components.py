@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import saved
+from corpusflow.llm.common import merged, saved
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -18,9 +18,9 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     side = both.where("v < u" if small else "true")
     least = side.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
     if small:
-        out = side.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        out = side.join(merged(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     else:
-        out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = both.where("v > u").join(merged(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.where("u <> v").distinct()
 
 

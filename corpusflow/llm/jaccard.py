@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import filtered, lists, saved, utf8
+from corpusflow.llm.common import filtered, lists, merged, saved, utf8
 from corpusflow.llm.components import components
 from corpusflow.llm.neardup import FEW, shingle_sets
 from corpusflow.llm.simhash import NO_ID
@@ -153,11 +153,11 @@ def _numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     if twice.isEmpty():
         return nodes, nodes.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
     twice = saved(twice.select("doc_id"), "jaccard-shared-ids")
-    first = nodes.join(twice.withColumnRenamed("doc_id", "node"), "node", "left_semi").groupBy("node").agg(F.min("same").alias("holder"))
-    apart = saved(nodes.join(first, "node", "left").withColumn("node", F.when(F.col("holder") != F.col("same"), own).otherwise(F.col("node"))).drop("holder"), "jaccard-nodes")
-    held = rows.join(twice, "doc_id", "left_semi").select("doc_id", "same").distinct().join(apart.select("same", "node"), "same")
+    first = nodes.join(merged(twice.withColumnRenamed("doc_id", "node")), "node", "left_semi").groupBy("node").agg(F.min("same").alias("holder"))
+    apart = saved(nodes.join(merged(first), "node", "left").withColumn("node", F.when(F.col("holder") != F.col("same"), own).otherwise(F.col("node"))).drop("holder"), "jaccard-nodes")
+    held = rows.join(merged(twice), "doc_id", "left_semi").select("doc_id", "same").distinct().join(merged(apart.select("same", "node")), "same")
     least = held.groupBy("doc_id").agg(F.min("node").alias("v"))
-    return apart, held.join(least, "doc_id").select(F.col("node").alias("u"), "v").where("u <> v")
+    return apart, held.join(merged(least), "doc_id").select(F.col("node").alias("u"), "v").where("u <> v")
 
 
 def _room(a: str, b: str) -> Column:
@@ -185,14 +185,14 @@ def stars(index: DataFrame) -> DataFrame:
     hubs = index.groupBy("token").agg(F.min(one).alias("central"), F.min(F.struct("node", "n", "pos")).alias("least"))
     part = lambda x: F.struct(f"{x}.node", f"{x}.n", f"{x}.pos")
     hubs = hubs.select("token", F.explode(F.array_distinct(F.array(part("central"), part("least")))).alias("b"))
-    met = index.select("token", F.struct("node", "n", "pos").alias("a")).join(hubs, "token").where((F.col("a.node") != F.col("b.node")) & _room("a", "b"))
+    met = index.select("token", F.struct("node", "n", "pos").alias("a")).join(merged(hubs), "token").where((F.col("a.node") != F.col("b.node")) & _room("a", "b"))
     return met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
 
 
 def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (u, v, ...) that may link by their parities; nothing that links is lost, and little else is kept that isn't alike."""
     ends = [nodes.select(F.col("node").alias(s), F.struct("n", "bits").alias(f"cf_{s}")) for s in "uv"]
-    rows = pairs.join(ends[0], "u").join(ends[1], "v")
+    rows = pairs.join(merged(ends[0]), "u").join(merged(ends[1]), "v")
 
     def make():
         def test(some: list) -> list[bool]:
@@ -212,11 +212,11 @@ class Sets:
 
     def of(self, wanted: DataFrame) -> DataFrame:
         """(node, shingles) of the nodes in ``wanted``. A node's text is found by its id and a hash of it, and told by its set."""
-        asked = self.nodes.join(wanted.distinct(), "node", "left_semi").select("node", "same")
+        asked = self.nodes.join(merged(wanted.distinct()), "node", "left_semi").select("node", "same")
         one = F.min(F.struct("copy", "doc_id")).alias("one")
-        holders = saved(self.rows.join(asked, "same").groupBy("node", "same").agg(one).select("node", "same", F.col("one.copy").alias("c"), F.col("one.doc_id").alias("i")), "jaccard-wanted")
+        holders = saved(self.rows.join(merged(asked), "same").groupBy("node", "same").agg(one).select("node", "same", F.col("one.copy").alias("c"), F.col("one.doc_id").alias("i")), "jaccard-wanted")
         few = holders.count() <= FEW
-        texts = self.texts.join(F.broadcast(holders) if few else holders, (F.col("copy") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("node", "same", "text")
+        texts = self.texts.join(F.broadcast(holders) if few else merged(holders), (F.col("copy") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("node", "same", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import xxhash
@@ -235,7 +235,7 @@ class Sets:
 def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (u, v, ...) with the sets x and y."""
     x, y = (sets.select(F.col("node").alias(node), F.col("shingles").alias(name)) for node, name in (("u", "x"), ("v", "y")))
-    return pairs.join(x, "u").join(y, "v")
+    return pairs.join(merged(x), "u").join(merged(y), "v")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -267,7 +267,7 @@ def across(index: DataFrame) -> DataFrame:
     n = lambda x: F.col(x).cast("long")
     skip = lambda x, y: (low + high) * F.col(f"{x}.first") > high * n(f"{x}.high") - low * n(f"{y}.low")
     fits = (high * n("a.high") >= low * n("b.low")) & (high * n("b.high") >= low * n("a.low"))
-    met = held.alias("a").join(held.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.part") < F.col("b.part")) & fits & ~skip("a", "b") & ~skip("b", "a"))
+    met = held.alias("a").join(merged(held.alias("b")), (F.col("a.token") == F.col("b.token")) & (F.col("a.part") < F.col("b.part")) & fits & ~skip("a", "b") & ~skip("b", "a"))
     columns = [F.col(f"{side}.{name}").alias(f"{side}_{name}") for side in "ab" for name in ("part", "nodes", "sizes", "places")]
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,17 +304,17 @@ def settled(found: DataFrame, nodes: DataFrame, leaders: DataFrame, sets: Sets)
     """
     sizes = nodes.select("node", "n")
     counts = leaders.select("node", "leader", F.size("adds").alias("more"), F.size("lacks").alias("less"))
-    about = saved(sizes.join(counts, "node", "left").select("node", "n", F.coalesce("leader", "node").alias("leader"), F.coalesce("more", F.lit(0)).alias("more"), F.coalesce("less", F.lit(0)).alias("less")), "jaccard-about")
+    about = saved(sizes.join(merged(counts), "node", "left").select("node", "n", F.coalesce("leader", "node").alias("leader"), F.coalesce("more", F.lit(0)).alias("more"), F.coalesce("less", F.lit(0)).alias("less")), "jaccard-about")
     side = lambda s: about.select(*(F.col(c).alias(f"{s}_{c}" if c != "node" else s) for c in about.columns))
-    rows = saved(found.join(side("u"), "u").join(side("v"), "v"), "jaccard-candidates")
+    rows = saved(found.join(merged(side("u")), "u").join(merged(side("v")), "v"), "jaccard-candidates")
     led = rows.groupBy(F.col("u_leader").alias("u"), F.col("v_leader").alias("v")).agg(F.count("*").alias("pairs"))
     led = saved(led, "jaccard-led")
     held = sets.of(led.select(F.col("u").alias("node")).union(led.select("v")))
     known = saved(with_sets(led, held).select(F.col("u").alias("u_leader"), F.col("v").alias("v_leader"), "pairs", F.size(F.array_intersect("x", "y")).alias("both")), "jaccard-overlaps")
     total, least, most = F.col("u_n") + F.col("v_n"), F.col("both") - F.col("u_less") - F.col("v_less"), F.col("both") + F.col("u_more") + F.col("v_more")
-    rows = saved(rows.join(known, ["u_leader", "v_leader"]).withColumn("sure", _linked(least, total)).where(_linked(most, total)), "jaccard-open")
+    rows = saved(rows.join(merged(known), ["u_leader", "v_leader"]).withColumn("sure", _linked(least, total)).where(_linked(most, total)), "jaccard-open")
     sure = saved(rows.where("sure").select("pu", "pv").distinct(), "jaccard-sure")
-    rest = rows.where("NOT sure").join(sure, ["pu", "pv"], "left_anti")
+    rest = rows.where("NOT sure").join(merged(sure), ["pu", "pv"], "left_anti")
 
     ends = leaders.select("node", "adds", "lacks")
     none = F.array().cast("array<long>")
@@ -322,7 +322,7 @@ def settled(found: DataFrame, nodes: DataFrame, leaders: DataFrame, sets: Sets)
     own = lambda s: F.coalesce(f"{s}_differs", F.struct(none.alias("adds"), none.alias("lacks")))
     pair = F.struct("pu", "pv", "both", "u_n", "v_n", own("u").alias("du"), own("v").alias("dv"))
     batch = F.pmod(F.xxhash64("u", "v"), F.ceil(F.col("pairs") / TOGETHER)).alias("batch")
-    asked = rest.join(differ("u"), "u", "left").join(differ("v"), "v", "left").select(F.col("u_leader").alias("u"), F.col("v_leader").alias("v"), batch, pair.alias("pair"))
+    asked = rest.join(merged(differ("u")), "u", "left").join(merged(differ("v")), "v", "left").select(F.col("u_leader").alias("u"), F.col("v_leader").alias("v"), batch, pair.alias("pair"))
     asked = asked.groupBy("u", "v", "batch").agg(F.collect_list("pair").alias("pairs"))
 
     def derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,9 +352,9 @@ def near_sets(docs: DataFrame) -> DataFrame:
     first = components(linked.select("u", "v").union(shared))
     least = F.min(F.struct(F.size("adds") + F.size("lacks"), "v", "adds", "lacks")).alias("one")
     leaders = saved(linked.groupBy(F.col("u").alias("node")).agg(least).select("node", F.col("one.v").alias("leader"), "one.adds", "one.lacks"), "jaccard-leaders")
-    parts = saved(nodes.select("node").join(first, "node", "left").select("node", F.coalesce("root", "node").alias("part")), "jaccard-parts")
-    found = saved(possible(across(index.join(parts, "node")), nodes), "jaccard-across")
+    parts = saved(nodes.select("node").join(merged(first), "node", "left").select("node", F.coalesce("root", "node").alias("part")), "jaccard-parts")
+    found = saved(possible(across(index.join(merged(parts), "node")), nodes), "jaccard-across")
     joined = components(settled(found, nodes, leaders, sets).toDF("u", "v"))
-    roots = parts.join(joined.withColumnRenamed("node", "part"), "part", "left").select("node", F.coalesce("root", "part").alias("root"))
-    named = nodes.select("same", "node").join(roots, "node").select("same", F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id"))
-    return rows.join(named, "same", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    roots = parts.join(merged(joined.withColumnRenamed("node", "part")), "part", "left").select("node", F.coalesce("root", "part").alias("root"))
+    named = nodes.select("same", "node").join(merged(roots), "node").select("same", F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id"))
+    return rows.join(merged(named), "same", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import lists, saved, utf8
+from corpusflow.llm.common import lists, merged, saved, utf8
 from corpusflow.llm.components import components
 from corpusflow.llm.simhash import NO_ID, SEED, WORDS, kept_rows
 
@@ -198,10 +198,10 @@ def stars(nodes: DataFrame) -> DataFrame:
     This ties most of a large group of near copies together by links in proportion to its size.
     """
     one = F.struct("node", "n", "fp", "fp2")
-    rows = indexed(nodes.withColumn("part", F.col("node")), radius=0).select("key", "node").join(nodes.select("node", one.alias("a")), "node").select("key", "a")
+    rows = indexed(nodes.withColumn("part", F.col("node")), radius=0).select("key", "node").join(merged(nodes.select("node", one.alias("a"))), "node").select("key", "a")
     ends = rows.groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high"), F.max_by("a", F.struct("a.n", "a.node")).alias("rich"))
     hubs = ends.where("low.node <> high.node").select("key", F.explode(F.array_distinct(F.array("low", "high", "rich"))).alias("b"))
-    met = rows.join(hubs, "key").where((F.col("a.node") != F.col("b.node")) & _close() & _sizes_fit())
+    met = rows.join(merged(hubs), "key").where((F.col("a.node") != F.col("b.node")) & _close() & _sizes_fit())
     return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
@@ -209,20 +209,20 @@ def crowded(nodes: DataFrame) -> DataFrame:
     """The nodes one of whose keys is crowded; see ``CROWD``."""
     chance = nodes.count() * 7 / 2**BITS  # nodes that a key of these balls holds by chance
     full = saved(indexed(nodes, radius=1).groupBy("key").count().where(F.col("count") > CROWD + 4 * chance).select("key"), "near-full")
-    return indexed(nodes).join(F.broadcast(full) if full.count() <= FEW else full, "key", "left_semi").select("node").distinct()
+    return indexed(nodes).join(F.broadcast(full) if full.count() <= FEW else merged(full), "key", "left_semi").select("node").distinct()
 
 
 def pairs(nodes: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Candidates (u, v) in different groups of column ``part``, within the complete distance."""
-    marked = saved(nodes.join(crowded(nodes).withColumn("many", F.lit(True)), "node", "left"), "near-marked")
+    marked = saved(nodes.join(merged(crowded(nodes).withColumn("many", F.lit(True))), "node", "left"), "near-marked")
     some, many = indexed(marked.where("many is null")), indexed(marked.where("many"))
     fits = (F.bit_count(F.col("a.fp2").bitwiseXOR(F.col("b.fp2"))) <= NEAR_63) & (F.col("a.part") != F.col("b.part"))
     ends = [F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")]
-    within = some.alias("a").join(some.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & fits)
+    within = some.alias("a").join(merged(some.alias("b")), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & fits)
     between = some.alias("a").join(many.alias("b"), (F.col("a.key") == F.col("b.key")) & fits)
     met = within.select(*ends).union(between.select(*ends)).distinct()
     one = F.struct("n", "fp", "fp2")
-    both = met.join(nodes.select(F.col("node").alias("u"), one.alias("a")), "u").join(nodes.select(F.col("node").alias("v"), one.alias("b")), "v")
+    both = met.join(merged(nodes.select(F.col("node").alias("u"), one.alias("a"))), "u").join(merged(nodes.select(F.col("node").alias("v"), one.alias("b"))), "v")
     return both.where(_close() & _sizes_fit()).select("u", "v").union(rare_pairs(marked.where("many"), docs, words))
 
 
@@ -272,7 +272,7 @@ def rare(sets: DataFrame, nodes: DataFrame) -> DataFrame:
             columns += [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(PARITIES // 64)]
             yield pa.RecordBatch.from_arrays(columns, names=["shingle", "node", "part", "fp", "fp2", "n", "place", *_ODD])
 
-    rows = nodes.select("node", "part", "fp", "fp2").join(sets, "node").select("node", "part", "fp", "fp2", "shingles")
+    rows = nodes.select("node", "part", "fp", "fp2").join(merged(sets), "node").select("node", "part", "fp", "fp2", "shingles")
     return rows.mapInArrow(run, "shingle long, node long, part long, fp long, fp2 long, n int, place int, " + ", ".join(f"{c} long" for c in _ODD))
 
 
@@ -285,13 +285,13 @@ def rare_pairs(nodes: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFra
     rows = saved(rare(shingled(nodes, docs, words), nodes), "near-rare")
     held = rows.groupBy("shingle", "part").agg(F.count("*").alias("k"))
     main = held.groupBy("shingle").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    told = rows.join(main.select("shingle", "main"), "shingle").withColumn("lone", F.expr("part <> main")).drop("main")
+    told = rows.join(merged(main.select("shingle", "main")), "shingle").withColumn("lone", F.expr("part <> main")).drop("main")
     a, b = told.where("lone").alias("a"), told.alias("b")
     once = ~F.col("b.lone") | (F.col("a.node") < F.col("b.node"))
     room = F.least("a.place", "b.place") + 1 + F.least(F.expr("a.n - 1 - a.place"), F.expr("b.n - 1 - b.place"))
     fits = (F.col("a.part") != F.col("b.part")) & once & _sizes_fit() & _close() & (9 * room >= 4 * (F.col("a.n") + F.col("b.n")))
     differ = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in _ODD), F.lit(0))
-    met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & fits & (9 * differ <= F.col("a.n") + F.col("b.n")))
+    met = a.join(merged(b), (F.col("a.shingle") == F.col("b.shingle")) & fits & (9 * differ <= F.col("a.n") + F.col("b.n")))
     return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
@@ -304,7 +304,7 @@ def shingled(nodes: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame
     wanted = saved(nodes.select("node", F.col("one.copy").alias("c"), F.col("one.doc_id").alias("i")), "near-wanted")
     few = wanted.count() <= FEW
     texts = _texts(docs)
-    texts = texts.join(F.broadcast(wanted) if few else wanted, (texts["copy"] == wanted["c"]) & texts["doc_id"].eqNullSafe(wanted["i"])).select("node", "text")
+    texts = texts.join(F.broadcast(wanted) if few else merged(wanted), (texts["copy"] == wanted["c"]) & texts["doc_id"].eqNullSafe(wanted["i"])).select("node", "text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (whole.slice(at, 128) for whole in parts for at in range(0, whole.num_rows, 128)):
@@ -318,10 +318,10 @@ def verified(candidates: DataFrame, docs: DataFrame, nodes: DataFrame, words: in
     """The candidates (u, v) whose sets of shingles have a Jaccard similarity of 4/5 at least."""
     found = saved(candidates, "near-candidates")
     needed = found.select("u").union(found.select("v")).distinct().withColumnRenamed("u", "node")
-    sets = shingled(nodes.join(needed, "node", "left_semi"), docs, words)
+    sets = shingled(nodes.join(merged(needed), "node", "left_semi"), docs, words)
     x, y = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return found.join(x, "u").join(y, "v").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("u", "v")
+    return found.join(merged(x), "u").join(merged(y), "v").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -338,26 +338,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def _roots(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """(node, root) of every node."""
     first = components(verified(stars(nodes), docs, nodes, words))
-    parts = saved(nodes.join(first, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"), "near-parts")
+    parts = saved(nodes.join(merged(first), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"), "near-parts")
     across = verified(pairs(parts, docs, words), docs, nodes, words)
     ends = parts.select("node", "part")
-    linked = across.join(ends.toDF("u", "pu"), "u").join(ends.toDF("v", "pv"), "v").select(F.col("pu").alias("u"), F.col("pv").alias("v"))
+    linked = across.join(merged(ends.toDF("u", "pu")), "u").join(merged(ends.toDF("v", "pv")), "v").select(F.col("pu").alias("u"), F.col("pv").alias("v"))
     second = components(linked).withColumnRenamed("node", "part")
-    return ends.join(second, "part", "left").select("node", F.coalesce("root", "part").alias("root"))
+    return ends.join(merged(second), "part", "left").select("node", F.coalesce("root", "part").alias("root"))
 
 
 def _named(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    known = nodes.join(roots, "node").select("same", F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id"))
+    known = nodes.join(merged(roots), "node").select("same", F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id"))
     print_ = F.concat(*(F.lower(F.lpad(F.hex(p), 16, "0")) for p in ("fp", "fp2")))
-    return rows.join(known, "same").select("doc_id", print_.alias("fingerprint"), "component_id")
+    return rows.join(merged(known), "same").select("doc_id", print_.alias("fingerprint"), "component_id")
 
 
 def _with_shared_ids(rows: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """As ``near_duplicates``, where different texts have one id: nodes get numbers of their own, named by ids at the end."""
     own = saved(nodes.select("same", F.col("node").alias("least"), F.col("same").alias("node"), "one", "n", "fp", "fp2", "unsure"), "near-own")
     roots = saved(_roots(own, docs, words), "near-roots")
-    named = saved(own.join(roots, "node").groupBy("root").agg(F.min("least").alias("name")), "near-names")
-    return _named(rows, own.select("same", "node"), roots.join(named, "root").select("node", F.col("name").alias("root")))
+    named = saved(own.join(merged(roots), "node").groupBy("root").agg(F.min("least").alias("name")), "near-names")
+    return _named(rows, own.select("same", "node"), roots.join(merged(named), "root").select("node", F.col("name").alias("root")))
 
 
 def representatives(docs: DataFrame, words: int = WORDS) -> DataFrame:

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import map_columns, saved, utf8
+from corpusflow.llm.common import map_columns, merged, saved, utf8
 from corpusflow.llm.components import components
 
 WORDS = 5
@@ -123,9 +123,9 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     probe = balls(fps, distance).select("key", "bit", F.col("fp").alias("a"), F.col("part").alias("pa"))
     held = balls(fps, distance, search=False).select("key", F.col("bit").alias("own"), F.col("fp").alias("b"), F.col("part").alias("pb"))
     ends = held.groupBy("key").agg(F.min("pb").alias("low"), F.max("pb").alias("high"))
-    probe = probe.join(ends, "key").where((F.col("low") != F.col("pa")) | (F.col("high") != F.col("pa"))).select("key", "bit", "a", "pa")
+    probe = probe.join(merged(ends), "key").where((F.col("low") != F.col("pa")) | (F.col("high") != F.col("pa"))).select("key", "bit", "a", "pa")
     once = (F.col("own") < 0) | (F.col("own") < F.col("bit"))
-    found = probe.join(held, (probe["key"] == held["key"]) & once & (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & near("a", "b", distance))
+    found = probe.join(merged(held), (probe["key"] == held["key"]) & once & (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & near("a", "b", distance))
     return found.select(F.least("pa", "pb").alias("u"), F.greatest("pa", "pb").alias("v")).distinct()
 
 
@@ -133,15 +133,15 @@ def stars(fps: DataFrame, segments: int = SEGMENTS, distance: int = DISTANCE) ->
     """(u, v): each node with the one of the least fingerprint that shares a segment's value, where they are near."""
     rows = index(fps.select("fp", "node"), segments)
     least = rows.groupBy("key").agg(F.min(F.struct("fp", "node")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", F.col("hub.fp").alias("b"), F.col("hub.node").alias("v"))
-    return rows.join(least, "key").where((F.col("fp") != F.col("b")) & near("fp", "b", distance)).select(F.col("node").alias("u"), "v").distinct()
+    return rows.join(merged(least), "key").where((F.col("fp") != F.col("b")) & near("fp", "b", distance)).select(F.col("node").alias("u"), "v").distinct()
 
 
 def roots(fps: DataFrame, segments: int = SEGMENTS, distance: int = DISTANCE) -> DataFrame:
     """(fp, root) of distinct fingerprints (fp, node): the root is the least node that can be reached."""
     first = components(stars(fps, segments, distance))
-    parts = saved(fps.join(first, "node", "left").select("fp", F.coalesce("root", "node").alias("part")), "parts")
+    parts = saved(fps.join(merged(first), "node", "left").select("fp", F.coalesce("root", "node").alias("part")), "parts")
     second = components(links(parts, distance))
-    return parts.join(second.withColumnRenamed("node", "part"), "part", "left").select("fp", F.coalesce("root", "part").alias("root"))
+    return parts.join(merged(second.withColumnRenamed("node", "part")), "part", "left").select("fp", F.coalesce("root", "part").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, segments: int = SEGMENTS, distance: int = DISTANCE) -> DataFrame:
@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, segments: int = SEGMENT
     own = F.col("fp").bitwiseOR(F.lit(NO_ID)).bitwiseAND(F.lit((1 << 63) - 1))
     fps = saved(rows.groupBy("fp").agg(F.coalesce(F.min("doc_id"), own).alias("node")), "nodes")
     known = roots(fps, segments, distance).select("fp", F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id"))
-    return rows.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(merged(known), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -176,5 +176,5 @@ def kept_rows(docs: DataFrame, marked: Callable[[DataFrame], DataFrame]) -> Data
     marks = marked(rows.select(F.col("cf_id").alias("doc_id"), "text"))
     kept = marks.where("doc_id = component_id").select(F.col("doc_id").alias("cf_id")).distinct()
     first = Window.partitionBy("cf_id").orderBy("cf_tie")
-    out = rows.join(kept, "cf_id", "left_semi").withColumn("cf_place", F.row_number().over(first)).where("cf_place = 1")
+    out = rows.join(merged(kept), "cf_id", "left_semi").withColumn("cf_place", F.row_number().over(first)).where("cf_place = 1")
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))

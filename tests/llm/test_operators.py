@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 tokenizers = pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from corpusflow.llm import decontam, licenses, lm, neardup, pretokens, quality, sharding, simhash, spm, tokencount, tokenfile, warc
+from corpusflow.llm import components, decontam, licenses, lm, neardup, pretokens, quality, sharding, simhash, spm, tokencount, tokenfile, warc
 from corpusflow.llm.queries import PIECES, TOKENIZER, tokenizer_path
 
 WORDS = "the a of to stone river light house winter cloud paper green under seven morning letter glass field carries över größe niño".split()
@@ -323,6 +323,15 @@ def test_near_halves_meet_once(spark):
         assert all(((f ^ g) & 0xFFFFFFFF).bit_count() <= sum(first) or (u, v) not in {(x.u, x.v) for x in met if x.half == 0} for u, f in fps for v, g in fps)
 
 
+def test_no_side_of_the_joins_is_broadcast(spark):
+    """Tables that grow with the input don't go through the driver, however small Spark thinks they are."""
+    fps = spark.createDataFrame([(n * n, n, n % 7) for n in range(50)], "fp long, node long, part long")
+    edges = spark.createDataFrame([(n, n + 1) for n in range(50)], "u long, v long")
+    made = [simhash.stars(fps), simhash.links(fps), simhash.roots(fps.select("fp", "node")), components._star(edges, small=True), components._star(edges, small=False)]
+    for df in made:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_representatives(docs, none):
     kept = simhash.representatives(docs).collect()
     assert kept and set(kept[0].asDict()) == set(docs.columns)
