@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.text import file_hash
 from corpusflow.sources.plaintext import decode
+from corpusflow.sources.reading import with_read
 
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})\s*([^`]*)$")
 _ITEM = re.compile(r"^(\s*)(?:([-*+])|(\d{1,9})[.)])\s+\S")
@@ -64,18 +65,9 @@ def read(data: bytes) -> tuple:
     return text, levels, fences, sorted(languages), bool(re.search(r"(?<!`)`[^`\n]+`(?!`)", rest)), ordered, unordered, nested, tables, links, images, warnings
 
 
-def read_markdown(c: str | Column) -> Column:
-    return F.pandas_udf(_read_markdown, READ)(c)
-
-
-def _read_markdown(content):
-    import pandas as pd
-
-    return pd.DataFrame([read(bytes(x or b"")) for x in content], columns=[x.split()[0] for x in READ.split(", ")])
-
-
 def extracted(files: DataFrame) -> DataFrame:
-    rows = files.withColumn("_d", read_markdown("content")).select("*", "_d.*")
+    hashed = files.select("path", "content", file_hash("content").alias("file_hash"))
+    rows = with_read(hashed, "_d", lambda x: read(x or b""), READ, "content").select("*", "_d.*")
     at = lambda n: F.size(F.filter("levels", lambda x: x == n))
     sections: Column = at(1) + at(2)
     lists = F.col("num_ordered") + F.col("num_unordered")
@@ -83,7 +75,7 @@ def extracted(files: DataFrame) -> DataFrame:
     quality = F.when(F.size("warnings") == 0, "high").when(F.size("warnings") <= 2, "medium").otherwise("low")
     has = (F.size("levels") > 0) | (lists > 0) | (F.col("num_tables") > 0) | (F.col("num_code_blocks") > 0)
     return rows.select(
-        "path", "text", kind.alias("content_type"), F.lit("EXTRACTED").alias("status"), "warnings", file_hash("content").alias("file_hash"),
+        "path", "text", kind.alias("content_type"), F.lit("EXTRACTED").alias("status"), "warnings", "file_hash",
         F.struct(*(at(n).alias(f"h{n}") for n in range(1, 7))).alias("headers"), F.array_min("levels").alias("min_level"), F.array_max("levels").alias("max_level"),
         sections.alias("num_sections"), "num_code_blocks", "languages", "has_inline_code", "num_ordered", "num_unordered", "has_nested_lists", "num_tables",
         "num_links", "num_images", (F.regexp_count("text", F.lit("\n")) + 1).alias("line_count"), quality.alias("quality"), has.alias("has_structure"),

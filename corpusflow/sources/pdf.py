@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions.clean import cleaned
 from corpusflow.functions.structure import structure
 from corpusflow.functions.text import file_hash, lines, strip
+from corpusflow.sources.reading import with_read
 
 READ = "pages array<string>, info map<string,string>, warnings array<string>"
 _OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
@@ -131,19 +132,10 @@ def _with_library(data: bytes, max_pages: int | None) -> tuple:
         return read(data, max_pages)
 
 
-def read_pdf(max_pages: int | None = None):
-    @F.pandas_udf(READ)
-    def run(content):
-        import pandas as pd
-
-        return pd.DataFrame([_with_library(bytes(x or b""), max_pages) for x in content], columns=["pages", "info", "warnings"])
-
-    return run
-
-
 def extracted(files: DataFrame, max_pages: int | None = None, clean: bool = True) -> DataFrame:
     """Text of all pages, cleaned; section headers, content type and quality are columns."""
-    rows = files.withColumn("_d", read_pdf(max_pages)("content")).select("path", file_hash("content").alias("file_hash"), "_d.*")
+    hashed = files.select("path", "content", file_hash("content").alias("file_hash"))
+    rows = with_read(hashed, "_d", lambda x: _with_library(x or b"", max_pages), READ, "content").select("path", "file_hash", "_d.*")
     rows = rows.withColumn("_raw", F.array_join("pages", "\n\n")).withColumn("text", cleaned("_raw") if clean else F.col("_raw")).withColumn("_s", structure("text"))
     n, blank = F.size("pages"), F.size(F.filter("pages", lambda p: strip(p) == ""))
     chars = F.length("text")

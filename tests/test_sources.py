@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.operators import providers
 from corpusflow.plans import file_queries, source_queries
-from corpusflow.sources import docx, files, formats, html, image, jsons, markdown, pdf, plaintext, sinks, web
+from corpusflow.sources import docx, files, formats, html, image, jsons, markdown, pdf, plaintext, reading, sinks, web
 
 
 @pytest.mark.parametrize(
@@ -229,3 +229,24 @@ def test_references_without_semicolon(spark):
     assert [h.text for h in cut.headings] == ["a & b &amp", "<c&g ' &#x2"]
     assert cut.links == [("/x?a=1&b=2", "&quot")]
     assert whole.headings[0].text == "a & b &" and whole.links == [("/x?a=1&b=2", '"')]
+
+
+def test_results_of_a_batch_are_not_held_together(spark):
+    """Of thousands of rows in one Arrow batch only some results lie in the worker's memory at once."""
+    rows = spark.range(0, 2000, 1, 1).select(F.col("id").alias("path"), F.col("id").cast("string").alias("content"))
+    alive = [0]
+
+    def read(content):
+        class Text(str):
+            def __new__(cls, x):
+                alive[0] += 1
+                return super().__new__(cls, x)
+
+            def __del__(self):
+                alive[0] -= 1
+
+        return Text(f"{content} {alive[0]}")
+
+    got = [r.read.split() for r in reading.with_read(rows, "read", read, "string", "content").orderBy("path").collect()]
+    assert [int(r[0]) for r in got] == list(range(2000))
+    assert max(int(r[1]) for r in got) <= 2 * reading.ROWS
