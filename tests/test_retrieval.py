@@ -207,3 +207,25 @@ def test_word_search_is_exact_whatever_the_tasks(spark):
     finally:
         retrieval.BLOCK_BYTES = block
     assert retrieval.search_words(d, q.where("query_id = 90")).count() == 0
+
+
+def test_a_task_sends_k_rows_a_query(spark):
+    """However many batches a task reads; ties go to the smaller id, in whatever batch it lies."""
+    rng = np.random.default_rng(3)
+    held = rng.normal(size=(700, 6)).round(2)
+    rows = [(i, held[i % 700].tolist()) for i in range(2999, -1, -1)]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    queries = spark.createDataFrame([(q, held[q].tolist()) for q in range(300)], "query_id long, query_vector array<double>")
+    ids, q = next(retrieval._blocks(queries))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        assert retrieval._nearest(corpus, ids, q, 7, "vec_id", "embedding").count() == 300 * 7
+        got = {(r.query_id, r["rank"]): r.vec_id for r in retrieval.search_all(corpus, queries, 7).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    unit = held / np.linalg.norm(held, axis=1, keepdims=True)
+    for query in range(300):
+        score = np.round(unit @ unit[query], 10)
+        first = sorted(range(3000), key=lambda i: (-score[i % 700], i))[:7]
+        assert [got[query, n] for n in range(1, 8)] == first
