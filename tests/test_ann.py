@@ -3,6 +3,8 @@
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +58,14 @@ def test_every_vector_is_in_the_index_and_edge_cases(spark, corpus, index, tmp_p
     assert ann.search(spark, none, asked(corpus)).count() == 0
     few = ann.build(corpus.where("vec_id < 3"), str(tmp_path / "few"), 8)
     assert ann.search(spark, few, asked(corpus), 15).where("query_id = 0").count() == 3
+
+
+def test_recall_of_many_vectors(spark, tmp_path):
+    """Codes are fine enough that a hundred candidates hold the nearest ones in larger tables too."""
+    from corpusflow.plans.retrieval_queries import vector_index_recall
+
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(40_000, 64)).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(40_000), "embedding": pa.array(list(vectors), pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    row = vector_index_recall(spark, str(tmp_path)).first()
+    assert (row.queries, row.enough) == (400, True)
