@@ -35,7 +35,7 @@ from corpusflow.shared import saved
 #: Documents in a block.
 BLOCK = 512
 #: Blocks whose lists meet in one task.
-SLICE = 128
+SLICE = 32
 #: So few words are looked for in the row groups of the files, which are sorted by word.
 FEW = 10
 LISTS = "block long, word string, ids array<long>, impacts array<int>, top int, n int"

@@ -96,3 +96,8 @@ def test_ends_early():
     assert done < 40
     again = lexical.best(block, tops, ids, impacts, 10, floor=int(scores[-1]))
     assert again[0].tolist() == order.tolist() and again[2] <= done
+
+
+def test_a_task_holds_the_lists_of_few_documents():
+    """Lists of a slice lie in a worker's memory as a whole; 65,536 documents took over 600 MB there."""
+    assert lexical.SLICE * lexical.BLOCK <= 1 << 14
