@@ -14,7 +14,8 @@ PAGE_NUMBERS = [r"\s*\d+\s*$", r"\s*[٠-٩]+\s*$", r"صفحة\s+\d+", r"Page\s+\
 #: What is taken out of any line, in this order.
 RUNNING = [r"^[\-_=]{3,}$", r"^\s*\|\s*\|\s*$", r"^©.*$", r"^\s*www\.", r"^\s*http[s]?://"]
 #: What becomes a single space, in this order.
-ARTEFACTS = [r"\s{3,}", r"\n{4,}", r"[​-‍﻿]", r"[\x00-\x08\x0B-\x0C\x0E-\x1F]"]
+#: Runs of line feeds go with the first; signs without a width and control characters are one pass, as neither is white space that another rule looks for.
+ARTEFACTS = [r"\s{3,}", "[\u200b-\u200d\ufeff\\x00-\\x08\\x0B-\\x0C\\x0E-\\x1F]"]
 
 _PAGE_NUMBER = "^(?:" + "|".join(PAGE_NUMBERS) + ")"
 
@@ -84,9 +85,9 @@ def cleaned(
 def cleaning_stats(before: str | Column, after: str | Column) -> Column:
     """original_length, cleaned_length, reduction_ratio (0 for an empty text), num_pages_detected (null for none)."""
     a, b = F.length(col(before)), F.length(col(after))
-    pages = F.size(page_numbers(before))
+    pages = F.size(F.filter(lines(before), is_page_number))
     return F.struct(
         a.alias("original_length"), b.alias("cleaned_length"),
         F.when(a > 0, 1 - b / a).otherwise(F.lit(0.0)).alias("reduction_ratio"),
-        F.when(pages > 0, pages).alias("num_pages_detected"),
+        once(pages, lambda n: F.when(n > 0, n)).alias("num_pages_detected"),
     )

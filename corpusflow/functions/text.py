@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Fixed value: Unicode's white space, and the four separators below U+0020.
+SPACE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -19,8 +23,8 @@ def once(value: Column, use) -> Column:
 
 
 def strip(c: str | Column) -> Column:
-    """Without white space (any of Unicode's, and the four separators below U+0020) at both ends."""
-    return F.regexp_replace(col(c), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    """Without white space (any of Unicode's, and the four separators below U+0020) at both ends: only the ends are looked at."""
+    return F.btrim(col(c), F.lit(SPACE))
 
 
 def search(c: str | Column, pattern: str, flags: str = "") -> Column:
