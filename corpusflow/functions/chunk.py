@@ -12,7 +12,7 @@ from corpusflow.functions.text import col, lines, once, search, strip
 from corpusflow.settings import DEFAULTS
 
 #: Fixed value: the characters that end a sentence.
-SENTENCE_ENDS = "[.؟!،]"
+SENTENCE_ENDS = ".؟!،"
 #: What every chunk is made of.
 CHUNK = "struct<text:string,content_type:string,chunking_strategy:string,chunk_index:int,total_chunks:int,chunk_size_used:int,section_index:int,section_header:string>"
 
@@ -41,7 +41,12 @@ def fold(values: Column, empty: Column, step: Callable[[Column, Column], Column]
 
 
 def sentences(c: str | Column) -> Column:
-    return F.filter(F.transform(F.split(col(c), SENTENCE_ENDS, -1), strip), lambda s: s != "")
+    """One sign stands for all, as a split at a single character needs no regular expression."""
+    one, *others = SENTENCE_ENDS
+    out = col(c)
+    for sign in others:
+        out = F.replace(out, F.lit(sign), F.lit(one))
+    return F.filter(F.transform(F.split(out, "\\" + one, -1), strip), lambda s: s != "")
 
 
 def sentence_chunks(c: str | Column, size: int | Column = DEFAULTS.chunk_size, overlap: int = DEFAULTS.chunk_overlap, least: int = DEFAULTS.min_chunk) -> Column:

@@ -27,7 +27,9 @@ def normalized(
     """
     swap = [(ALEF, ALEF_TO * len(ALEF))] * alef + [(YAA, YAA_TO)] * yaa + [(PERSIAN, PERSIAN_TO)] * persian
     drop = MARKS * diacritics + TATWEEL * tatweel
-    out = F.translate(col(c), "".join(a for a, _ in swap) + drop, "".join(b for _, b in swap)) if swap or drop else col(c)
+    letters = "".join(a for a, _ in swap) + drop
+    # a look at the range in which the letters lie costs a fraction of what translating each character does
+    out = F.when(F.rlike(col(c), F.lit(f"[{min(letters)}-{max(letters)}]")), F.translate(col(c), letters, "".join(b for _, b in swap))).otherwise(col(c)) if letters else col(c)
     if elongation:
         out = shortened(out)
     return F.when(F.length(col(c)) > 0, strip(out)).otherwise(col(c))
