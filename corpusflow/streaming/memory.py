@@ -13,18 +13,15 @@ a failure changes nothing; ``recalled`` reads the latest history of every sessio
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import TYPE_CHECKING, Any
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from corpusflow.settings import DEFAULTS
 
-if TYPE_CHECKING:
-    import pandas as pd
-
 _MESSAGE = "micros long, seq long, role string, content string"
 _COLUMNS = ["micros", "seq", "role", "content"]
 
@@ -39,8 +36,8 @@ class SessionMemory(StatefulProcessor):
         self.handle = handle
         self.messages = handle.getListState("messages", _MESSAGE, self.ttl if self.clock == "processing" else None)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        new = sorted(tuple(x) for frame in rows for x in frame[_COLUMNS].itertuples(index=False, name=None))
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        new = sorted(tuple(r[c] for c in _COLUMNS) for r in rows)
         old = sorted(tuple(x) for x in self.messages.get())
         own = sorted(old + new)[-self.limit :]
         if self.clock == "event":
@@ -50,14 +47,14 @@ class SessionMemory(StatefulProcessor):
             self.messages.appendList(new)
         else:
             self._replace(own)
-        self._wake(own)
-        yield self._history(key, own)
+        self._wake(old, own)
+        yield from self._history(key, own)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         own = [x for x in sorted(tuple(x) for x in self.messages.get()) if x[0] // 1000 + self.ttl >= timerValues.getCurrentWatermarkInMs()]
         self._replace(own)
-        self._wake(own)
-        yield self._history(key, own)
+        self._wake([], own)  # the timer that has expired goes by itself
+        yield from self._history(key, own)
 
     def _replace(self, own: list[tuple]) -> None:
         if own:
@@ -65,21 +62,20 @@ class SessionMemory(StatefulProcessor):
         else:
             self.messages.clear()
 
-    def _wake(self, own: list[tuple]) -> None:
-        """A timer for the moment after which the oldest message has expired, and none else."""
+    def _wake(self, old: list[tuple], own: list[tuple]) -> None:
+        """A timer for the moment after which the oldest message has expired, and none else; the store is only asked where it changes."""
         if self.clock != "event":
             return
-        for at in [*self.handle.listTimers()]:
-            self.handle.deleteTimer(at if isinstance(at, int) else at[0])
-        if own:
-            self.handle.registerTimer(own[0][0] // 1000 + self.ttl + 1)
-
-    def _history(self, key: Any, own: list[tuple]) -> pd.DataFrame:
-        import pandas as pd
+        was, now = (x[0][0] // 1000 + self.ttl + 1 if x else None for x in (old, own))
+        if was != now:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            if now is not None:
+                self.handle.registerTimer(now)
 
-        rows = [(key[0], *x, place) for place, x in enumerate(own, 1)] or [(key[0], None, None, None, None, None)]
-        frame = pd.DataFrame(rows, columns=["session_id", *_COLUMNS, "place"])
-        return frame.astype({"micros": "Int64", "seq": "Int64", "place": "Int64"})
+    def _history(self, key: Any, own: list[tuple]) -> Iterator[Row]:
+        for x in [(*x, place) for place, x in enumerate(own, 1)] or [(None,) * 5]:
+            yield Row("session_id", *_COLUMNS, "place")(key[0], *x)
 
 
 def histories(messages: DataFrame, limit: int = DEFAULTS.history, ttl_hours: float = DEFAULTS.ttl_hours, late: str = "10 minutes", clock: str = "event") -> DataFrame:
@@ -93,7 +89,7 @@ def histories(messages: DataFrame, limit: int = DEFAULTS.history, ttl_hours: flo
     if clock == "event":
         rows = rows.withWatermark("ts", late)
     schema = f"session_id {kind}, {_MESSAGE}, place long"
-    return rows.groupBy("session_id").transformWithStateInPandas(SessionMemory(limit, ttl_hours, clock), schema, "Update", "EventTime" if clock == "event" else "ProcessingTime")
+    return rows.groupBy("session_id").transformWithState(SessionMemory(limit, ttl_hours, clock), schema, "Update", "EventTime" if clock == "event" else "ProcessingTime")
 
 
 def state_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
