@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusflow.shared import saved
@@ -31,15 +31,19 @@ def upsert_chunks(chunks: DataFrame, path: str, dim: int | None = None, key: str
 
     The table is partitioned into buckets of the key, and only buckets that get rows are read and
     written. What they will hold is written to the shared folder first, so a run that fails while it
-    replaces them can be repeated. Of new rows that share a key one stays.
+    replaces them can be repeated. Of new rows that share a key one stays. New rows and what stays of the
+    old ones are dealt by bucket once each, so the last write needs no shuffle.
     """
     spark = chunks.sparkSession
-    new = saved(_checked(chunks, dim).dropDuplicates([key]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "upsert-new")
+    bucketed = _checked(chunks, dim).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    new = saved(bucketed.repartition("bucket").dropDuplicates(["bucket", key]), "upsert-new")
     spark.createDataFrame([], new.schema).write.mode("ignore").partitionBy("bucket").parquet(path)
     touched = [r.bucket for r in new.select("bucket").distinct().collect()]
-    old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched))
-    whole = saved(old.join(new, key, "left_anti").unionByName(new), "upsert-whole")
-    whole.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched)).withColumn("_new", F.lit(False))
+    both = old.unionByName(new.select("bucket", key, F.lit(True).alias("_new")), allowMissingColumns=True).repartition("bucket")
+    replaced = F.bool_or("_new").over(Window.partitionBy("bucket", key)) & F.col(key).isNotNull()
+    kept = saved(both.withColumn("_replaced", replaced).where(~F.col("_new") & ~F.col("_replaced")).select(*new.columns), "upsert-kept")
+    kept.unionByName(new).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def ensure(spark: SparkSession, path: str, schema: str) -> DataFrame:
