@@ -56,8 +56,6 @@ DISTANCE = 34
 CROWD = 8
 #: Counters of shingles; a shingle's leading bits name its counter.
 SLOTS = 1 << 20
-#: Of the 63 bits of the second word, which a row of the index carries, so many may differ at most; 3.5 deviations above the mean, too.
-NEAR_63 = 20
 #: Parities of a set's shingles.
 PARITIES = 512
 _ODD = [f"odd{k}" for k in range(PARITIES // 64)]
@@ -166,7 +164,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def indexed(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(key, node, part, fp2): each node under every value in the balls around its segments; ``fp2`` is its second word."""
+    """(key, node, part, fp, fp2): each node under every value in the balls around its segments."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -177,10 +175,10 @@ def indexed(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
                 unsure = np.frombuffer(b"".join(some.column(4).to_pylist()), np.uint8).reshape(len(node), SEGMENTS, UNSURE)
                 keys = ball(values, unsure, radius)
                 each = keys.shape[1]
-                columns = [pa.array(keys.reshape(-1).astype(np.int32)), *(pa.array(np.repeat(x, each)) for x in (node, group, fp2))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "part", "fp2"])
+                columns = [pa.array(keys.reshape(-1).astype(np.int32)), *(pa.array(np.repeat(x, each)) for x in (node, group, fp, fp2))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "part", "fp", "fp2"])
 
-    return nodes.select("node", "part", "fp", "fp2", "unsure").mapInArrow(run, "key int, node long, part long, fp2 long")
+    return nodes.select("node", "part", "fp", "fp2", "unsure").mapInArrow(run, "key int, node long, part long, fp long, fp2 long")
 
 
 def _close() -> Column:
@@ -212,18 +210,26 @@ def crowded(nodes: DataFrame) -> DataFrame:
     return indexed(nodes).join(F.broadcast(full) if full.count() <= FEW else merged(full), "key", "left_semi").select("node").distinct()
 
 
-def pairs(nodes: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Candidates (u, v) in different groups of column ``part``, within the complete distance."""
-    marked = saved(nodes.join(merged(crowded(nodes).withColumn("many", F.lit(True))), "node", "left"), "near-marked")
+def index_meetings(marked: DataFrame) -> DataFrame:
+    """(u, v) for each key under which two nodes meet, not both of them ``many``: in different groups, within the complete distance.
+
+    The join tests all 126 bits. Nodes meet by chance in numbers that grow with the square of the input; one word's
+    bits, of which the key holds a third where it is of that word's segments, would let too many of them through.
+    """
     some, many = indexed(marked.where("many is null")), indexed(marked.where("many"))
-    fits = (F.bit_count(F.col("a.fp2").bitwiseXOR(F.col("b.fp2"))) <= NEAR_63) & (F.col("a.part") != F.col("b.part"))
+    fits = _close() & (F.col("a.part") != F.col("b.part"))
     ends = [F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")]
     within = some.alias("a").join(merged(some.alias("b")), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & fits)
     between = some.alias("a").join(many.alias("b"), (F.col("a.key") == F.col("b.key")) & fits)
-    met = within.select(*ends).union(between.select(*ends)).distinct()
-    one = F.struct("n", "fp", "fp2")
+    return within.select(*ends).union(between.select(*ends))
+
+
+def pairs(nodes: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """Candidates (u, v) in different groups of column ``part``, within the complete distance."""
+    marked = saved(nodes.join(merged(crowded(nodes).withColumn("many", F.lit(True))), "node", "left"), "near-marked")
+    met, one = index_meetings(marked).distinct(), F.struct("n")
     both = met.join(merged(nodes.select(F.col("node").alias("u"), one.alias("a"))), "u").join(merged(nodes.select(F.col("node").alias("v"), one.alias("b"))), "v")
-    return both.where(_close() & _sizes_fit()).select("u", "v").union(rare_pairs(marked.where("many"), docs, words))
+    return both.where(_sizes_fit()).select("u", "v").union(rare_pairs(marked.where("many"), docs, words))
 
 
 def _rarity(sets: DataFrame) -> np.ndarray:
@@ -245,16 +251,16 @@ def _rarity(sets: DataFrame) -> np.ndarray:
 
 
 def rare(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(shingle, node, part, fp, fp2, n, place, odd): the rarest fifth of each set, and one more, but for shingles that occur once.
+    """(shingle, node, part, fp, fp2, n, place, prev, odd): the rarest fifth of each set, and one more, but for shingles that occur once.
 
-    ``place`` is the shingle's place in the set by frequency, then by hash. ``odd`` has a bit for each hash modulo ``PARITIES``: 1 if
+    ``place`` is the shingle's place in the set by frequency, then by hash; ``prev`` is the set's shingle in the row before, null in the first. ``odd`` has a bit for each hash modulo ``PARITIES``: 1 if
     an odd number of the set's shingles have it. Two sets differ in as many shingles at least as these bits differ.
     """
     steps = _rarity(sets)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            heads, places, sizes, odd = [], [], [], []
+            heads, places, prev, sizes, odd = [], [], [], [], []
             for own in part.column(4):
                 values = own.values.to_numpy().view(np.uint64)
                 step = steps[(values >> np.uint64(44)).astype(np.int64)]
@@ -262,37 +268,49 @@ def rare(sets: DataFrame, nodes: DataFrame) -> DataFrame:
                 at = np.flatnonzero(step[first] > 0)
                 heads.append(values[first[at]])
                 places.append(at)
+                prev.append(np.roll(heads[-1], 1))
                 sizes.append(len(values))
                 odd.append(np.packbits(np.bincount((values % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1 > 0).view(np.int64))
             each = np.fromiter(map(len, heads), np.int64, len(heads))
             columns = [pa.array(np.concatenate([np.zeros(0, np.uint64), *heads]).view(np.int64))]
             columns += [pa.array(np.repeat(part.column(k).to_numpy(), each)) for k in range(4)]
             columns += [pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(np.concatenate([np.zeros(0, np.int64), *places]).astype(np.int32))]
+            begins = np.zeros(each.sum(), bool)
+            begins[(np.cumsum(each) - each)[each > 0]] = True
+            columns.append(pa.array(np.concatenate([np.zeros(0, np.uint64), *prev]).view(np.int64), mask=begins))
             bits = np.repeat(np.array(odd, np.int64).reshape(-1, PARITIES // 64), each, axis=0)
             columns += [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(PARITIES // 64)]
-            yield pa.RecordBatch.from_arrays(columns, names=["shingle", "node", "part", "fp", "fp2", "n", "place", *_ODD])
+            yield pa.RecordBatch.from_arrays(columns, names=["shingle", "node", "part", "fp", "fp2", "n", "place", "prev", *_ODD])
 
     rows = nodes.select("node", "part", "fp", "fp2").join(merged(sets), "node").select("node", "part", "fp", "fp2", "shingles")
-    return rows.mapInArrow(run, "shingle long, node long, part long, fp long, fp2 long, n int, place int, " + ", ".join(f"{c} long" for c in _ODD))
+    return rows.mapInArrow(run, "shingle long, node long, part long, fp long, fp2 long, n int, place int, prev long, " + ", ".join(f"{c} long" for c in _ODD))
 
 
-def rare_pairs(nodes: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Candidates (u, v) in different groups that share one of the rarest shingles of both.
+def rare_meetings(rows: DataFrame) -> DataFrame:
+    """(u, v) for shingles of ``rare`` that two nodes in different groups share, where the pair may link.
 
     Most nodes that hold a shingle may be of one group; of a pair in different groups one node isn't of
     the shingle's largest group, so only such nodes search.
+
+    A pair need only meet in the first shingle that both sets have: what they share is that one and, at most,
+    what comes after it in either. Where the rows before hold one shingle in both sets, the pair has met there.
     """
-    rows = saved(rare(shingled(nodes, docs, words), nodes), "near-rare")
     held = rows.groupBy("shingle", "part").agg(F.count("*").alias("k"))
     main = held.groupBy("shingle").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     told = rows.join(merged(main.select("shingle", "main")), "shingle").withColumn("lone", F.expr("part <> main")).drop("main")
     a, b = told.where("lone").alias("a"), told.alias("b")
     once = ~F.col("b.lone") | (F.col("a.node") < F.col("b.node"))
-    room = F.least("a.place", "b.place") + 1 + F.least(F.expr("a.n - 1 - a.place"), F.expr("b.n - 1 - b.place"))
-    fits = (F.col("a.part") != F.col("b.part")) & once & _sizes_fit() & _close() & (9 * room >= 4 * (F.col("a.n") + F.col("b.n")))
+    first = F.coalesce(F.col("a.prev") != F.col("b.prev"), F.lit(True))
+    room = F.least(F.expr("a.n - a.place"), F.expr("b.n - b.place"))
+    fits = (F.col("a.part") != F.col("b.part")) & once & first & _sizes_fit() & _close() & (9 * room >= 4 * (F.col("a.n") + F.col("b.n")))
     differ = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in _ODD), F.lit(0))
     met = a.join(merged(b), (F.col("a.shingle") == F.col("b.shingle")) & fits & (9 * differ <= F.col("a.n") + F.col("b.n")))
-    return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+    return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
+
+
+def rare_pairs(nodes: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """Candidates (u, v) in different groups that share one of the rarest shingles of both."""
+    return rare_meetings(saved(rare(shingled(nodes, docs, words), nodes), "near-rare")).distinct()
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:

@@ -1,7 +1,7 @@
 """Recall and precision of the near-duplicate search of ``corpusflow.llm.neardup`` before its exact verification.
 
 Pairs of random shingle sets at a given Jaccard similarity; printed is the share of pairs that meet in
-the index, within ``NEAR_63`` and within ``DISTANCE``: what the exact verification then gets to see.
+the index and within ``DISTANCE``: what the exact verification then gets to see.
 
     python -m corpusflow.llm.recall
 """
@@ -24,8 +24,7 @@ def found(size: int, similarity: float, trials: int, seed: int = 0) -> float:
         majorities = np.stack([neardup.bit_majorities(s) for s in both])
         differ = (majorities[0] > 0) != (majorities[1] > 0)
         a, b = neardup.ball(*neardup.segments(majorities))
-        half = len(differ) // 2
-        hits += bool(np.isin(a, b).any() and differ.sum() <= neardup.DISTANCE and differ[half:].sum() <= neardup.NEAR_63)
+        hits += bool(np.isin(a, b).any() and differ.sum() <= neardup.DISTANCE)
     return hits / trials
 
 

@@ -437,6 +437,30 @@ def test_parities_never_exclude_a_link(spark):
         assert {x.shingle for x in rows if x.node == k} & {x.shingle for x in rows if x.node == k + 10}
 
 
+def test_chance_meetings_stay_in_the_index(spark):
+    """Nodes that share a segment and are near in its word, and far apart in the other word, don't leave the join."""
+    r = random.Random(4)
+    nodes = {k: (r.getrandbits(63), 5 | sum(1 << b for b in r.sample(range(21, 63), 7))) for k in range(60)}
+    nodes |= {k + 100: (a ^ 7 << 40, b) for k, (a, b) in nodes.items() if k < 20}
+    many = {k for k in nodes if k % 3 == 0}
+    unsure = bytes([*range(neardup.UNSURE)] * neardup.SEGMENTS)
+    rows = [(k, k, a, b, unsure, True if k in many else None) for k, (a, b) in nodes.items()]
+    got = {tuple(x) for x in neardup.index_meetings(spark.createDataFrame(rows, "node long, part long, fp long, fp2 long, unsure binary, many boolean")).collect()}
+    apart = {(u, v): [(x ^ y).bit_count() for x, y in zip(nodes[u], nodes[v])] for u in nodes for v in nodes if u < v and not {u, v} <= many}
+    assert got == {k for k, d in apart.items() if sum(d) <= neardup.DISTANCE} and sum(d[1] <= 20 for d in apart.values()) > 10 * len(got) > 100
+
+
+def test_rare_shingles_are_met_once_a_run(spark):
+    """Sets at 0.8 to 0.95 of each other meet at their first common one and after differences, not at each of a fifth."""
+    r = random.Random(6)
+    base = sorted(r.getrandbits(63) for _ in range(100))
+    sets = {k: [r.getrandbits(63) if r.random() < 0.05 else x for x in base] for k in range(40)}
+    nodes = spark.createDataFrame([(k, k, 0, 0) for k in sets], "node long, part long, fp long, fp2 long")
+    got = [tuple(x) for x in neardup.rare_meetings(neardup.rare(spark.createDataFrame(list(sets.items()), "node long, shingles array<long>"), nodes)).collect()]
+    link = {(a, b) for a in sets for b in sets if a < b and 9 * len({*sets[a]} & {*sets[b]}) >= 4 * 200}
+    assert len(link) > 300 and link <= set(got) and len(got) < 2 * len(set(got))
+
+
 def test_shared_and_missing_ids(spark):
     """An id that different texts share names the groups of both; a row without an id takes the group's name."""
     a, b, c = prose(1, 100), prose(2, 100), prose(3, 100)
