@@ -127,19 +127,27 @@ def class_sizes(words: DataFrame, frequent: list[bytes]) -> np.ndarray:
     return out
 
 
+def _blocks(a: np.ndarray) -> np.ndarray:
+    """The array's whole blocks of rows: [block, row, column]."""
+    return a[: len(a) // _ROWS * _ROWS].reshape(-1, _ROWS, a.shape[1])
+
+
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b in blocks so small that the BLAS library starts no threads: the tasks use all cores already."""
+    """a @ b, in one call, by blocks so small that the BLAS library starts no threads: the tasks use all cores already."""
     out = np.empty((len(a), b.shape[1]), np.float32)
-    for k in range(0, len(a), _ROWS):
-        np.matmul(a[k : k + _ROWS], b, out=out[k : k + _ROWS])
+    whole = len(a) // _ROWS * _ROWS
+    np.matmul(_blocks(a), b, out=_blocks(out))
+    if whole < len(a):
+        np.matmul(a[whole:], b, out=out[whole:])
     return out
 
 
 def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a.T @ b, in the same way."""
-    out = np.zeros((a.shape[1], b.shape[1]), np.float32)
-    for k in range(0, len(a), _ROWS):
-        out += a[k : k + _ROWS].T @ b[k : k + _ROWS]
+    whole = len(a) // _ROWS * _ROWS
+    out = np.matmul(_blocks(a).transpose(0, 2, 1), _blocks(b)).sum(axis=0)
+    if whole < len(a):
+        out += np.matmul(a[whole:].T, b[whole:])
     return out
 
 
@@ -164,9 +172,10 @@ class Network:
         return [self.near, self.bias, self.out, self.out_bias]
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        h = self.near[0][context[:, 0]] + self.bias
+        h = self.near[0].take(context[:, 0], axis=0)
+        h += self.bias
         for k in range(1, 2 * SIDE):
-            h += self.near[k][context[:, k]]
+            h += self.near[k].take(context[:, k], axis=0)
         return np.tanh(h, out=h)
 
     def scores(self, h: np.ndarray) -> np.ndarray:
@@ -200,7 +209,7 @@ class Network:
         row = row[order]
         first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         near = np.zeros_like(self.near).reshape(-1, HIDDEN)
-        near[row[first]] = np.add.reduceat(dh[order % n], first, axis=0)
+        near[row[first]] = np.add.reduceat(dh.take(order % n, axis=0), first, axis=0)
         return (total, own), [near.reshape(self.near.shape), dh.sum(axis=0), _inner(h, e), e.sum(axis=0)]
 
 

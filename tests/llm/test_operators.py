@@ -645,6 +645,22 @@ def test_language_model_gradients():
         assert abs((up - down) / 2e-2 - float((g * step).sum())) < 5e-3
 
 
+@pytest.mark.parametrize("n", [0, 1, 32, 400, 1024])
+def test_language_model_products(monkeypatch, n):
+    """Two calls at most of the library for all blocks, with the bits of a call for each."""
+    import numpy as np
+
+    r = np.random.default_rng(n)
+    a, b, c = (r.standard_normal(s).astype(np.float32) for s in ((n, lm.HIDDEN), (lm.HIDDEN, lm.CLASSES), (n, lm.CLASSES)))
+    parts = [slice(k, k + lm._ROWS) for k in range(0, n, lm._ROWS)]
+    product = np.concatenate([np.zeros((0, lm.CLASSES), np.float32), *(a[p] @ b for p in parts)])
+    inner = sum((a[p].T @ c[p] for p in parts), np.zeros((lm.HIDDEN, lm.CLASSES), np.float32))
+    calls, own = [], np.matmul
+    monkeypatch.setattr(np, "matmul", lambda *x, **y: calls.append(1) or own(*x, **y))
+    got = lm._product(a, b), lm._inner(a, c)
+    assert (got[0] == product).all() and (got[1] == inner).all() and len(calls) <= 4
+
+
 def test_license_phrases_of_long_texts():
     """The places of all phrases, in time that grows with the text."""
     scan, r = licenses.Scan(), np.random.default_rng(7)
