@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.operators import chunking, evaluate, memory, pipeline, prompts, providers, rerank, retrieval
+from corpusflow.plans import retrieval_queries
+from corpusflow.plans.common import ORACLES
 from corpusflow.streaming import sessions
 
 
@@ -39,6 +41,33 @@ def test_search_in_blocks(vectors, monkeypatch):
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in retrieval.search_all(vectors, queries, 3).collect()) == whole
 
 
+def test_search_grid(spark, vectors, monkeypatch):
+    """In one cell and in many, with ties, a zero vector and ids that are missing on either side: what search_all finds."""
+    queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")).unionByName(spark.createDataFrame([(None, [1.0] * 8)], "query_id long, query_vector array<float>"))
+    rows = lambda df: sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in df.collect())
+    want = rows(retrieval.search_all(vectors, queries.where("query_id is not null"), 5))
+    assert len(want) == 203 * 5 and rows(retrieval.search_grid(vectors, queries, 5)) == want
+    assert rows(retrieval.search_grid(vectors, queries.where("query_id > 500"), 300))[:1] and retrieval.search_grid(vectors, queries.limit(0), 5).count() == 0 == retrieval.search_grid(vectors.limit(0), queries, 5).count()
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 8 * 8 * 50)
+    assert rows(retrieval.search_grid(vectors, queries, 5)) == want
+
+
+def test_mrr_asks_every_vector(spark, tmp_path):
+    """Against a plain count over all rows, and the SQL; ids that no hundred divides count as well."""
+    r = np.random.default_rng(1)
+    v, label = r.normal(size=(150, 6)).astype(np.float32).astype(float), r.integers(0, 4, 150)
+    rows = [(i + 1, [float(x) for x in v[i]], int(label[i])) for i in range(150)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    score = v @ v.T / np.outer(np.linalg.norm(v, axis=1), np.linalg.norm(v, axis=1))
+    ranks = [[n for n, j in enumerate([j for j in np.argsort(-score[i], kind="stable") if j != i][:10], 1) if label[j] == label[i]] for i in range(150)]
+    got = [tuple(x) for x in retrieval_queries.mrr_at_k(spark, str(tmp_path)).collect()]
+    assert got == [(round(sum(1 / x[0] for x in ranks if x) / 150, 6), 150)]
+    duckdb = pytest.importorskip("duckdb")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        assert db.execute(ORACLES["mrr_at_k"]).fetchall() == got
+
+
 @pytest.fixture(scope="module")
 def candidates(spark):
     rows = [(1, "red green blue", 1, "nothing"), (1, "red green blue", 2, "red green"), (1, "red green blue", 3, "green red"), (1, "red green blue", 4, "blue red green"), (2, "x", 1, "y")]
